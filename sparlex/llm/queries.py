@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+from .packing import pack
+from .quality_rules import STATS, quality_rules
 from .substring_dedup import substring_dedup
+from .token_files import read_token_files, write_token_files
+from .warc import page_id, read_warc, write_warc
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +20,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH w AS (
-  SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), x -> x <> ''), []) AS words FROM documents),
+  SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), []) AS words FROM documents),
 win AS (
   SELECT doc_id, i AS start, list_slice(words, i, i + 19) AS win
   FROM w, unnest(range(1, len(words) - 18)) AS t(i)),
@@ -24,14 +29,62 @@ dup AS (
   QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, start) > 1),
 gone AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(start, start + 20)) AS p FROM dup) GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_filter(words, (x, i) -> NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return read_token_files(spark, write_token_files(docs))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return quality_rules(docs, keep_doc=["doc_id"]).select(F.col("doc.doc_id").alias("doc_id"), *STATS, "base_failed", "kept")
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT doc_id, i, list_slice(words, i, i + 4) AS win FROM w, unnest(range(1, len(words) - 3)) AS t(i)),
+again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
+s AS (
+  SELECT w.doc_id, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR 3 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_words) AS bad
+  FROM f WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT sum(bad) / sum(n) AS mean, count(*) AS hosts, sum(n) AS docs, sum(n * (bad / n) * (bad / n)) AS square FROM h),
+p AS (SELECT mean, greatest(1.0, least(1e6, mean * (1 - mean) / greatest(greatest(square / docs - mean * mean, 0) - mean * (1 - mean) * hosts / docs, 1e-9) - 1)) AS strength FROM m),
+v AS (SELECT source, (bad + mean * strength) / (n + strength) > 0.5 AS rejected FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM f LEFT JOIN v USING (source)
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    back = read_warc(spark, write_warc(pages, shared_dir(spark, "warc")), payloads=False)
+    return back.select(page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"))
+
+
 def queries() -> dict:
-    return {"op2_substring_dedup": op2_substring_dedup}
+    return {
+        "op2_substring_dedup": op2_substring_dedup,
+        "op7_token_files": op7_token_files,
+        "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op2_substring_dedup": OP2_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op9_quality_rules": OP9_SQL}
