@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir
+from .embedding_dedup import embedding_dedup
 from .packing import pack
 from .quality_rules import STATS, quality_rules
 from .substring_dedup import substring_dedup
@@ -34,6 +35,21 @@ FROM w LEFT JOIN gone USING (doc_id)
 """
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+OP3_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON a = vec_id
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return read_token_files(spark, write_token_files(docs))
@@ -79,6 +95,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op7_token_files": op7_token_files,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
@@ -87,4 +104,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_substring_dedup": OP2_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL}
