@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 from .embedding_dedup import embedding_dedup
+from .jaccard_join import jaccard_join
 from .packing import pack
 from .quality_rules import STATS, quality_rules
 from .substring_dedup import substring_dedup
@@ -50,6 +51,22 @@ FROM embeddings JOIN c ON a = vec_id
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP4_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(words, i, i + 4) AS g FROM w, unnest(range(1, 1 + CASE WHEN len(words) >= 5 THEN len(words) - 4 ELSE least(len(words), 1) END)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a)
+SELECT a AS doc_id, class_id, (SELECT count(*) FROM links l WHERE l.a = c.a) AS n_links, class_id = c.a AS kept FROM c
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return read_token_files(spark, write_token_files(docs))
@@ -96,6 +113,7 @@ def queries() -> dict:
     return {
         "op2_substring_dedup": op2_substring_dedup,
         "op3_embedding_dedup": op3_embedding_dedup,
+        "op4_jaccard_join": op4_jaccard_join,
         "op7_token_files": op7_token_files,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
@@ -104,4 +122,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_substring_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op9_quality_rules": OP9_SQL}
