@@ -125,3 +125,48 @@ def sliding(values: np.ndarray, size: int, best=np.minimum) -> np.ndarray:
         out[:-step] = best(out[:-step], out[step:])
         have += step
     return out
+
+
+def codepoints(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, offsets by text)."""
+    raw = t.buf.tobytes()
+    cp = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    offs = np.r_[0, np.cumsum((t.buf & 0xC0) != 0x80)][t.offs]
+    if offs[-1] != len(cp):  # not valid UTF-8
+        parts = [np.frombuffer(raw[a:b].decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(t.offs[:-1], t.offs[1:])]
+        cp, offs = np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
+    return cp, offs
+
+
+def sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Sums of values[offs[i]:offs[i + 1]] in double precision; 0 for empty spans."""
+    out, some = np.zeros(len(offs) - 1), np.flatnonzero(np.diff(offs))
+    if len(some):
+        out[some] = np.add.reduceat(values, offs[some], dtype=np.float64)
+    return out
+
+
+_LOWER: list[np.ndarray] = []
+
+
+def lower_table() -> np.ndarray:
+    """Lower case of every code point, where that is one code point."""
+    if not _LOWER:
+        table = np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x20000):
+            if not 0xD800 <= i < 0xE000 and len(x := chr(i).lower()) == 1:
+                table[i] = ord(x)
+        _LOWER.append(table)
+    return _LOWER[0]
+
+
+_LETTERS: list[np.ndarray] = []
+
+
+def letter_table() -> np.ndarray:
+    """Whether a code point is a letter."""
+    if not _LETTERS:
+        table = np.zeros(0x110000, bool)
+        table[: 0x40000] = [not 0xD800 <= i < 0xE000 and chr(i).isalpha() for i in range(0x40000)]
+        _LETTERS.append(table)
+    return _LETTERS[0]

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 from .embedding_dedup import embedding_dedup
 from .jaccard_join import jaccard_join
+from .language_id import language_id
 from .packing import pack
+from .quality_classifier import quality_classifier, trusted_documents
 from .quality_rules import STATS, quality_rules
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
@@ -67,6 +69,16 @@ SELECT a AS doc_id, class_id, (SELECT count(*) FROM links l WHERE l.a = c.a) AS
 """
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    scored = quality_classifier(docs, trusted_documents(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select(F.col("row.doc_id").alias("doc_id"), "perplexity", "limit", "kept")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return read_token_files(spark, write_token_files(docs))
@@ -114,6 +126,8 @@ def queries() -> dict:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_quality_classifier": op5_quality_classifier,
+        "op6_language_id": op6_language_id,
         "op7_token_files": op7_token_files,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
