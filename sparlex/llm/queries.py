@@ -12,11 +12,18 @@ from .language_id import language_id
 from .packing import pack
 from .quality_classifier import quality_classifier, trusted_documents
 from .quality_rules import STATS, quality_rules
+from .sentence_pieces import sp_decode, sp_encode
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 from .warc import page_id, read_warc, write_warc
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    back = sp_decode(sp_encode(docs, keep=["doc_id"]))
+    return back.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).select(F.col("doc.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -123,6 +130,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_sentence_pieces": op1_sentence_pieces,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_jaccard_join": op4_jaccard_join,
