@@ -226,8 +226,8 @@ def covered_windows(docs: DataFrame, window: int, total_bytes: int) -> DataFrame
     return map_arrow(found, resolve, "doc_id long, key long, starts binary").groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """doc (struct of the input row), n_words, n_removed, kept_text (kept words joined by one space) for every row."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, untouched: bool = False) -> DataFrame:
+    """doc (struct of the input row but its text), n_words, n_removed, kept_text (kept words joined by one space; with untouched, a text that loses nothing stays as it is) for every row."""
     row = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     covered = covered_windows(row.select("doc_id", "text", "key"), window, utf8_bytes(row))
     rest = [c for c in docs.columns if c != text_col]
@@ -249,14 +249,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept = np.cumsum(edge[:-1]) == 0
                 removed = np.r_[0, np.cumsum(~kept)]
                 removed = removed[t.first[1:]] - removed[t.first[:-1]]
-                s, e = t.start[kept], t.end[kept]
+                s, e, owner = t.start[kept], t.end[kept], np.repeat(np.arange(t.n), np.diff(t.first))[kept]
+                if untouched:
+                    whole = np.flatnonzero((removed == 0) & (np.diff(t.offs) > 0))
+                    cut = ~np.isin(owner, whole)
+                    o = np.argsort(np.r_[owner[cut], whole], kind="stable")
+                    s, e, owner = np.r_[s[cut], t.offs[whole]][o], np.r_[e[cut], t.offs[whole + 1]][o], np.r_[owner[cut], whole][o]
                 size = e - s + 1
                 to = np.cumsum(size)
                 take = np.arange(int(to[-1]) if len(to) else 0) + np.repeat(s - np.r_[0, to[:-1]] if len(to) else s, size)
                 out = t.buf[np.minimum(take, max(0, len(t.buf) - 1))] if len(t.buf) else t.buf
                 if len(to):
                     out[to - 1] = 32
-                words = np.r_[0, np.cumsum(kept)][t.first]
+                words = np.searchsorted(owner, np.arange(t.n + 1))
                 offs = np.r_[0, to][words]
                 drop = np.unique(offs[1:][np.diff(offs) > 0]) - 1  # the space after each text's last word
                 out = np.delete(out, drop)
