@@ -258,7 +258,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rest = part.take(ok)
                 yield rest.column(0), rest.column(3), rest.column(4), rest.column(5), rest.column(6), [low[k].tobytes() for k in ok], [sets[offs[k] : offs[k + 1]].tobytes() for k in ok]
 
-    texts = rows.join(todo, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "key", "n", "place", "blocks", "block")
+    texts = rows.join(todo.hint("merge"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "key", "n", "place", "blocks", "block")
     work = map_arrow(texts, expand, "rep long, n long, place long, blocks int, block int, sample binary, shingles binary")
     work = work.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     work = work.select("place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "sample", "shingles")
