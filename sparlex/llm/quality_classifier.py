@@ -184,7 +184,7 @@ def quality_classifier(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_i
     names = [c for c in docs.columns if keep_text or c != text_col]
     row = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
     table = symbol_table(common_characters(row))
-    own = row.where(~held_out("id")).join(trusted.withColumnRenamed("trusted_id", "id"), "id", "left_semi")
+    own = row.where(~held_out("id")).join(trusted.withColumnRenamed("trusted_id", "id").hint("merge"), "id", "left_semi")
     model = train(own.select("text"), table)
     scored = perplexities(row.select("row", "text"), table, model)
     lean = scored.select(F.col("row")[id_col].cast("long").alias("id"), F.col("row")[lang_col].cast("string").alias("lang"), "n_symbols", "nats")
