@@ -1 +1,269 @@
-"""Queries."""
+"""Queries over units, spans and chunks."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import chunking as C
+from ..operators import spans as S
+from ..operators.spans import longest_common
+from .registry import query, table
+
+TYPE = "CASE WHEN pos = 0 THEN 'abstract' WHEN pos % 7 = 3 THEN 'caption' ELSE 'section' END"
+UNITS_SQL = f"""
+raw AS (SELECT d.doc_id AS paper_id, (pos - 1)::INT AS pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS t(line, pos)),
+typed AS (SELECT *, {TYPE} AS type, 'H' || (pos // 5) AS section_heading FROM raw),
+units AS (SELECT paper_id, pos, (row_number() OVER w - 1)::INT AS unit_no, format('u{{:03d}}', row_number() OVER w - 1) AS unit_id, type, section_heading, text,
+  (sum(length(text) + 2) OVER w - length(text) - 2)::INT AS char_start, (sum(length(text) + 2) OVER w - 2)::INT AS char_end FROM typed WHERE length(text) >= 30
+  WINDOW w AS (PARTITION BY paper_id ORDER BY CASE type WHEN 'abstract' THEN 0 WHEN 'section' THEN 1 ELSE 2 END, pos)),
+papers AS (SELECT paper_id, string_agg(text, chr(10) || chr(10) ORDER BY unit_no) AS text FROM units GROUP BY paper_id)"""
+WORDS_SQL = """
+pieces AS (SELECT paper_id, w, sum(length(w)) OVER (PARTITION BY paper_id ORDER BY k) AS char_end FROM (SELECT paper_id, unnest(regexp_extract_all(text, '\\S+|\\s+')) AS w, generate_subscripts(regexp_extract_all(text, '\\S+|\\s+'), 1) AS k FROM {0})),
+words AS (SELECT paper_id, w, (row_number() OVER (PARTITION BY paper_id ORDER BY char_end) - 1)::INT AS i, (char_end - length(w))::INT AS char_start, char_end::INT AS char_end, ceil(length(w) / 4)::INT AS n FROM pieces WHERE regexp_matches(w, '\\S'))"""
+
+
+def raw_units(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return d.select("paper_id", "pos", F.expr(TYPE).alias("type"), F.expr("concat('H', pos div 5)").alias("section_heading"), X.clean_ws(F.col("line")).alias("text"))
+
+
+def units(spark, sf):
+    return S.assemble(raw_units(spark, sf))
+
+
+def docs(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text", "lang", "source", "n_chars")
+
+
+@query("drop_short_units", f"WITH {UNITS_SQL} SELECT paper_id, count(*) FILTER (length(text) >= 30) AS kept, count(*) FILTER (length(text) < 30) AS dropped FROM typed GROUP BY paper_id")
+def drop_short_units(spark, sf):
+    return raw_units(spark, sf).groupBy("paper_id").agg(F.count_if(F.length("text") >= 30).alias("kept"), F.count_if(F.length("text") < 30).alias("dropped"))
+
+
+@query("assemble_offsets", f"WITH {UNITS_SQL} SELECT paper_id, unit_id, type, char_start, char_end FROM units")
+def assemble_offsets(spark, sf):
+    return units(spark, sf).select("paper_id", "unit_id", "type", "char_start", "char_end")
+
+
+LABEL = "concat(CASE pos % 9 WHEN 0 THEN 'I. ' WHEN 2 THEN 'A. ' WHEN 4 THEN 'References ' WHEN 5 THEN 'II. ' WHEN 7 THEN 'acknowledgements ' ELSE '' END, left(text, 20))"
+BAD = "(?i)references|bibliography|acknowledg"
+
+
+@query("exclude_sections", f"WITH {UNITS_SQL} SELECT paper_id, pos, {LABEL} AS heading FROM raw WHERE NOT regexp_matches({LABEL}, '{BAD}')")
+def exclude_sections(spark, sf):
+    return raw_units(spark, sf).select("paper_id", "pos", F.expr(LABEL).alias("heading")).where(~F.col("heading").rlike(BAD))
+
+
+@query("parent_heading", f"""WITH {UNITS_SQL}, k AS (SELECT paper_id, pos, {LABEL} AS heading FROM raw WHERE NOT regexp_matches({LABEL}, '{BAD}')),
+l AS (SELECT *, CASE WHEN regexp_matches(heading, '^(I|[MDCLXVI]{{2,}})\\.(\\s|$)') THEN heading END AS first_level FROM k)
+SELECT paper_id, pos, (row_number() OVER w - 1)::INT AS section_index, last_value(first_level IGNORE NULLS) OVER w AS parent_heading FROM l WINDOW w AS (PARTITION BY paper_id ORDER BY pos)""")
+def parent_heading(spark, sf):
+    c, w = F.col("heading"), Window.partitionBy("paper_id").orderBy("pos")
+    first = F.when((X.heading_level(c) == 1) & ~X.heading_unnumbered(c), c)
+    return exclude_sections(spark, sf).select("paper_id", "pos", (F.row_number().over(w) - 1).alias("section_index"), F.last(first, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("parent_heading"))
+
+
+@query("verify_units", f"""WITH {UNITS_SQL}, broken AS (SELECT * REPLACE ((char_end + CASE WHEN unit_no = 2 AND paper_id % 10 = 0 THEN 1 ELSE 0 END)::INT AS char_end) FROM units),
+x AS (SELECT b.*, p.text AS full_text, lag(b.char_end) OVER w AS before, lead(b.char_end) OVER w AS after FROM broken b JOIN papers p USING (paper_id) WINDOW w AS (PARTITION BY paper_id ORDER BY unit_no))
+SELECT paper_id, problem, count(*) AS n FROM (SELECT paper_id, unnest(list_filter([CASE WHEN char_end <= char_start THEN 'empty unit' END, CASE WHEN substr(full_text, char_start + 1, char_end - char_start) <> text THEN 'slice differs' END,
+  CASE WHEN before IS NULL AND char_start <> 0 THEN 'first unit not at 0' END, CASE WHEN before IS NOT NULL AND char_start <> before + 2 THEN 'gap' END, CASE WHEN after IS NULL AND char_end <> length(full_text) THEN 'last unit not at the end' END], lambda y: y IS NOT NULL)) AS problem FROM x) GROUP BY ALL""")
+def verify_units(spark, sf):
+    u = units(spark, sf)
+    p = S.paper_texts(u).select("*", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"))
+    broken = u.withColumn("char_end", F.expr("char_end + CASE WHEN unit_no = 2 AND paper_id % 10 = 0 THEN 1 ELSE 0 END"))
+    return S.unit_problems(p, broken).groupBy("paper_id", "problem").agg(F.count("*").alias("n"))
+
+
+SPANS = "pos % 40 * 10 AS a0, pos % 40 * 10 + length(text) % 90 AS a1, 200 - pos % 30 * 5 AS b0, 200 - pos % 30 * 5 + length(text) % 50 AS b1"
+
+
+@query("span_overlap", f"WITH {UNITS_SQL}, s AS (SELECT paper_id, pos, {SPANS} FROM raw), o AS (SELECT *, greatest(0, least(a1, b1) - greatest(a0, b0))::INT AS n, least(a1 - a0, b1 - b0) AS m FROM s) SELECT paper_id, pos, n AS overlap, CASE WHEN m > 0 THEN round(n / m, 6) ELSE 0 END AS ratio FROM o")
+def span_overlap(spark, sf):
+    s = raw_units(spark, sf).selectExpr("paper_id", "pos", *SPANS.split(", "))
+    c = [F.col(x) for x in ("a0", "a1", "b0", "b1")]
+    return s.select("paper_id", "pos", S.overlap_chars(*c).alias("overlap"), F.round(S.overlap_ratio(*c), 6).alias("ratio"))
+
+
+@query("word_spans", f"WITH p AS (SELECT doc_id AS paper_id, text FROM documents), {WORDS_SQL.format('p')} SELECT paper_id, count(*) AS n, sum(char_start)::BIGINT AS starts, sum(char_end)::BIGINT AS ends, sum(n)::BIGINT AS tokens FROM words GROUP BY paper_id")
+def word_spans(spark, sf):
+    w = C.chunk_documents(docs(spark, sf), "words", C.word_spans)
+    return w.groupBy("paper_id").agg(F.count("*").alias("n"), F.sum("char_start").alias("starts"), F.sum("char_end").alias("ends"), F.sum(F.col("n_tokens") - C.SPECIALS).alias("tokens"))
+
+
+@query("sentence_spans")
+def sentence_spans(spark, sf):
+    return C.chunk_documents(docs(spark, sf), "sentences", C.sentence_spans).select("paper_id", "chunk_no", "char_start", "char_end")
+
+
+FIXED_SQL = f"""{UNITS_SQL}, {WORDS_SQL.format('papers')},
+pre AS MATERIALIZED (SELECT *, (sum(n) OVER (PARTITION BY paper_id ORDER BY i) - n)::BIGINT AS p FROM words),
+ends AS (SELECT paper_id, i, p, n FROM pre UNION ALL SELECT paper_id, max(i) + 1, max(p + n), 0 FROM pre GROUP BY paper_id),
+stop AS (SELECT a.paper_id, a.i, greatest(a.i + 1, b.i) AS j FROM pre a ASOF JOIN ends b ON a.paper_id = b.paper_id AND a.p + 398 >= b.p),
+lasts AS MATERIALIZED (SELECT paper_id, max(i) AS m FROM ends GROUP BY paper_id),
+back AS MATERIALIZED (SELECT s.paper_id, s.i, s.j, greatest(s.i + 1, coalesce(b.i, 0)) AS next, s.j >= s.m AS over FROM (SELECT s.*, e.p AS pj, l.m FROM stop s JOIN ends e ON e.paper_id = s.paper_id AND e.i = s.j JOIN lasts l ON l.paper_id = s.paper_id) s ASOF LEFT JOIN ends b ON s.paper_id = b.paper_id AND s.pj - 60 >= b.p),
+chase(paper_id, i, k) AS (SELECT paper_id, 0, 0 FROM papers UNION ALL SELECT c.paper_id, b.next, c.k + 1 FROM chase c JOIN back b ON b.paper_id = c.paper_id AND b.i = c.i WHERE NOT b.over),
+fixed AS (SELECT c.paper_id, c.k AS chunk_no, a.char_start, z.char_end, (e.p - a.p + 2)::INT AS n_tokens FROM chase c JOIN back b ON b.paper_id = c.paper_id AND b.i = c.i JOIN pre a ON a.paper_id = c.paper_id AND a.i = c.i JOIN pre z ON z.paper_id = c.paper_id AND z.i = b.j - 1 JOIN ends e ON e.paper_id = c.paper_id AND e.i = b.j)"""
+
+
+def fixed(spark, sf):
+    return C.chunk_documents(S.paper_texts(units(spark, sf)), "fixed", C.fixed_chunks)
+
+
+def section(spark, sf):
+    u = units(spark, sf)
+    listed = u.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "type", "section_heading", "char_start", "char_end"))).alias("units"))
+    papers = S.paper_texts(u).join(listed, "paper_id")
+    return C.chunk_documents(papers, "section_aware", lambda text, us: C.section_chunks(text, [(x["type"], x["section_heading"], x["char_start"], x["char_end"]) for x in us]), "units", 15)
+
+
+@query("chunks_fixed", f"WITH RECURSIVE {FIXED_SQL} SELECT paper_id, chunk_no, char_start, char_end, n_tokens FROM fixed")
+def chunks_fixed(spark, sf):
+    return fixed(spark, sf).select("paper_id", "chunk_no", "char_start", "char_end", "n_tokens")
+
+
+@query("chunks_section")
+def chunks_section(spark, sf):
+    return section(spark, sf).select("paper_id", "kept", "chunk_no", "char_start", "char_end", "n_tokens")
+
+
+LINES_SQL = "SELECT paper_id, 'lines' AS chunker, list_sum(list_transform(regexp_extract_all(text, '\\S+'), lambda w: ceil(length(w) / 4)::INT)) + 2 AS n FROM units"
+BOTH_SQL = f"WITH {UNITS_SQL}, {WORDS_SQL.format('papers')}, c AS ({LINES_SQL} UNION ALL SELECT paper_id, 'window', sum(n) + 2 FROM words GROUP BY paper_id, i // 60)"
+
+
+def both_chunkers(spark, sf):
+    u = units(spark, sf)
+    lines = u.select("paper_id", "text", F.array(F.struct(F.lit(0).alias("a"), F.length("text").alias("b"))).alias("spans"))
+    return windows(spark, sf).unionByName(C.chunk_documents(lines, "lines", lambda text, s: [(x["a"], x["b"]) for x in s], "spans"))
+
+
+@query("chunks_all", f"{BOTH_SQL} SELECT chunker, count(*) AS n, sum(n)::BIGINT AS tokens FROM c GROUP BY chunker")
+def chunks_all(spark, sf):
+    return both_chunkers(spark, sf).groupBy("chunker").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
+
+
+@query("chunk_offsets_ok", f"{BOTH_SQL} SELECT chunker, count(*) AS chunks, 0::BIGINT AS bad FROM c WHERE chunker = 'window' GROUP BY chunker")
+def chunk_offsets_ok(spark, sf):
+    c = windows(spark, sf).join(S.paper_texts(units(spark, sf)).withColumnRenamed("text", "full"), "paper_id")
+    bad = (F.substr("full", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("text")) | (F.col("char_end") <= F.col("char_start"))
+    return c.groupBy("chunker").agg(F.count("*").alias("chunks"), F.count_if(bad).alias("bad"))
+
+
+FLOOR_SQL = f"WITH {UNITS_SQL}, c AS (SELECT paper_id, unit_no, coalesce(list_sum(list_transform(regexp_extract_all(text, '\\S+'), lambda w: ceil(length(w) / 4)::INT)), 0)::INT + 2 AS n_tokens FROM units)"
+
+
+@query("chunk_floor", f"{FLOOR_SQL} SELECT paper_id, unit_no, n_tokens, n_tokens >= 15 AS kept, (row_number() OVER (PARTITION BY paper_id, n_tokens >= 15 ORDER BY unit_no) - 1)::INT AS chunk_no FROM c")
+def chunk_floor(spark, sf):
+    c = units(spark, sf).select("paper_id", "unit_no", (X.content_tokens(F.col("text")) + 2).alias("n_tokens")).withColumn("kept", F.col("n_tokens") >= 15)
+    return c.withColumn("chunk_no", F.row_number().over(Window.partitionBy("paper_id", "kept").orderBy("unit_no")) - 1)
+
+
+@query("chunk_stats", f"""{FLOOR_SQL}, p AS (SELECT paper_id, count(*) AS n FROM c GROUP BY paper_id)
+SELECT count(*) AS chunks, count(DISTINCT paper_id) AS papers, min(n_tokens) AS min_tokens, round(median(n_tokens::DOUBLE), 6) AS median_tokens, round(quantile_cont(n_tokens::DOUBLE, 0.95), 6) AS p95_tokens, max(n_tokens) AS max_tokens,
+  count(*) FILTER (n_tokens > 400) AS over_budget, (SELECT round(median(n::DOUBLE), 6) FROM p) AS median_chunks FROM c""")
+def chunk_stats(spark, sf):
+    c = chunk_floor(spark, sf)
+    per = c.groupBy("paper_id").agg(F.count("*").alias("n")).agg(F.round(F.median("n"), 6).alias("median_chunks"))
+    q = lambda p: F.round(F.percentile("n_tokens", p), 6)
+    out = c.agg(F.count("*").alias("chunks"), F.count_distinct("paper_id").alias("papers"), F.min("n_tokens").alias("min_tokens"), q(0.5).alias("median_tokens"), q(0.95).alias("p95_tokens"), F.max("n_tokens").alias("max_tokens"), F.count_if(F.col("n_tokens") > 400).alias("over_budget"))
+    return out.join(per)  # one row each
+
+
+@query("token_percentiles", f"{FLOOR_SQL} SELECT paper_id, round(quantile_cont(n_tokens::DOUBLE, 0.1), 6) AS p10, round(quantile_cont(n_tokens::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(n_tokens::DOUBLE, 0.95), 6) AS p95 FROM c GROUP BY paper_id")
+def token_percentiles(spark, sf):
+    q = lambda p: F.round(F.percentile("n_tokens", p), 6)
+    return chunk_floor(spark, sf).groupBy("paper_id").agg(q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+
+
+@query("filter_range_keyword", "SELECT doc_id FROM documents WHERE n_chars BETWEEN 200 AND 4000 AND lang = 'en' AND source = 'src3'")
+def filter_range_keyword(spark, sf):
+    from ..operators.retrieval import build_filter
+
+    d = table(spark, sf, "documents")
+    return d.where(build_filter({"n_chars": (200, 4000)}, {"lang": "en", "source": "src3", "doc_id": None})).select("doc_id")
+
+
+CHUNK_COLS = "char_start, char_end"
+WINDOWS_SQL = f"WITH {UNITS_SQL}, {WORDS_SQL.format('papers')}, chunks AS (SELECT paper_id, (i // 60)::INT AS chunk_no, min(char_start) AS char_start, max(char_end) AS char_end FROM words GROUP BY ALL)"
+ATTRS = "pos % 5 = 1 AS contains_equation"
+
+
+def windows(spark, sf):
+    return C.chunk_documents(S.paper_texts(units(spark, sf)), "window", C.window_chunks)
+
+
+def right_units(spark, sf):
+    u = units(spark, sf)
+    return u.select(F.col("paper_id").alias("paper_id_"), "unit_no", "unit_id", "section_heading", F.expr("concat('P', pos div 10)").alias("parent_heading"), X.section_type(F.lit("Results")).alias("section_type"), F.col("char_start").alias("unit_start"), F.col("char_end").alias("unit_end"), (F.col("pos") % 5 == 1).alias("contains_equation"))
+
+
+@query("interval_overlap", f"{WINDOWS_SQL} SELECT c.paper_id, c.chunk_no, u.unit_id FROM chunks c JOIN units u ON u.paper_id = c.paper_id AND u.char_start < c.char_end AND u.char_end > c.char_start")
+def interval_overlap(spark, sf):
+    return S.overlapping(windows(spark, sf), right_units(spark, sf), "paper_id").select("paper_id", "chunk_no", "unit_id")
+
+
+DOMINANT_SQL = f"""{WINDOWS_SQL}, m AS (SELECT c.paper_id, c.chunk_no, c.char_start, c.char_end, u.unit_id, u.section_heading, 'P' || (u.pos // 10) AS parent_heading, u.pos % 5 = 1 AS eq,
+  row_number() OVER (PARTITION BY c.paper_id, c.chunk_no ORDER BY greatest(0, least(u.char_end, c.char_end) - greatest(u.char_start, c.char_start)) DESC, u.unit_no) AS r, bool_or(u.pos % 5 = 1) OVER (PARTITION BY c.paper_id, c.chunk_no) AS contains_equation
+  FROM chunks c LEFT JOIN units u ON u.paper_id = c.paper_id AND u.char_start < c.char_end AND u.char_end > c.char_start)"""
+
+
+@query("dominant_unit", f"{DOMINANT_SQL} SELECT paper_id, chunk_no, unit_id FROM m WHERE r = 1")
+def dominant_unit(spark, sf):
+    return S.dominant_unit(windows(spark, sf).select("paper_id", "chunk_no", "char_start", "char_end"), right_units(spark, sf)).select("paper_id", "chunk_no", F.col("unit.unit_id").alias("unit_id"))
+
+
+@query("payload", f"""{DOMINANT_SQL} SELECT m.paper_id, d.source AS venue, section_heading, parent_heading, 'results' AS section_type, chunk_no AS chunk_index, char_start, char_end, coalesce(contains_equation, false) AS contains_equation,
+  'window' AS chunker, format('{{}}:window:{{:04d}}', m.paper_id, chunk_no) AS chunk_id FROM m JOIN documents d ON d.doc_id = m.paper_id WHERE r = 1""")
+def payload(spark, sf):
+    chunks = windows(spark, sf).select("paper_id", F.format_string("%d:window:%04d", "paper_id", "chunk_no").alias("chunk_id"), "char_start", "char_end")
+    papers = table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("venue"))
+    p = S.dominant_unit(chunks, right_units(spark, sf)).join(papers, "paper_id")
+    return p.select("paper_id", "venue", "unit.section_heading", "unit.parent_heading", "unit.section_type", F.element_at(F.split("chunk_id", ":"), -1).cast("int").alias("chunk_index"), "char_start", "char_end", "contains_equation", F.lit("window").alias("chunker"), "chunk_id")
+
+
+@query("chunk_paper_join", f"{WINDOWS_SQL} SELECT paper_id, chunk_no, source AS venue, lang FROM chunks JOIN documents ON doc_id = paper_id")
+def chunk_paper_join(spark, sf):
+    p = table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("venue"), "lang")
+    joined = windows(spark, sf).select("paper_id", "chunk_no").join(p, "paper_id", "left")
+    return joined.withColumn("lang", F.when(F.col("venue").isNull(), F.raise_error(F.lit("a chunk has no paper")).cast("string")).otherwise(F.col("lang")))
+
+
+@query("enclosing_unit", f"WITH {UNITS_SQL}, p AS (SELECT paper_id, (length(text) // 2)::INT AS place FROM papers) SELECT p.paper_id, place, (SELECT min(unit_id) FROM units u WHERE u.paper_id = p.paper_id AND u.char_start <= place AND place < u.char_end) AS unit_id FROM p")
+def enclosing_unit(spark, sf):
+    u = right_units(spark, sf)
+    p = S.paper_texts(units(spark, sf)).select("paper_id", F.expr("int(length(text) div 2)").alias("place"))
+    hit = p.join(u, (F.col("paper_id") == F.col("paper_id_")) & (F.col("unit_start") <= F.col("place")) & (F.col("place") < F.col("unit_end")), "left")
+    return hit.groupBy("paper_id", "place").agg(F.min_by("unit_id", "unit_no").alias("unit_id"))
+
+
+GOLD_SQL = """gold AS (SELECT 'q' || item_id AS qid, doc_id AS paper_id, (i - 1)::INT AS char_start, (i - 1 + length(b.text))::INT AS char_end FROM benchmark b JOIN documents d ON contains(d.text, b.text),
+  unnest(range(1, length(d.text) - length(b.text) + 2)) AS t(i) WHERE substr(d.text, i, length(b.text)) = b.text)"""
+
+
+def gold(spark, sf):
+    needles = table(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), F.col("text").alias("needle"))
+    return S.locate(needles, docs(spark, sf).select("paper_id", "text"))
+
+
+@query("locate_spans", f"WITH {GOLD_SQL} SELECT * FROM gold")
+def locate_spans(spark, sf):
+    return gold(spark, sf)
+
+
+@query("nearest_passage")
+def nearest_passage(spark, sf):
+    """The longest common run of each benchmark passage's start with any document that shares one of its words' runs of three."""
+    grams = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("ws") - 3, F.lit(0))), lambda i: F.array_join(F.slice("ws", i + 1, 3), " ")), lambda g: g != ""))
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"), X.words(F.col("text")).alias("ws")).select("item_id", "needle", F.explode(grams).alias("g"))
+    d = docs(spark, sf).select("paper_id", X.words(F.col("text")).alias("ws")).select("paper_id", F.explode(grams).alias("g"))
+    met = q.join(d, "g").groupBy("item_id", "needle", "paper_id").agg(F.count("*").alias("n"))
+    best = met.groupBy("item_id").agg(F.max_by(F.struct("paper_id", "needle"), F.struct("n", -F.col("paper_id"))).alias("b")).select("item_id", "b.*")
+
+    def longest(frames):
+        for f in frames:
+            m = [longest_common(a, b) for a, b in zip(f["needle"], f["text"])]
+            yield pd.DataFrame({"item_id": f["item_id"], "paper_id": f["paper_id"], "char_start": [x[0] for x in m], "n_chars": [x[1] for x in m]})
+
+    return best.join(docs(spark, sf).select("paper_id", "text"), "paper_id").mapInPandas(longest, "item_id long, paper_id long, char_start int, n_chars int")
