@@ -1,12 +1,128 @@
-"""Ranked retrieval."""
+"""Ranked retrieval: BM25, exact cosine, reciprocal-rank and distribution-based fusion, deterministic to the last place.
 
+Scores are rounded to PLACES places before they are ranked and ties are broken by chunk id inside every
+top-k, so that neither partitioning nor the order of sums can change a result.
+"""
 
-def build_filter(ranges, keywords):
-    from pyspark.sql import functions as F
+from __future__ import annotations
 
-    c = F.lit(True)
-    for k, (a, b) in ranges.items():
-        c = c & (F.col(k) >= a if a is not None else F.lit(True)) & (F.col(k) <= b if b is not None else F.lit(True))
-    for k, v in keywords.items():
-        c = c & (F.col(k) == v if v is not None else F.lit(True))
-    return c
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import tokens
+
+PLACES, DIMS, MODES = 6, 16, ("dense", "sparse", "hybrid_rrf", "hybrid_dbsf")
+QUERY_BLOCK = 4096
+
+
+def build_filter(ranges: dict, keywords: dict) -> Column:
+    """The conjunction of inclusive ranges (low, high) and equalities; None leaves a side or a key open; nulls never match."""
+    out = F.lit(True)
+    for name, (low, high) in ranges.items():
+        if low is not None:
+            out = out & (F.col(name) >= low)
+        if high is not None:
+            out = out & (F.col(name) <= high)
+    for name, value in keywords.items():
+        if value is not None:
+            out = out & (F.col(name) == value)
+    return out
+
+
+def check_mode(mode: str) -> None:
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """chunker, chunk_id, token, tf, size (tokens in the chunk). chunks: chunker, chunk_id, text."""
+    t = chunks.select("chunker", "chunk_id", tokens(F.col("text")).alias("ts")).select("chunker", "chunk_id", F.size("ts").alias("size"), F.explode("ts").alias("token"))
+    return t.groupBy("chunker", "chunk_id", "size", "token").agg(F.count("*").alias("tf"))
+
+
+def idf(df: Column, n: Column) -> Column:
+    return F.ln(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def idf_table(posted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunker, token, df, idf over the whole collection: filters never change it."""
+    n = chunks.groupBy("chunker").agg(F.count("*").alias("n"))
+    df = posted.groupBy("chunker", "token").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(n), "chunker").select("chunker", "token", "df", idf(F.col("df"), F.col("n")).alias("idf"))  # a row a chunker
+
+
+def sparse_scores(questions: DataFrame, posted: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """chunker, qid, chunk_id, score of every chunk that shares a token with a question. questions: qid, ts (distinct tokens)."""
+    q = questions.select("qid", F.explode("ts").alias("token"))
+    mean = posted.groupBy("chunker", "chunk_id").agg(F.max("size").alias("size")).groupBy("chunker").agg(F.sum("size").alias("total"))
+    mean = mean.join(chunks.groupBy("chunker").agg(F.count("*").alias("n")), "chunker").select("chunker", "n", (F.col("total") / F.col("n")).alias("mean"))
+    wanted = posted.join(q.select("token").distinct(), "token", "left_semi")
+    df = wanted.groupBy("chunker", "token").agg(F.count("*").alias("df"))
+    weighed = wanted.join(df, ["chunker", "token"]).join(F.broadcast(mean), "chunker")
+    weight = idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    scored = weighed.select("chunker", "chunk_id", "token", weight.alias("w")).join(q, "token")
+    return scored.groupBy("chunker", "qid", "chunk_id").agg(F.round(F.sum("w"), PLACES).alias("score"))
+
+
+def hashed_vectors(posted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, vec: a deterministic stand-in for an embedder; counts of tokens hashed to DIMS places."""
+    place = (F.conv(F.substring(F.md5("token"), 1, 2), 16, 10).cast("int") % DIMS).alias("d")
+    by = posted.select(*keys, place, "tf").groupBy(*keys).agg(*[F.sum(F.when(F.col("d") == i, F.col("tf")).otherwise(0)).cast("double").alias(f"v{i}") for i in range(DIMS)])
+    return by.select(*keys, F.array(*[f"v{i}" for i in range(DIMS)]).alias("vec"))
+
+
+def dense_scores(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int, places: int = PLACES) -> DataFrame:
+    """keys, qid, score: of every batch of vectors the k best (and ties) for each query by cosine; zero vectors are left out.
+
+    The queries are a stated set, held by the tasks in blocks of QUERY_BLOCK; the vectors stay where they are.
+    """
+    rows = queries.select("qid", "vec").collect()
+    out = None
+    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
+        block = [r for r in rows[at : at + QUERY_BLOCK] if any(r.vec or ())]
+        q = np.float64([r.vec for r in block]).reshape(len(block), -1)
+        part = _dense_block([r.qid for r in block], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(block) else q, vectors, keys, k, places, queries.schema["qid"].dataType.simpleString())
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _dense_block(qids, q, vectors, keys, k, places, kind):
+    kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 2048):
+                part = b.slice(s, 2048)
+                x = part.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                if not len(qids) or x.shape[1] != q.shape[1]:
+                    continue
+                norm = np.linalg.norm(x, axis=1)
+                score = np.where(norm > 0, np.round(q @ (x / np.maximum(norm, 1e-300)[:, None]).T, places), -np.inf)
+                least = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
+                i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(j)) for c in range(len(keys))), pa.array([qids[n] for n in i.tolist()]), pa.array(score[i, j])], names=[*keys, "qid", "score"])
+
+    return vectors.select(*keys, F.col("vec").cast("array<double>")).where("vec is not null").mapInArrow(run, f"{kinds}, qid {kind}, score double")
+
+
+def top(scored: DataFrame, by: list[str], k: int, tie: str = "chunk_id") -> DataFrame:
+    """The k best of each group with their rank, from 1."""
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), tie)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def fuse_rrf(branches: DataFrame, k: float = 2) -> DataFrame:
+    """Sum over branches of 1 / (k + rank from 0)."""
+    return branches.groupBy("chunker", "qid", "chunk_id").agg(F.round(F.sum(1 / (k + F.col("rank") - 1)), PLACES).alias("score"))
+
+
+def fuse_dbsf(branches: DataFrame) -> DataFrame:
+    """Sum over branches of the score's place between mean - 3 and mean + 3 deviations; half where there is no spread."""
+    w = Window.partitionBy("branch", "chunker", "qid")
+    m, s = F.avg("score").over(w), F.stddev_samp("score").over(w)
+    part = F.when(F.coalesce(s, F.lit(0.0)) > 0, (F.col("score") - (m - 3 * s)) / (6 * s)).otherwise(F.lit(0.5))
+    return branches.withColumn("part", part).groupBy("chunker", "qid", "chunk_id").agg(F.round(F.sum("part"), PLACES).alias("score"))

@@ -1 +1,148 @@
-"""Queries."""
+"""Queries over ranked retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import chunking as C
+from ..operators import retrieval as R
+from .registry import query, table
+from .spans import WORDS_SQL
+
+CHUNKS_SQL = f"""p AS (SELECT doc_id AS paper_id, text FROM documents), {WORDS_SQL.format('p')},
+lines AS (SELECT d.doc_id AS paper_id, pos, length(line) AS n, sum(length(line) + 1) OVER (PARTITION BY d.doc_id ORDER BY pos) - 1 AS char_end FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS t(line, pos)),
+spans AS (SELECT 'fixed' AS chunker, paper_id, i // 60 AS chunk_no, min(char_start) AS char_start, max(char_end) AS char_end FROM words GROUP BY ALL
+  UNION ALL SELECT 'section_aware', paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY pos) - 1, char_end - n, char_end FROM lines WHERE n > 0),
+chunks AS MATERIALIZED (SELECT chunker, s.paper_id, format('{{}}:{{}}:{{:04d}}', s.paper_id, chunker, chunk_no) AS chunk_id, s.char_start::INT AS char_start, s.char_end::INT AS char_end, substr(d.text, s.char_start::INT + 1, (s.char_end - s.char_start)::INT) AS text FROM spans s JOIN documents d ON d.doc_id = s.paper_id),
+posted AS MATERIALIZED (SELECT *, sum(tf) OVER (PARTITION BY chunk_id) AS size FROM (SELECT chunker, chunk_id, token, count(*) AS tf FROM (SELECT chunker, chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM chunks) GROUP BY chunker, chunk_id, token)),
+ns AS (SELECT chunker, count(*) AS n FROM chunks GROUP BY chunker),
+idfs AS MATERIALIZED (SELECT chunker, token, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posted JOIN ns USING (chunker) GROUP BY ALL)"""
+ASKED = "list_distinct(regexp_extract_all(lower(array_to_string(list_filter(regexp_extract_all(text, '\\S+'), lambda w, i: i % 3 = 1), ' ')), '[\\p{L}\\p{N}]+'))"
+BRANCHES_SQL = f"""{CHUNKS_SQL},
+questions AS (SELECT 'q' || item_id AS qid, {ASKED} AS ts FROM benchmark),
+asked AS (SELECT qid, unnest(ts) AS token FROM questions),
+means AS (SELECT chunker, sum(tf) / any_value(n) AS mean FROM posted JOIN ns USING (chunker) GROUP BY chunker),
+sparse AS (SELECT p.chunker, qid, chunk_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM posted p JOIN asked USING (token) JOIN idfs i ON i.chunker = p.chunker AND i.token = p.token JOIN means m ON m.chunker = p.chunker GROUP BY ALL),
+cvec AS (SELECT chunker, chunk_id, ('0x' || substr(md5(token), 1, 2))::INT % 16 AS d, sum(tf)::DOUBLE AS v FROM posted GROUP BY ALL),
+cnorm AS (SELECT chunk_id, sqrt(sum(v * v)) AS norm FROM cvec GROUP BY chunk_id),
+qvec AS (SELECT qid, ('0x' || substr(md5(token), 1, 2))::INT % 16 AS d, count(*)::DOUBLE AS v FROM asked GROUP BY ALL),
+qnorm AS (SELECT qid, sqrt(sum(v * v)) AS norm FROM qvec GROUP BY qid),
+dots AS (SELECT chunker, qid, chunk_id, sum(c.v * q.v) AS dot FROM cvec c JOIN qvec q USING (d) GROUP BY ALL),
+-- a chunk that shares no place with a question has cosine 0 and can only fill up a list
+dense AS (SELECT c.chunker, n.qid, c.chunk_id, round(coalesce(dot, 0) / (c2.norm * n.norm), 6) AS score FROM (SELECT DISTINCT chunker, chunk_id FROM posted) c JOIN cnorm c2 USING (chunk_id) CROSS JOIN qnorm n LEFT JOIN dots d ON d.chunk_id = c.chunk_id AND d.qid = n.qid),
+ranked AS MATERIALIZED (SELECT * FROM (SELECT 'sparse' AS branch, *, row_number() OVER (PARTITION BY chunker, qid ORDER BY score DESC, chunk_id) AS rank FROM sparse
+  UNION ALL SELECT 'dense', *, row_number() OVER (PARTITION BY chunker, qid ORDER BY score DESC, chunk_id) FROM dense) WHERE rank <= 100)"""
+RRF_SQL = "SELECT chunker, qid, chunk_id, round(sum(1 / (2 + rank - 1)), 6) AS score FROM ranked GROUP BY ALL"
+DBSF_SQL = """SELECT chunker, qid, chunk_id, round(sum(part), 6) AS score FROM (SELECT *, CASE WHEN coalesce(s, 0) > 0 THEN (score - (m - 3 * s)) / (6 * s) ELSE 0.5 END AS part
+ FROM (SELECT *, avg(score) OVER w AS m, stddev_samp(score) OVER w AS s FROM ranked WINDOW w AS (PARTITION BY branch, chunker, qid))) GROUP BY ALL"""
+TOP_SQL = "SELECT *, row_number() OVER (PARTITION BY chunker, qid ORDER BY score DESC, chunk_id) AS rank FROM ({0}) QUALIFY rank <= 10"
+HITS_SQL = f"""{BRANCHES_SQL},
+hits AS MATERIALIZED (SELECT h.chunker, h.mode, h.qid, h.rank::INT AS rank, h.chunk_id, h.score, c.paper_id, c.char_start, c.char_end, c.text,
+  coalesce(list_sum(list_transform(regexp_extract_all(c.text, '\\S+'), lambda w: ceil(length(w) / 4)::INT)), 0)::INT + 2 AS n_tokens FROM (
+  SELECT branch AS mode, chunker, qid, chunk_id, score, rank FROM ranked WHERE rank <= 10
+  UNION ALL SELECT 'hybrid_rrf', chunker, qid, chunk_id, score, rank FROM ({TOP_SQL.format(RRF_SQL)})
+  UNION ALL SELECT 'hybrid_dbsf', chunker, qid, chunk_id, score, rank FROM ({TOP_SQL.format(DBSF_SQL)})) h JOIN chunks c ON c.chunk_id = h.chunk_id)"""
+_KEPT: dict = {}
+
+
+def kept(name, spark, sf, make):
+    """Intermediate results that many queries share are worked out once a session."""
+    key = (name, spark.sparkContext.applicationId, sf)
+    if key not in _KEPT:
+        _KEPT[key] = make().persist()
+    return _KEPT[key]
+
+
+def chunks(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    both = C.chunk_documents(docs, "fixed", C.window_chunks).unionByName(C.chunk_documents(docs, "section_aware", C.line_chunks))
+    return both.withColumn("chunk_id", F.format_string("%d:%s:%04d", "paper_id", "chunker", "chunk_no"))
+
+
+def posted(spark, sf):
+    return R.postings(chunks(spark, sf))
+
+
+def questions(spark, sf):
+    third = F.array_join(F.filter(X.words(F.col("text")), lambda w, i: i % 3 == 0), " ")
+    return table(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), "text", F.array_distinct(X.tokens(third)).alias("ts"))
+
+
+def branches(spark, sf, prefetch: int = 100):
+    """The prefetch best of each branch: branch, chunker, qid, chunk_id, score, rank."""
+
+    def make():
+        p, c, q = kept("posted", spark, sf, lambda: posted(spark, sf)), chunks(spark, sf), questions(spark, sf)
+        asked = R.hashed_vectors(q.select("qid", F.explode("ts").alias("token"), F.lit(1).alias("tf")), ["qid"])
+        dense = R.dense_scores(asked, R.hashed_vectors(p, ["chunker", "chunk_id"]), ["chunker", "chunk_id"], prefetch)
+        sparse = R.sparse_scores(q, p, c)
+        both = sparse.withColumn("branch", F.lit("sparse")).unionByName(dense.withColumn("branch", F.lit("dense")))
+        return R.top(both, ["branch", "chunker", "qid"], prefetch)
+
+    return kept(f"branches{prefetch}", spark, sf, make)
+
+
+def search(spark, sf, mode: str, limit: int = 10):
+    R.check_mode(mode)
+    b = branches(spark, sf)
+    if mode in ("dense", "sparse"):
+        return b.where(F.col("branch") == mode).where(F.col("rank") <= limit).select("chunker", "qid", "chunk_id", "score", "rank")
+    return R.top(R.fuse_rrf(b) if mode == "hybrid_rrf" else R.fuse_dbsf(b), ["chunker", "qid"], limit).select("chunker", "qid", "chunk_id", "score", "rank")
+
+
+def hits(spark, sf):
+    """chunker, mode, qid, rank, score and the chunk of every configuration's ten best."""
+
+    def make():
+        out = None
+        for mode in R.MODES:
+            part = search(spark, sf, mode).withColumn("mode", F.lit(mode))
+            out = part if out is None else out.unionByName(part)
+        return out.join(chunks(spark, sf).select("chunk_id", "paper_id", "char_start", "char_end", "n_tokens", "text"), "chunk_id")
+
+    return kept("hits", spark, sf, make)
+
+
+def ranked_sql(inner):
+    return f"WITH {BRANCHES_SQL} SELECT chunker, qid, chunk_id, score, rank::INT AS rank FROM ({inner})"
+
+
+@query("search_sparse", ranked_sql("SELECT * FROM ranked WHERE branch = 'sparse' AND rank <= 10"))
+def search_sparse(spark, sf):
+    return search(spark, sf, "sparse")
+
+
+@query("hybrid_rrf", ranked_sql(TOP_SQL.format(RRF_SQL)))
+def hybrid_rrf(spark, sf):
+    return search(spark, sf, "hybrid_rrf")
+
+
+@query("hybrid_dbsf", ranked_sql(TOP_SQL.format(DBSF_SQL)))
+def hybrid_dbsf(spark, sf):
+    return search(spark, sf, "hybrid_dbsf")
+
+
+@query("search_dense", """SELECT q.vec_id AS qid, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score,
+ (row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id))::INT AS rank
+ FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10""")
+def search_dense(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    queries = e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("qid"), F.col("vec").cast("array<double>").alias("vec"))  # the stated query set
+    return R.top(R.dense_scores(queries, e, ["chunk_id"], 10), ["qid"], 10).select("qid", "chunk_id", "score", "rank")
+
+
+@query("prefetch_ceiling", f"WITH {BRANCHES_SQL} SELECT chunker, qid, count(DISTINCT chunk_id) AS candidates, count(DISTINCT chunk_id) <= 200 AS within FROM ranked GROUP BY ALL")
+def prefetch_ceiling(spark, sf):
+    return branches(spark, sf).groupBy("chunker", "qid").agg(F.count_distinct("chunk_id").alias("candidates")).withColumn("within", F.col("candidates") <= 200)
+
+
+@query("idf_table", f"WITH {CHUNKS_SQL} SELECT chunker, token, df, round(idf, 6) AS idf FROM idfs")
+def idf_table(spark, sf):
+    return R.idf_table(kept("posted", spark, sf, lambda: posted(spark, sf)), chunks(spark, sf)).select("chunker", "token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("config_grid", "SELECT 'q' || item_id AS qid, c AS chunker, m AS mode FROM benchmark, unnest(['fixed', 'section_aware']) AS t(c), unnest(['dense', 'sparse', 'hybrid_rrf', 'hybrid_dbsf']) AS u(m)")
+def config_grid(spark, sf):
+    q = questions(spark, sf).select("qid", F.explode(F.array(F.lit("fixed"), F.lit("section_aware"))).alias("chunker"))
+    return q.select("*", F.explode(F.array(*map(F.lit, R.MODES))).alias("mode"))
