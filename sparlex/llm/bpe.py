@@ -1,14 +1,16 @@
 """Byte-level BPE over slices of texts: each distinct chunk is encoded once by the tokenizers library.
 
 A chunk is white space and the word behind it. The pre-tokeniser's pattern never matches
-across the end of a word before white space, so chunks are encoded independently and the
-ids are those of the whole text. Texts with white space outside ASCII are encoded whole.
+across the end of a word before white space, nor from an ASCII letter to a comma or the like
+(where a chunk ends too), so chunks are encoded independently and the ids are those of the
+whole text. Texts with white space outside ASCII are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -16,6 +18,9 @@ from .arrays import Texts
 
 WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 MOST_CHUNKS = 3_000_000
+LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+STOP[list(b",.;:!?)")] = True
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -45,20 +50,22 @@ class Encoder:
         need = self.used + int(size.sum())
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(need, 2 * len(self.ids)) - len(self.ids), np.int32)])
-        self.ids[self.used : need] = np.fromiter((i for x in ids for i in x), np.int32, need - self.used)
+        self.ids[self.used : need] = np.fromiter(chain.from_iterable(ids), np.int32, need - self.used)
         at = self.used + np.cumsum(size) - size
         self.used = need
-        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        o = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[o], at[o], size[o]
+        to = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, to, keys), np.insert(self.at, to, at), np.insert(self.size, to, size)
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""
         if len(self.keys) > MOST_CHUNKS:
             self.clear()
         t.words()
-        ends = np.union1d(t.end, t.offs[1:])
-        ends = ends[ends > 0]
+        mark = np.zeros(len(t.buf) + 1, bool)
+        mark[t.end] = mark[t.offs[1:]] = True
+        mark[1:-1] |= LETTER[t.buf[:-1]] & STOP[t.buf[1:]]
+        mark[0] = False
+        ends = np.flatnonzero(mark)
         for m in list(WIDE_SPACE.finditer(t.buf.data if t.buf.flags.c_contiguous else t.buf.tobytes())) if len(t.buf) else []:
             k = int(np.searchsorted(t.offs, m.start(), "right")) - 1
             if len(ends) == 0 or ends[np.searchsorted(ends, m.end())] != t.offs[k + 1]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import slices
+from .arrays import SLICE_BYTES, slices
 from .bpe import default_path, encoder, with_end
 from .common import map_arrow, shared_dir, utf8_bytes
 from .files import opened, written
@@ -118,7 +118,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         for b in batches:
             own = b.column(0).fill_null(int(NONE)).to_numpy()
-            for at, t in slices(b.column(1)):
+            for at, t in slices(b.column(1), min(SLICE_BYTES, 4 * ids_per_file)):
                 ids, offs = with_end(*tok.encode(t), end_id)
                 held.append((own[at : at + t.n], ids, np.diff(offs)))
                 have += len(ids)
