@@ -51,7 +51,7 @@ def normalize_text(c: Column, nfkc: bool = True) -> Column:
 
 def strip_citations(c: Column) -> Column:
     """Bracketed number ranges, then bracketed numbers, are removed."""
-    c = F.regexp_replace(c, "(?U)\\[\\d+\\](?:[-–]\\[\\d+\\])+", "")
+    c = F.regexp_replace(c, "(?U)\\[\\d+\\](?:\\s*[-–]\\s*\\[\\d+\\])+", "")
     return F.regexp_replace(c, "(?U)\\[\\d+\\]", "")
 
 

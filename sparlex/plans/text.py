@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import tei
 from ..operators.markup import markup_units
 from .registry import query, table
 
@@ -179,3 +180,14 @@ def abstention_rates(spark, sf):
 @query("markup_units")
 def markup(spark, sf):
     return markup_units(table(spark, sf, "pages"), "page_id", "html")
+
+
+TEI = """concat('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>I. INTRODUCTION</head><p>', replace(replace(left(text, 300), '&', ''), '<', ''),
+ ' <ref type="bibr">[1]</ref>.</p></div><div><head>References</head><p>gone</p></div><div><head>A. DETAIL</head><p>', lang, '</p></div></body></text></TEI>')"""
+
+
+@query("tei_units", """SELECT doc_id AS paper_id, k AS unit_pos, CASE k WHEN 0 THEN 'I. INTRODUCTION' ELSE 'A. DETAIL' END AS section_heading, k AS section_index, (k + 1)::INT AS section_level, 'I. INTRODUCTION' AS parent_heading, 'introduction' AS section_type,
+ CASE k WHEN 0 THEN replace(replace(left(text, 300), '&', ''), '<', '') || ' .' ELSE lang END AS raw_text FROM documents, unnest([0, 1]) AS t(k)""")
+def tei_units(spark, sf):
+    papers = docs(spark, sf).select(F.col("doc_id").alias("paper_id"), F.expr(TEI).alias("tei"))
+    return tei.units(tei.tei_rows(papers)).select("paper_id", "unit_pos", "section_heading", "section_index", "section_level", "parent_heading", "section_type", "raw_text")

@@ -39,7 +39,7 @@ def jsonl_roundtrip(df: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """path, text of whole text files."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_binary(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
