@@ -12,7 +12,7 @@ from ..operators import retrieval as R
 from ..operators.spans import overlap_ratio
 from .metadata import DOI, DOI_SQL
 from .registry import query, table
-from .search import CHUNKS_SQL, HITS_SQL, chunks, hits, kept, posted
+from .search import CHUNKS_SQL, DBSF_SQL, HITS_SQL, RRF_SQL, TOP_SQL, branches_within, chunks, hits, kept, modes_of, posted
 from .spans import GOLD_SQL, gold
 
 RATIO_SQL = "greatest(0, least(h.char_end, g.char_end) - greatest(h.char_start, g.char_start)) / least(h.char_end - h.char_start, g.char_end - g.char_start)"
@@ -234,13 +234,31 @@ def idf_regression(spark, sf):
 
 
 # ---- pooling and judging ----
-RAW_SQL = f"{HITS_SQL}, {GOLD_SQL}, raw AS MATERIALIZED (SELECT qid, paper_id, char_start, char_end, [chunker || '/' || mode] AS configs, 'search' AS seed FROM hits UNION ALL SELECT *, []::VARCHAR[], 'manual' FROM gold)"
+WITHIN_SQL = f"""{HITS_SQL}, {GOLD_SQL}, allowed AS (SELECT DISTINCT qid, paper_id FROM gold),
+inside AS (SELECT 'sparse' AS branch, s.* FROM sparse s JOIN chunks c USING (chunk_id) JOIN allowed a ON a.qid = s.qid AND a.paper_id = c.paper_id UNION ALL SELECT 'dense', s.* FROM dense s JOIN chunks c USING (chunk_id) JOIN allowed a ON a.qid = s.qid AND a.paper_id = c.paper_id),
+ranked_in AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY branch, chunker, qid ORDER BY score DESC, chunk_id) AS rank FROM inside QUALIFY rank <= 100),
+top_in AS (SELECT branch AS mode, chunker, qid, chunk_id FROM ranked_in WHERE rank <= 10 UNION ALL SELECT 'hybrid_rrf', chunker, qid, chunk_id FROM ({TOP_SQL.format(RRF_SQL.replace('ranked', 'ranked_in'))}) UNION ALL SELECT 'hybrid_dbsf', chunker, qid, chunk_id FROM ({TOP_SQL.format(DBSF_SQL.replace('ranked', 'ranked_in'))})),
+searched AS (SELECT qid, paper_id, char_start, char_end, chunker, mode FROM hits WHERE qid NOT IN (SELECT qid FROM allowed) UNION ALL SELECT t.qid, c.paper_id, c.char_start, c.char_end, t.chunker, t.mode FROM top_in t JOIN chunks c USING (chunk_id))"""
+RAW_SQL = f"{WITHIN_SQL}, raw AS MATERIALIZED (SELECT qid, paper_id, char_start, char_end, [chunker || '/' || mode] AS configs, 'search' AS seed FROM searched UNION ALL SELECT *, []::VARCHAR[], 'manual' FROM gold)"
 POOL_SQL = f"{RAW_SQL}, pool AS MATERIALIZED (SELECT qid, paper_id, char_start, char_end, list_sort(flatten(list(DISTINCT configs))) AS configs, bool_or(seed = 'manual') AS manual FROM raw GROUP BY ALL)"
 NEGATIVE = "(char_start % 3 = 0 OR CAST(substr(qid, 2) AS INT) % 4 = 1)"
 
 
+def pooled_hits(spark, sf):
+    """Answerable questions search their own papers only; the others search everything."""
+
+    def make():
+        allowed = spans_of(spark, sf).select("qid", "paper_id").distinct()
+        place = chunks(spark, sf).select("chunk_id", "paper_id", "char_start", "char_end")
+        inside = modes_of(branches_within(spark, sf, allowed)).join(place, "chunk_id")
+        cols = ["qid", "paper_id", "char_start", "char_end", "chunker", "mode"]
+        return hits(spark, sf).join(allowed.select("qid").distinct(), "qid", "left_anti").select(*cols).unionByName(inside.select(*cols))
+
+    return kept("pooled", spark, sf, make)
+
+
 def raw(spark, sf):
-    h = hits(spark, sf).select("qid", "paper_id", "char_start", "char_end", F.array(F.concat_ws("/", "chunker", "mode")).alias("configs"), F.lit("search").alias("seed"))
+    h = pooled_hits(spark, sf).select("qid", "paper_id", "char_start", "char_end", F.array(F.concat_ws("/", "chunker", "mode")).alias("configs"), F.lit("search").alias("seed"))
     return h.unionByName(spans_of(spark, sf).select("*", F.array().cast("array<string>").alias("configs"), F.lit("manual").alias("seed")))
 
 

@@ -91,15 +91,35 @@ def search(spark, sf, mode: str, limit: int = 10):
     return R.top(R.fuse_rrf(b) if mode == "hybrid_rrf" else R.fuse_dbsf(b), ["chunker", "qid"], limit).select("chunker", "qid", "chunk_id", "score", "rank")
 
 
+def branches_within(spark, sf, allowed, prefetch: int = 100):
+    """As branches, for the questions of allowed (qid, paper_id) and within their papers: the filter stands before every top-k."""
+    p, c, q = kept("posted", spark, sf, lambda: posted(spark, sf)), chunks(spark, sf), questions(spark, sf)
+    place = c.select("chunk_id", "paper_id").join(allowed.distinct(), "paper_id")
+    asked = R.hashed_vectors(q.select("qid", F.explode("ts").alias("token"), F.lit(1).alias("tf")), ["qid"]).withColumnRenamed("vec", "asked")
+    pairs = R.hashed_vectors(p, ["chunker", "chunk_id"]).join(place, "chunk_id").join(asked, "qid")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    cosine = F.round(dot("vec", "asked") / F.sqrt(dot("vec", "vec")) / F.sqrt(dot("asked", "asked")), R.PLACES)
+    dense = pairs.select("chunker", "qid", "chunk_id", cosine.alias("score"))
+    sparse = R.sparse_scores(q.join(allowed.select("qid").distinct(), "qid", "left_semi"), p, c).join(place, ["qid", "chunk_id"], "left_semi")
+    both = sparse.withColumn("branch", F.lit("sparse")).unionByName(dense.withColumn("branch", F.lit("dense")))
+    return R.top(both, ["branch", "chunker", "qid"], prefetch)
+
+
+def modes_of(branched, limit: int = 10):
+    """The best of every mode: chunker, mode, qid, chunk_id, score, rank."""
+    cols = ["chunker", "qid", "chunk_id", "score", "rank"]
+    out = branched.where(F.col("rank") <= limit).select(*cols, F.col("branch").alias("mode"))
+    for mode, fuse in (("hybrid_rrf", R.fuse_rrf), ("hybrid_dbsf", R.fuse_dbsf)):
+        out = out.unionByName(R.top(fuse(branched), ["chunker", "qid"], limit).select(*cols, F.lit(mode).alias("mode")))
+    return out
+
+
 def hits(spark, sf):
     """chunker, mode, qid, rank, score and the chunk of every configuration's ten best."""
 
     def make():
-        out = None
-        for mode in R.MODES:
-            part = search(spark, sf, mode).withColumn("mode", F.lit(mode))
-            out = part if out is None else out.unionByName(part)
-        return out.join(chunks(spark, sf).select("chunk_id", "paper_id", "char_start", "char_end", "n_tokens", "text"), "chunk_id")
+        place = chunks(spark, sf).select("chunk_id", "paper_id", "char_start", "char_end", "n_tokens", "text")
+        return modes_of(branches(spark, sf)).join(place, "chunk_id")
 
     return kept("hits", spark, sf, make)
 
