@@ -6,6 +6,9 @@ top-k, so that neither partitioning nor the order of sums can change a result.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-
 PLACES, DIMS, MODES = 6, 16, ("dense", "sparse", "hybrid_rrf", "hybrid_dbsf")
 QUERY_BLOCK = 4096
 
@@ -38,10 +39,34 @@ def check_mode(mode: str) -> None:
         raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunker, chunk_id, token, tf, size (tokens in the chunk). chunks: chunker, chunk_id, text."""
-    t = chunks.select("chunker", "chunk_id", tokens(F.col("text")).alias("ts")).select("chunker", "chunk_id", F.size("ts").alias("size"), F.explode("ts").alias("token"))
-    return t.groupBy("chunker", "chunk_id", "size", "token").agg(F.count("*").alias("tf"))
+def analyze(chunks: DataFrame) -> DataFrame:
+    """chunker, chunk_id, size (tokens), terms (token and tf), vec (hashed counts): a chunk's row holds all that its
+    postings and its vector need, so neither takes a shuffle. chunks: chunker, chunk_id, text."""
+    word = re.compile(r"[^\W_]+")  # runs of letters and digits, as the default analyser's
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[str, int] = {}
+        for b in batches:
+            sizes, terms, vecs = [], [], np.zeros((b.num_rows, DIMS))
+            for k, text in enumerate(b.column(2).to_pylist()):
+                tf = Counter(word.findall((text or "").lower()))
+                for t, n in tf.items():
+                    if (d := place.get(t)) is None:
+                        d = place[t] = int(hashlib.md5(t.encode()).hexdigest()[:2], 16) % DIMS
+                    vecs[k, d] += n
+                sizes.append(sum(tf.values()))
+                terms.append([{"token": t, "tf": n} for t, n in tf.items()])
+            if len(place) > 1_000_000:
+                place.clear()
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * DIMS, DIMS), pa.int32()), pa.array(vecs.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64())]))), vec], names=["chunker", "chunk_id", "size", "terms", "vec"])
+
+    return chunks.select("chunker", "chunk_id", "text").mapInArrow(run, "chunker string, chunk_id string, size int, terms array<struct<token:string,tf:long>>, vec array<double>")
+
+
+def postings(analyzed: DataFrame) -> DataFrame:
+    """chunker, chunk_id, size, token, tf."""
+    return analyzed.select("chunker", "chunk_id", "size", F.inline("terms"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -55,16 +80,17 @@ def idf_table(posted: DataFrame, chunks: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n), "chunker").select("chunker", "token", "df", idf(F.col("df"), F.col("n")).alias("idf"))  # a row a chunker
 
 
-def sparse_scores(questions: DataFrame, posted: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """chunker, qid, chunk_id, score of every chunk that shares a token with a question. questions: qid, ts (distinct tokens)."""
+def sparse_scores(questions: DataFrame, analyzed: DataFrame, k1: float = 1.2, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
+    """chunker, qid, chunk_id, score of every chunk that shares a token with a question. questions: qid, ts (distinct tokens); only: the chunk_id that may be found (counts still cover all)."""
     q = questions.select("qid", F.explode("ts").alias("token"))
-    mean = posted.groupBy("chunker", "chunk_id").agg(F.max("size").alias("size")).groupBy("chunker").agg(F.sum("size").alias("total"))
-    mean = mean.join(chunks.groupBy("chunker").agg(F.count("*").alias("n")), "chunker").select("chunker", "n", (F.col("total") / F.col("n")).alias("mean"))
+    mean = analyzed.groupBy("chunker").agg(F.count("*").alias("n"), (F.sum("size") / F.count("*")).alias("mean"))
+    posted = postings(analyzed)
     wanted = posted.join(q.select("token").distinct(), "token", "left_semi")
     df = wanted.groupBy("chunker", "token").agg(F.count("*").alias("df"))
     weighed = wanted.join(df, ["chunker", "token"]).join(F.broadcast(mean), "chunker")
     weight = idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    scored = weighed.select("chunker", "chunk_id", "token", weight.alias("w")).join(q, "token")
+    scored = weighed.select("chunker", "chunk_id", "token", weight.alias("w"))
+    scored = (scored if only is None else scored.join(only, "chunk_id", "left_semi")).join(q, "token")
     return scored.groupBy("chunker", "qid", "chunk_id").agg(F.round(F.sum("w"), PLACES).alias("score"))
 
 

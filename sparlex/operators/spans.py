@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import words
+
 SEPARATOR = "\n\n"
 
 
@@ -70,10 +72,17 @@ def dominant_unit(chunks: DataFrame, units: DataFrame) -> DataFrame:
 def locate(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """qid, paper_id, char_start, char_end of all occurrences, overlapping ones too. needles: qid, needle; texts: paper_id, text.
 
-    Needles are a stated query set: they are compared with every text in one pass (broadcast while Spark's size
-    check allows it), and places are listed only in the texts that hold them.
+    A text that holds a needle holds its inner words whole, so the needle's longest inner word finds the texts to look
+    into by an equi-join; only needles of one or two words are compared with every text.
     """
-    hit = needles.join(texts, F.contains("text", "needle") & (F.length("needle") > 0))
+    needles = needles.where(F.length("needle") > 0).select("qid", "needle", words(F.col("needle")).alias("ws"))
+    inner = F.slice("ws", F.lit(2), F.size("ws") - 2)
+    anchor = F.aggregate(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    long = needles.where(F.size("ws") > 2).select("qid", "needle", anchor.alias("word"))
+    held = texts.select("paper_id", words(F.col("text")).alias("ws")).select("paper_id", F.explode(F.array_distinct("ws")).alias("word"))
+    seen = held.join(long, "word").select("qid", "needle", "paper_id").join(texts, "paper_id")
+    short = needles.where(F.size("ws") <= 2).select("qid", "needle").join(texts, F.contains("text", "needle"))
+    hit = seen.where(F.contains("text", "needle")).select("qid", "needle", "paper_id", "text").unionByName(short.select("qid", "needle", "paper_id", "text"))
     places = F.filter(F.sequence(F.lit(1), F.length("text") - F.length("needle") + 1), lambda i: F.substr("text", i, F.length("needle")) == F.col("needle"))
     at = hit.select("qid", "paper_id", F.length("needle").alias("n"), F.explode(places).alias("at"))
     return at.select("qid", "paper_id", (F.col("at") - 1).alias("char_start"), (F.col("at") - 1 + F.col("n")).alias("char_end"))

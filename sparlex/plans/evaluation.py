@@ -12,7 +12,7 @@ from ..operators import retrieval as R
 from ..operators.spans import overlap_ratio
 from .metadata import DOI, DOI_SQL
 from .registry import query, table
-from .search import CHUNKS_SQL, DBSF_SQL, HITS_SQL, RRF_SQL, TOP_SQL, branches_within, chunks, hits, kept, modes_of, posted
+from .search import CHUNKS_SQL, DBSF_SQL, HITS_SQL, RRF_SQL, TOP_SQL, analyzed, branches_within, chunks, hits, kept, modes_of
 from .spans import GOLD_SQL, gold
 
 RATIO_SQL = "greatest(0, least(h.char_end, g.char_end) - greatest(h.char_start, g.char_start)) / least(h.char_end - h.char_start, g.char_end - g.char_start)"
@@ -188,8 +188,8 @@ def overlaps(spark, sf):
         third = F.array_join(F.filter("ws", lambda w, i: i % 3 == 0), " ")
         b = b.select("qid", "item_id", F.array_distinct(X.tokens(third)).alias("q"), X.tokens(F.array_join(F.slice("ws", F.lit(1), F.expr("int(size(ws) div 2)")), " ")).alias("a"))
         t = b.select("qid", "item_id", F.explode("q").alias("token"), "a").withColumn("shared", F.array_contains("a", F.col("token")))
-        c = chunks(spark, sf).where("chunker = 'fixed'")
-        idf = R.idf_table(kept("posted", spark, sf, lambda: posted(spark, sf)).where("chunker = 'fixed'"), c).select("token", "idf")
+        c = analyzed(spark, sf).where("chunker = 'fixed'")
+        idf = R.idf_table(R.postings(c), c).select("token", "idf")
         n = c.agg(F.count("*").alias("n")).first().n
         w = F.coalesce("idf", F.ln(1 + (F.lit(n) + 0.5) / 0.5))
         return t.join(idf, "token", "left").groupBy("qid", "item_id").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("shared"), w)), F.sum(w)), F.lit(0.0)).alias("overlap"))

@@ -18,3 +18,9 @@ def query(name: str, sql: str | None = None):
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """Rows dealt to all cores where the input is fewer files than half of them (one small file); larger inputs stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import retrieval as R
-from .registry import query, table
+from .registry import query, spread, table
 from .spans import WORDS_SQL
 
 CHUNKS_SQL = f"""p AS (SELECT doc_id AS paper_id, text FROM documents), {WORDS_SQL.format('p')},
@@ -55,13 +55,17 @@ def kept(name, spark, sf, make):
 
 
 def chunks(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text"))
     both = C.chunk_documents(docs, "fixed", C.window_chunks).unionByName(C.chunk_documents(docs, "section_aware", C.line_chunks))
     return both.withColumn("chunk_id", F.format_string("%d:%s:%04d", "paper_id", "chunker", "chunk_no"))
 
 
+def analyzed(spark, sf):
+    return kept("analyzed", spark, sf, lambda: R.analyze(chunks(spark, sf)))
+
+
 def posted(spark, sf):
-    return R.postings(chunks(spark, sf))
+    return R.postings(analyzed(spark, sf))
 
 
 def questions(spark, sf):
@@ -73,10 +77,10 @@ def branches(spark, sf, prefetch: int = 100):
     """The prefetch best of each branch: branch, chunker, qid, chunk_id, score, rank."""
 
     def make():
-        p, c, q = kept("posted", spark, sf, lambda: posted(spark, sf)), chunks(spark, sf), questions(spark, sf)
+        a, q = analyzed(spark, sf), questions(spark, sf)
         asked = R.hashed_vectors(q.select("qid", F.explode("ts").alias("token"), F.lit(1).alias("tf")), ["qid"])
-        dense = R.dense_scores(asked, R.hashed_vectors(p, ["chunker", "chunk_id"]), ["chunker", "chunk_id"], prefetch)
-        sparse = R.sparse_scores(q, p, c)
+        dense = R.dense_scores(asked, a.select("chunker", "chunk_id", "vec"), ["chunker", "chunk_id"], prefetch)
+        sparse = R.sparse_scores(q, a)
         both = sparse.withColumn("branch", F.lit("sparse")).unionByName(dense.withColumn("branch", F.lit("dense")))
         return R.top(both, ["branch", "chunker", "qid"], prefetch)
 
@@ -93,14 +97,14 @@ def search(spark, sf, mode: str, limit: int = 10):
 
 def branches_within(spark, sf, allowed, prefetch: int = 100):
     """As branches, for the questions of allowed (qid, paper_id) and within their papers: the filter stands before every top-k."""
-    p, c, q = kept("posted", spark, sf, lambda: posted(spark, sf)), chunks(spark, sf), questions(spark, sf)
-    place = c.select("chunk_id", "paper_id").join(allowed.distinct(), "paper_id")
+    a, q = analyzed(spark, sf), questions(spark, sf)
+    place = chunks(spark, sf).select("chunk_id", "paper_id").join(allowed.distinct(), "paper_id")
     asked = R.hashed_vectors(q.select("qid", F.explode("ts").alias("token"), F.lit(1).alias("tf")), ["qid"]).withColumnRenamed("vec", "asked")
-    pairs = R.hashed_vectors(p, ["chunker", "chunk_id"]).join(place, "chunk_id").join(asked, "qid")
+    pairs = a.select("chunker", "chunk_id", "vec").join(place, "chunk_id").join(asked, "qid")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     cosine = F.round(dot("vec", "asked") / F.sqrt(dot("vec", "vec")) / F.sqrt(dot("asked", "asked")), R.PLACES)
     dense = pairs.select("chunker", "qid", "chunk_id", cosine.alias("score"))
-    sparse = R.sparse_scores(q.join(allowed.select("qid").distinct(), "qid", "left_semi"), p, c).join(place, ["qid", "chunk_id"], "left_semi")
+    sparse = R.sparse_scores(q.join(allowed.select("qid").distinct(), "qid", "left_semi"), a, only=place.select("chunk_id").distinct()).join(place, ["qid", "chunk_id"], "left_semi")
     both = sparse.withColumn("branch", F.lit("sparse")).unionByName(dense.withColumn("branch", F.lit("dense")))
     return R.top(both, ["branch", "chunker", "qid"], prefetch)
 
@@ -159,7 +163,7 @@ def prefetch_ceiling(spark, sf):
 
 @query("idf_table", f"WITH {CHUNKS_SQL} SELECT chunker, token, df, round(idf, 6) AS idf FROM idfs")
 def idf_table(spark, sf):
-    return R.idf_table(kept("posted", spark, sf, lambda: posted(spark, sf)), chunks(spark, sf)).select("chunker", "token", "df", F.round("idf", 6).alias("idf"))
+    return R.idf_table(posted(spark, sf), analyzed(spark, sf)).select("chunker", "token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("config_grid", "SELECT 'q' || item_id AS qid, c AS chunker, m AS mode FROM benchmark, unnest(['fixed', 'section_aware']) AS t(c), unnest(['dense', 'sparse', 'hybrid_rrf', 'hybrid_dbsf']) AS u(m)")

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import spans as S
 from ..operators.spans import longest_common
-from .registry import query, table
+from .registry import query, spread, table
 
 TYPE = "CASE WHEN pos = 0 THEN 'abstract' WHEN pos % 7 = 3 THEN 'caption' ELSE 'section' END"
 UNITS_SQL = f"""
@@ -244,7 +244,7 @@ GOLD_SQL = """gold AS (SELECT 'q' || item_id AS qid, doc_id AS paper_id, (i - 1)
 
 def gold(spark, sf):
     needles = table(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), F.col("text").alias("needle"))
-    return S.locate(needles, docs(spark, sf).select("paper_id", "text"))
+    return S.locate(needles, spread(docs(spark, sf).select("paper_id", "text")))
 
 
 @query("locate_spans", f"WITH {GOLD_SQL} SELECT * FROM gold")
