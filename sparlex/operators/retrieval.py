@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLACES, DIMS, MODES = 6, 16, ("dense", "sparse", "hybrid_rrf", "hybrid_dbsf")
-QUERY_BLOCK = 4096
+QUERY_BLOCK, SPARSE_BLOCK = 4096, 256
 
 
 def build_filter(ranges: dict, keywords: dict) -> Column:
@@ -80,18 +81,65 @@ def idf_table(posted: DataFrame, chunks: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n), "chunker").select("chunker", "token", "df", idf(F.col("df"), F.col("n")).alias("idf"))  # a row a chunker
 
 
-def sparse_scores(questions: DataFrame, analyzed: DataFrame, k1: float = 1.2, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
-    """chunker, qid, chunk_id, score of every chunk that shares a token with a question. questions: qid, ts (distinct tokens); only: the chunk_id that may be found (counts still cover all)."""
-    q = questions.select("qid", F.explode("ts").alias("token"))
-    mean = analyzed.groupBy("chunker").agg(F.count("*").alias("n"), (F.sum("size") / F.count("*")).alias("mean"))
-    posted = postings(analyzed)
-    wanted = posted.join(q.select("token").distinct(), "token", "left_semi")
-    df = wanted.groupBy("chunker", "token").agg(F.count("*").alias("df"))
-    weighed = wanted.join(df, ["chunker", "token"]).join(F.broadcast(mean), "chunker")
-    weight = idf(F.col("df"), F.col("n")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    scored = weighed.select("chunker", "chunk_id", "token", weight.alias("w"))
-    scored = (scored if only is None else scored.join(only, "chunk_id", "left_semi")).join(q, "token")
-    return scored.groupBy("chunker", "qid", "chunk_id").agg(F.round(F.sum("w"), PLACES).alias("score"))
+def sparse_scores(questions: DataFrame, analyzed: DataFrame, k: int | None = None, k1: float = 1.2, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
+    """chunker, qid, chunk_id, score: BM25 of chunks that share a token with a question; with k, of every batch of chunks the k best (and ties) for each question.
+
+    questions: qid, ts (distinct tokens), a stated set that the tasks hold in blocks; only: the chunk_id that may be found.
+    Document frequencies and mean size always cover the whole collection.
+    """
+    rows = questions.select("qid", "ts").collect()
+    asked = questions.select(F.explode("ts").alias("token")).distinct()
+    df = {(r.chunker, r.token): r.df for r in postings(analyzed).join(F.broadcast(asked), "token", "left_semi").groupBy("chunker", "token").agg(F.count("*").alias("df")).collect()}
+    size = {r.chunker: (r.n, r.mean) for r in analyzed.groupBy("chunker").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).collect()}
+    found = analyzed.select("chunker", "chunk_id", "size", "terms")
+    found = found if only is None else found.join(only, "chunk_id", "left_semi").select("chunker", "chunk_id", "size", "terms")
+    kind, out = questions.schema["qid"].dataType.simpleString(), None
+    for at in range(0, max(1, len(rows)), SPARSE_BLOCK):
+        part = _sparse_block(rows[at : at + SPARSE_BLOCK], df, size, found, k, k1, b, kind)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _sparse_block(block, df, size, found, k, k1, b, kind):
+    vocab = sorted({t for r in block for t in r.ts})
+    column = {t: i for i, t in enumerate(vocab)}
+    presence = np.zeros((len(vocab), len(block)))
+    for j, r in enumerate(block):
+        presence[[column[t] for t in r.ts], j] = 1
+    weight = {c: np.log(1 + (n - (d := np.array([df.get((c, t), 0) for t in vocab], float)) + 0.5) / (d + 0.5)) for c, (n, _) in size.items()}
+    qids, step = [r.qid for r in block], max(16, (4 << 20) // max(1, len(vocab)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocab, pa.string())
+        for batch in batches:
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
+                terms = part.column(3)
+                flat, ends = terms.flatten(), terms.offsets.to_numpy()
+                col = pc.index_in(flat.field("token"), known).fill_null(-1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                hit = col >= 0
+                row, col, tf = row[hit], col[hit].astype(np.int64), flat.field("tf").to_numpy()[hit]
+                names, which = np.unique(part.column(0).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+                idfs, mean = np.stack([weight[c] for c in names]), np.array([size[c][1] for c in names])[which]
+                long = k1 * (1 - b + b * part.column(2).to_numpy() / np.where(mean > 0, mean, 1))
+                m = np.zeros((part.num_rows, len(vocab)))
+                m[row, col] = idfs[which[row], col] * tf * (k1 + 1) / (tf + long[row])
+                score = np.round(m @ presence, PLACES).T
+                any_shared = ((m > 0).astype(np.float32) @ presence.astype(np.float32)).T > 0
+                if k is None:
+                    keep = any_shared
+                else:
+                    keep = np.zeros_like(any_shared)
+                    for n in range(len(names)):  # the best of each chunker
+                        own = np.flatnonzero(which == n)
+                        x = np.where(any_shared[:, own], score[:, own], -np.inf)
+                        least = np.partition(x, max(0, len(own) - k), axis=1)[:, max(0, len(own) - k)]
+                        keep[:, own] = (x >= least[:, None]) & (x > -np.inf)
+                i, j = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(j)), pa.array([qids[n] for n in i.tolist()]), part.column(1).take(pa.array(j)), pa.array(score[i, j])], names=["chunker", "qid", "chunk_id", "score"])
+
+    return found.mapInArrow(run, f"chunker string, qid {kind}, chunk_id string, score double")
 
 
 def hashed_vectors(posted: DataFrame, keys: list[str]) -> DataFrame:

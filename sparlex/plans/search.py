@@ -80,7 +80,7 @@ def branches(spark, sf, prefetch: int = 100):
         a, q = analyzed(spark, sf), questions(spark, sf)
         asked = R.hashed_vectors(q.select("qid", F.explode("ts").alias("token"), F.lit(1).alias("tf")), ["qid"])
         dense = R.dense_scores(asked, a.select("chunker", "chunk_id", "vec"), ["chunker", "chunk_id"], prefetch)
-        sparse = R.sparse_scores(q, a)
+        sparse = R.sparse_scores(q, a, prefetch)
         both = sparse.withColumn("branch", F.lit("sparse")).unionByName(dense.withColumn("branch", F.lit("dense")))
         return R.top(both, ["branch", "chunker", "qid"], prefetch)
 
