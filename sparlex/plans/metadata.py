@@ -51,7 +51,10 @@ def paper_digest(spark, sf):
     return docs(spark, sf).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.coalesce(F.nullif(F.expr("CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END"), F.lit("")), F.col("source")).alias("venue"))
 
 
-@query("point_ids")
+H = "sha1(unhex('6f1b2e2a0d1e4c8b9a3a2c7d5e9f00c3') || encode(doc_id || ':fixed:0000'))"
+
+
+@query("point_ids", f"SELECT doc_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', lower(to_hex((('0x' || substr(h, 17, 1))::INT & 3) | 8)), substr(h, 18, 3), '-', substr(h, 21, 12)) AS point_id FROM (SELECT doc_id, {H} AS h FROM documents)")
 def point_ids(spark, sf):
     return docs(spark, sf).select("doc_id", M.point_id(F.concat(F.col("doc_id").cast("string"), F.lit(":fixed:0000"))).alias("point_id"))
 
