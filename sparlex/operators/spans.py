@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 
 SEPARATOR = "\n\n"
+NEEDLE_CHARS = 1 << 18  # of needles that an automaton holds
 
 
 def overlap_chars(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -107,3 +109,126 @@ def longest_common(a: str, b: str) -> tuple[int, int]:
     have = {b[j : j + low] for j in range(len(b) - low + 1)}
     run = next(a[i : i + low] for i in range(len(a) - low + 1) if a[i : i + low] in have)
     return b.index(run), low
+
+
+class CommonRuns:
+    """The longest run that each of a block of needles shares with any of the texts read; of equals, that of the least id, then the earliest in its text.
+
+    A suffix automaton of all needles is walked once by each text. A state keeps its longest match and the first text
+    that reached it; at the end what a state has seen goes to the shorter runs that it ends with.
+    """
+
+    def __init__(self, needles: list[str]):
+        self.next, self.link, self.size, self.needles = [{}], [-1], [0], needles
+        for needle in needles:
+            last = 0
+            for c in needle:
+                last = self._add(last, c)
+        n = len(self.next)
+        self.best, self.best_at = [0] * n, [None] * n  # longest run, its (id, end)
+        self.seen = [None] * n  # the least (id, end) of any run
+
+    def _state(self, size: int, link: int, following: dict) -> int:
+        self.next.append(following)
+        self.link.append(link)
+        self.size.append(size)
+        return len(self.size) - 1
+
+    def _add(self, last: int, c: str) -> int:
+        following, link, size = self.next, self.link, self.size
+        if c in following[last]:
+            q = following[last][c]
+            return q if size[q] == size[last] + 1 else self._split(last, q, c)
+        new = self._state(size[last] + 1, 0, {})
+        while last >= 0 and c not in following[last]:
+            following[last][c] = new
+            last = link[last]
+        if last >= 0:
+            q = following[last][c]
+            link[new] = q if size[q] == size[last] + 1 else self._split(last, q, c)
+        return new
+
+    def _split(self, p: int, q: int, c: str) -> int:
+        copy = self._state(self.size[p] + 1, self.link[q], dict(self.next[q]))
+        self.link[q] = copy
+        while p >= 0 and self.next[p].get(c) == q:
+            self.next[p][c] = copy
+            p = self.link[p]
+        return copy
+
+    def read(self, key: int, text: str) -> None:
+        following, link, size, best, best_at, seen = self.next, self.link, self.size, self.best, self.best_at, self.seen
+        v = n = 0
+        for end, c in enumerate(text, 1):
+            to = following[v].get(c)
+            if to is None:
+                while v and to is None:
+                    v = link[v]
+                    to = following[v].get(c)
+                n = size[v]
+                if to is None:
+                    continue
+            v = to
+            n += 1
+            if n >= best[v] and (n > best[v] or key < best_at[v][0]):
+                best[v], best_at[v] = n, (key, end)
+            if seen[v] is None or key < seen[v][0]:
+                seen[v] = (key, end)
+
+    def found(self) -> list[tuple[int, int, int] | None]:
+        """(length, id, place in its text) for every needle; None where no character is shared."""
+        best = [(n, -at[0], -at[1]) if n else None for n, at in zip(self.best, self.best_at)]
+        seen = list(self.seen)
+        for v in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
+            up, at = self.link[v], seen[v]
+            if up and at is not None:
+                seen[up] = at if seen[up] is None else min(seen[up], at)
+                here = (self.size[up], -at[0], -at[1])
+                best[up] = here if best[up] is None else max(best[up], here)
+        for v in sorted(range(1, len(self.size)), key=self.size.__getitem__):  # a run's longest suffix counts for it too
+            up = best[self.link[v]]
+            best[v] = up if best[v] is None else best[v] if up is None else max(best[v], up)
+        out = []
+        for needle in self.needles:
+            v, top = 0, None
+            for c in needle:
+                v = self.next[v][c]
+                top = best[v] if top is None else top if best[v] is None else max(top, best[v])
+            out.append(top and (top[0], -top[1], -top[2] - top[0]))
+        return out
+
+
+def nearest(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """item_id, paper_id, char_start, n_chars: for every needle the longest run that it shares with any text (nulls and 0 if none). needles: item_id, needle, a stated set that the tasks hold in blocks; texts: paper_id, text.
+
+    Every task reads all its texts against a block and sends a row a needle; of equal runs the least paper_id wins, then the earliest place.
+    """
+    rows = needles.select("item_id", "needle").collect()
+    blocks, size = [[]], 0
+    for r in rows:
+        if blocks[-1] and size + len(r.needle or "") > NEEDLE_CHARS:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((r.item_id, r.needle or ""))
+        size += len(r.needle or "")
+    out = None
+    for block in blocks:
+        part = _nearest_block(block, texts.select("paper_id", "text"), needles.schema["item_id"].dataType.simpleString())
+        out = part if out is None else out.unionByName(part)
+    top = out.groupBy("item_id").agg(F.max_by(F.struct("paper_id", "char_start", "n_chars"), F.struct("n_chars", -F.col("paper_id"), -F.col("char_start"))).alias("b")).select("item_id", "b.*")
+    every = needles.select("item_id").distinct().join(top, "item_id", "left")
+    return every.select("item_id", "paper_id", "char_start", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+
+
+def _nearest_block(block, texts: DataFrame, kind: str) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(block)
+
+    def run(frames):
+        runs = CommonRuns([needle for _, needle in sent.value])
+        for f in frames:
+            for key, text in zip(f["paper_id"].tolist(), f["text"].tolist()):
+                runs.read(key, text or "")
+        rows = [(item, at[1], at[2], at[0]) for (item, _), at in zip(sent.value, runs.found()) if at]
+        yield pd.DataFrame(rows, columns=["item_id", "paper_id", "char_start", "n_chars"])
+
+    return texts.where("paper_id is not null").mapInPandas(run, f"item_id {kind}, paper_id long, char_start int, n_chars int")

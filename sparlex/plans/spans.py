@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import spans as S
-from ..operators.spans import longest_common
 from .registry import query, spread, table
 
 TYPE = "CASE WHEN pos = 0 THEN 'abstract' WHEN pos % 7 = 3 THEN 'caption' ELSE 'section' END"
@@ -254,16 +252,5 @@ def locate_spans(spark, sf):
 
 @query("nearest_passage")
 def nearest_passage(spark, sf):
-    """The longest common run of each benchmark passage's start with any document that shares one of its words' runs of three."""
-    grams = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("ws") - 3, F.lit(0))), lambda i: F.array_join(F.slice("ws", i + 1, 3), " ")), lambda g: g != ""))
-    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"), X.words(F.col("text")).alias("ws")).select("item_id", "needle", F.explode(grams).alias("g"))
-    d = docs(spark, sf).select("paper_id", X.words(F.col("text")).alias("ws")).select("paper_id", F.explode(grams).alias("g"))
-    met = q.join(d, "g").groupBy("item_id", "needle", "paper_id").agg(F.count("*").alias("n"))
-    best = met.groupBy("item_id").agg(F.max_by(F.struct("paper_id", "needle"), F.struct("n", -F.col("paper_id"))).alias("b")).select("item_id", "b.*")
-
-    def longest(frames):
-        for f in frames:
-            m = [longest_common(a, b) for a, b in zip(f["needle"], f["text"])]
-            yield pd.DataFrame({"item_id": f["item_id"], "paper_id": f["paper_id"], "char_start": [x[0] for x in m], "n_chars": [x[1] for x in m]})
-
-    return best.join(docs(spark, sf).select("paper_id", "text"), "paper_id").mapInPandas(longest, "item_id long, paper_id long, char_start int, n_chars int")
+    """The longest common run of each benchmark passage with any document."""
+    return S.nearest(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle")), spread(docs(spark, sf).select("paper_id", "text")))

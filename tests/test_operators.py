@@ -43,6 +43,35 @@ def test_locate_and_longest(spark):
     assert S.longest_common("xabcy", "zzabcab") == (2, 3) and S.longest_common("a", "b") == (0, 0)
 
 
+def test_nearest_passage(spark, tmp_path):
+    """Every passage gets its longest run over all documents, against brute force; scattered shared words do not count."""
+    from sparlex.plans import catalog
+
+    r = random.Random(3)
+    made = lambda n: "".join(r.choice("abcd ") for _ in range(n))
+    docs = [(i, made(r.randint(0, 150))) for i in range(30, 0, -1)] + [(40, None), (41, "x the old cat. the red dog. the big cow y"), (42, "mm no the old cat. the mm"), (43, "zq \U0001f600é中 zq"), (44, "")]
+    needles = [(i, made(r.randint(1, 60))) for i in range(25)] + [(50, "the old cat, the red dog, the big cow: no the old cat. the"), (51, "\u2603"), (52, "\U0001f600é中!"), (53, ""), (54, None), (55, docs[3][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "0L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(needles, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def brute(needle):
+        best = None
+        for i, t in docs:
+            for a in range(len(t or "")):
+                n = 0
+                while a + n < len(t) and t[a : a + n + 1] in (needle or ""):
+                    n += 1
+                if n:
+                    best = max(best or (0, 0, 0), (n, -i, -a))
+        return (-best[1], -best[2], best[0]) if best else (None, None, 0)
+
+    old = S.NEEDLE_CHARS
+    for S.NEEDLE_CHARS in (old, 100):
+        got = {x.item_id: (x.paper_id, x.char_start, x.n_chars) for x in catalog.queries()["nearest_passage"](spark, str(tmp_path)).collect()}
+        S.NEEDLE_CHARS = old
+        assert got == {i: brute(t) for i, t in needles}
+
+
 def brute_pack(spans, sizes, budget, overlap):
     out, i = [], 0
     while i < len(spans):
