@@ -61,7 +61,11 @@ def point_ids(spark, sf):
 
 @query("jsonl_roundtrip", "SELECT doc_id, lang, source, left(text, 50) AS head FROM documents")
 def jsonl_roundtrip(spark, sf):
-    return S.jsonl_roundtrip(docs(spark, sf).select("doc_id", "lang", "source", F.left("text", F.lit(50)).alias("head")))
+    """The whole text makes the round trip and must come back with the digest that it left with; its head is shown."""
+    back = S.jsonl_roundtrip(docs(spark, sf).select("doc_id", "lang", "source", "text", F.sha2("text", 256).alias("text_sha256")))
+    same = F.sha2("text", 256).eqNullSafe(F.col("text_sha256"))
+    head = F.when(same, F.left("text", F.lit(50))).otherwise(F.raise_error(F.concat(F.lit("text changed in JSON lines: "), F.col("doc_id").cast("string"))).cast("string"))
+    return back.select("doc_id", "lang", "source", head.alias("head"))
 
 
 @query("upsert_latest", "SELECT user_id, arg_max(event_type, struct_pack(ts := ts, id := event_id)) AS event_type, max(event_id) FILTER (event_id >= 0) AS last_id, count(*) AS versions FROM events GROUP BY user_id")

@@ -285,6 +285,25 @@ def test_files(spark, tmp_path):
         strict.collect()
 
 
+def test_jsonl_roundtrip_of_whole_texts(spark, tmp_path, monkeypatch):
+    """What stands behind the 50th character is written, and damage to it on the way is an error."""
+    import json
+
+    from sparlex.plans import catalog
+
+    texts = ["x" * 60 + '\n"q"\r\n\t\\ \x01\x7f \u2028 \U0001f600' + "long " * 5000, "", None, "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "0L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(tables, "scratch_dir", lambda spark, name: f"file://{tmp_path}/{name}")
+    query = lambda: {r.doc_id: r["head"] for r in catalog.queries()["jsonl_roundtrip"](spark, str(tmp_path)).collect()}
+    assert query() == {i: t and t[:50] for i, t in enumerate(texts)}
+    lines = [json.loads(x) for f in (tmp_path / "jsonl").glob("part-*") for x in f.read_text().split("\n") if x]
+    assert {x["doc_id"]: x.get("text") for x in lines} == dict(enumerate(texts))
+    read = tables.read_jsonl
+    monkeypatch.setattr(tables, "read_jsonl", lambda *a: read(*a).withColumn("text", F.expr("left(text, length(text) - 1)")))
+    with pytest.raises(Exception, match="text changed"):
+        query()
+
+
 def test_config(tmp_path, monkeypatch):
     assert config.load().retrieval.prefetch == 100
     (tmp_path / "c.yaml").write_text("retrieval: {prefetch: 50}\nevaluation: {success_at: [1, 2]}\n")
