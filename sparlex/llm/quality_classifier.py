@@ -1,12 +1,11 @@
-"""Quality classifier: an interpolated modified Kneser-Ney character model trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney word model trained on trusted text.
 
-Characters are lower-cased and mapped to ``SYMBOLS`` (64) classes: the commonest characters of the
-whole corpus, digits, other letters, other characters, and the text's edge. Trusted documents'
-4-grams are counted per task and summed by key; each order's continuation counts, context totals
-and discounts (from its counts of counts) are aggregates of the order above, and probabilities
-come from joining counts with contexts and with the shorter gram's probability, sharded by gram
-throughout. The finished model has at most 64 ** 4 entries however large the corpus, and goes to
-the tasks as packed arrays; each document then gets its perplexity over its whole text.
+The model (``word_model``) counts words by their own code points, so what it gathers grows with the
+trusted texts and no character or script is merged with another; counts and lookups are joins
+sharded by n-gram. Each document gets its perplexity, a code point, over its whole text.
+
+``symbol_table``, ``gram_codes``, ``train`` and ``log_probabilities`` are the character model of 64 classes that was
+used before; the query does not use it any more, its test still does.
 
 A short text says little: its mean log probability is shrunk toward its language's mean by
 ``prior`` characters. The limit of a language is a quantile of the (shrunk) perplexity of trusted
@@ -24,32 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Texts, codepoints, letter_table, lower_table, slices, sums
-from .common import map_arrow, saved
+from . import word_model
+from .arrays import Texts, codepoints, letter_table, lower_table, slices
+from .common import map_arrow, saved, utf8_bytes
 from .language_id import held_out
 
 SYMBOLS, ORDER, EDGE, OTHER, LETTER, DIGIT = 64, 4, 63, 62, 61, 60
 
 
-def common_characters(docs: DataFrame) -> list[int]:
-    """The commonest lower-case code points but digits, over all texts."""
-
-    def count(batches):
-        total = np.zeros(0x110000, np.int64)
-        for b in batches:
-            for _, t in slices(b.column(0)):
-                n = np.bincount(codepoints(t)[0])
-                total[: len(n)] += n
-        some = np.flatnonzero(total)
-        low = lower_table()[some]
-        keep = ~((low >= 48) & (low <= 57))
-        if keep.any():
-            yield low[keep].astype(np.int32), total[some][keep]
-
-    found = map_arrow(docs.select("text"), count, "cp int, n long").groupBy("cp").agg(F.sum("n").alias("n"))
-    return [r.cp for r in found.orderBy(F.desc("n"), "cp").limit(DIGIT).collect()]
-
-
 def symbol_table(common: list[int]) -> np.ndarray:
     table = np.full(0x110000, OTHER, np.uint8)
     table[letter_table()] = LETTER
@@ -157,23 +138,6 @@ def log_probabilities(name: str, model) -> np.ndarray:
     return _TABLES[name]
 
 
-def perplexities(docs: DataFrame, table: np.ndarray, model) -> DataFrame:
-    """row (struct), n_symbols, nats (sum of -log p). docs: row, text."""
-    import uuid
-
-    sent, name = docs.sparkSession.sparkContext.broadcast((table, model)), uuid.uuid4().hex
-
-    def run(batches):
-        for b in batches:
-            symbols, parts = sent.value
-            logs = log_probabilities(name, parts)
-            for at, t in slices(b.column(1)):
-                code, offs = gram_codes(t, symbols)
-                yield b.column(0).slice(at, t.n), np.diff(offs), sums(logs[code], offs)
-
-    return map_arrow(docs, run, f"row {docs.schema['row'].dataType.simpleString()}, n_symbols long, nats double")
-
-
 def trusted_documents(labels: DataFrame) -> DataFrame:
     """Ids of documents labelled good and not toxic."""
     return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
@@ -182,12 +146,12 @@ def trusted_documents(labels: DataFrame) -> DataFrame:
 def quality_classifier(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, slack: float = 1.25, prior: float = 100.0, keep_text: bool = False) -> DataFrame:
     """row (the input row; without its text unless keep_text), perplexity, limit, kept for every row."""
     names = [c for c in docs.columns if keep_text or c != text_col]
-    row = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
-    table = symbol_table(common_characters(row))
+    text = F.col(text_col).cast("string")
+    row = docs.select(F.struct(*names).alias("row"), text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
     own = row.where(~held_out("id")).join(trusted.withColumnRenamed("trusted_id", "id").hint("merge"), "id", "left_semi")
-    model = train(own.select("text"), table)
-    scored = perplexities(row.select("row", "text"), table, model)
-    lean = scored.select(F.col("row")[id_col].cast("long").alias("id"), F.col("row")[lang_col].cast("string").alias("lang"), "n_symbols", "nats")
+    model = word_model.train(own.select("text"))
+    known_texts = saved(word_model.scores(row.select("a", "b", "text"), *model, utf8_bytes(row)), "scores").hint("merge")
+    lean = row.select("id", F.col("row")[lang_col].cast("string").alias("lang"), "a", "b").join(known_texts, ["a", "b"]).drop("a", "b")
     lean = saved(lean, "nats")
     mean = lean.where("n_symbols > 0").groupBy("lang").agg((F.sum("nats") / F.sum("n_symbols")).alias("mean"))
     mean = saved(mean.where("lang is not null"), "means")
@@ -199,7 +163,7 @@ def quality_classifier(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_i
     limits = saved(limits, "limits").withColumnRenamed("lang", "of")
     most = known.agg(F.percentile_approx("v", quantile, 100000).alias("q")).first().q
     most = most * slack if most is not None else float("inf")
-    source = scored if keep_text else lean.select(F.struct(F.col("id").alias(id_col), F.col("lang").alias(lang_col)).alias("row"), "n_symbols", "nats")
+    source = row.select("row", "a", "b").join(known_texts, ["a", "b"]) if keep_text else lean.select(F.struct(F.col("id").alias(id_col), F.col("lang").alias(lang_col)).alias("row"), "n_symbols", "nats")
     out = source.join(limits, F.col("row")[lang_col].cast("string") == F.col("of"), "left")
     out = out.select("row", value.alias("perplexity"), F.coalesce("own", F.lit(most)).alias("limit"))
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(False)))

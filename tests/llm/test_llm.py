@@ -246,6 +246,53 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier(empty, trusted_documents(labels.limit(0))).count() == 0
 
 
+def brute_kneser_ney(trusted, text):
+    """Nats of a text of lower-case words under the word model."""
+    grams = lambda t: [tuple((["<", "<"] + t.split() + [">"])[i : i + 3]) for i in range(len(t.split()) + 1)]
+    counts = {3: {}}
+    for t in trusted:
+        for g in grams(t):
+            counts[3][g] = counts[3].get(g, 0) + 1
+    for k in (2, 1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    alphabet = len(set("".join(trusted))) + 1
+
+    def cut(k, n):
+        of = [sum(v == i for v in counts[k].values()) for i in range(5)]
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+        d = [1 - 2 * y * of[2] / of[1] if of[1] else 0.5, 2 - 3 * y * of[3] / of[2] if of[2] else 1.0, 3 - 4 * y * of[4] / of[3] if of[3] else 1.5]
+        return min(max(d[min(n, 3) - 1], 0.05), min(n, 3) - 0.05)
+
+    def p(g):
+        k = len(g)
+        after = {x: n for x, n in counts[k].items() if x[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        total, freed = sum(after.values()), sum(cut(k, n) for n in after.values())
+        seen = (after[g] - cut(k, after[g])) / total if g in after else 0
+        if k == 1:
+            return seen or freed / total * alphabet ** -float(len(g[0]) + 1)
+        return seen + freed / total * p(g[1:])
+
+    return -sum(np.log(p(g)) for g in grams(text))
+
+
+def test_word_model_against_brute_force(spark):
+    from sparlex.llm import word_model
+
+    r = random.Random(4)
+    said = lambda n: " ".join(r.choice("a bb ccc d ee f g hh длина слово 9 q".split()) for _ in range(n))
+    trusted = [said(r.randint(1, 30)) for _ in range(20)]
+    asked = trusted[:3] + [said(12), "never слон bb", "hh", "жжж " * 30 + "a"]
+    model = word_model.train(spark.createDataFrame([(t,) for t in trusted] + [(None,), ("",)], "text string"))
+    docs = spark.createDataFrame([(i, -i, t) for i, t in enumerate(asked)] + [(90, 0, ""), (91, 0, None)], "a long, b long, text string")
+    got = {x.a: x for x in word_model.scores(docs, *model, 1000).collect()}
+    assert all(got[i].nats == pytest.approx(brute_kneser_ney(trusted, t.strip()), rel=1e-4) for i, t in enumerate(asked))
+    assert got[90].n_symbols == got[91].n_symbols == 0
+
+
 def test_kneser_ney_is_a_distribution(spark):
     """Probabilities after every context add up to one, and follow the formula for a context seen by hand."""
     df = spark.createDataFrame([(words(200, 77),), ("",), (None,)], "text string")
