@@ -293,6 +293,20 @@ def test_word_model_against_brute_force(spark):
     assert got[90].n_symbols == got[91].n_symbols == 0
 
 
+def test_quality_classifier_knows_words_and_scripts(spark):
+    """Words that no trusted text has are rejected though their letters are ordinary, and so is noise in a script that few texts use."""
+    r = random.Random(6)
+    cyrillic = ["".join(r.choice("абвгдежзик") for _ in range(r.randint(3, 7))) for _ in range(60)]
+    latin = ["".join(r.choice([chr(i) for i in range(0xE0, 0x17F)] + list("abcdefghij") * 3) for _ in range(r.randint(3, 7))) for _ in range(200)]
+    said = lambda ws, n=60: " ".join(r.choice(ws) for _ in range(n))
+    noise = lambda ws, n=60: " ".join("".join(r.sample(w, len(w)))[::-1] + r.choice(ws)[0] for w in (r.choice(ws) for _ in range(n)))
+    rows = [(i, said(cyrillic if i % 5 == 0 else latin), "ru" if i % 5 == 0 else "xx") for i in range(200)]
+    rows += [(1000 + i, noise(cyrillic), "ru") for i in range(10)] + [(2000 + i, noise(latin), "xx") for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {x.row.doc_id: x.kept for x in quality_classifier(spark.createDataFrame(rows, "doc_id long, text string, lang string"), trusted_documents(labels)).collect()}
+    assert sum(got[i] for i in range(200)) >= 195 and not any(got[i] for i in got if i >= 1000)
+
+
 def test_kneser_ney_is_a_distribution(spark):
     """Probabilities after every context add up to one, and follow the formula for a context seen by hand."""
     df = spark.createDataFrame([(words(200, 77),), ("",), (None,)], "text string")
