@@ -2,11 +2,15 @@
 
 A *word* is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``. Texts are never
 copied into Python strings here: words are (start, end) byte positions in one
-buffer, identified by 64-bit polynomial hashes whose tables follow from a seed.
+buffer. Byte spans are hashed by eight bytes at a time, each mixed in without any
+linear structure (spans up to eight bytes of a length never clash; those above
+``LONG`` bytes go through blake2b); sequences of words by polynomials over these hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +30,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_SEEDS = mix(np.arange(1, 9, dtype=U64) * U64(0x9E3779B97F4A7C15))
+
+
+def span_keys(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans buf[start:end]; another seed gives hashes of their own."""
+    n = end - start
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray(len(buf) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    h = mix(n.astype(U64) ^ _SEEDS[seed])
+    live, at, left = None, start, n
+    for k in range(LONG // 8):
+        x = mix(h if live is None else h[live])
+        x = mix((x ^ (eight[at] & _MASKS[np.minimum(left, 8)])) * U64(0xA0761D6478BD642F))
+        if live is None:
+            h = np.where(n > 0, x, h)
+        else:
+            h[live] = x
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    return h
+
+
+def same_bytes(a: np.ndarray, start: np.ndarray, b: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[start:start + size] and b[other:other + size] are equal, span by span."""
+    out, step = np.ones(len(size), bool), 1 << 17
+    for at in range(0, len(size), step):
+        n = size[at : at + step]
+        to = np.cumsum(n)
+        inside = np.arange(int(to[-1])) - np.repeat(to - n, n)
+        differ = a[np.repeat(start[at : at + step], n) + inside] != b[np.repeat(other[at : at + step], n) + inside]
+        if differ.any():
+            out[at + np.searchsorted(to, np.flatnonzero(differ), "right")] = False
+    return out
 
 
 class Powers:
@@ -43,7 +87,7 @@ class Powers:
         return self.up, self.down
 
 
-BYTE_POWERS, WORD_POWERS = Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F)
+WORD_POWERS = Powers(0xA0761D6478BD642F)
 
 
 def prefix_hash(values: np.ndarray, powers: Powers) -> np.ndarray:
@@ -80,11 +124,9 @@ class Texts:
         self.first = np.searchsorted(self.start, self.offs)
         return self
 
-    def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+    def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
         """64-bit hashes of the words, or of other byte spans."""
-        if not hasattr(self, "_prefix"):
-            self._prefix = prefix_hash(BYTE_CODES[self.buf], BYTE_POWERS)
-        return span_hash(self._prefix, self.start if start is None else start, self.end if end is None else end, BYTE_POWERS)
+        return span_keys(self.buf, self.start if start is None else start, self.end if end is None else end, seed)
 
     def raw(self, start: int, end: int) -> bytes:
         return self.buf[start:end].tobytes()
@@ -127,6 +169,69 @@ def sliding(values: np.ndarray, size: int, best=np.minimum) -> np.ndarray:
     return out
 
 
+class Known:
+    """What byte spans stand for (arrays of ids), kept from slice to slice. Spans are found by hash and compared byte by byte."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self):
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and where each one's span stands below
+        self.at, self.size, self.first, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.raw, self.used, self.filled = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8), 0, 0
+
+    @staticmethod
+    def _room(a: np.ndarray, need: int) -> np.ndarray:
+        return a if need <= len(a) else np.concatenate([a, np.zeros(max(need, len(a) + (len(a) >> 1)) - len(a), a.dtype)])
+
+    def _add(self, buf, keys, start, end, ids, size):
+        need, n = self.used + len(ids), end - start
+        self.ids = self._room(self.ids, need)
+        self.ids[self.used : need] = ids
+        total = int(n.sum())
+        self.raw = self._room(self.raw, self.filled + total)
+        to = np.cumsum(n)
+        self.raw[self.filled : self.filled + total] = buf[np.repeat(start - (to - n), n) + np.arange(total)]
+        row = len(self.at) + np.arange(len(keys))
+        self.at, self.size = np.r_[self.at, self.used + np.cumsum(size) - size], np.r_[self.size, size]
+        self.first, self.length = np.r_[self.first, self.filled + to - n], np.r_[self.length, n]
+        self.used, self.filled = need, self.filled + total
+        to = np.searchsorted(self.keys, keys)
+        self.keys, self.row = np.insert(self.keys, to, keys), np.insert(self.row, to, row)
+
+    def rows(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, tag: np.ndarray, learn) -> np.ndarray:
+        """The row of each span (spans of another tag, 0 or 1, stand for something else). learn(indexes) gives (ids, how many each) of new ones."""
+        if len(self.keys) > self.most:
+            self.clear()
+        out, todo = np.full(len(start), -1), np.arange(len(start))
+        for seed in range(len(_SEEDS)):  # a span that meets another one's hash goes on to the next family of hashes
+            s, e = start[todo], end[todo]
+            keys = span_keys(buf, s, e, seed) ^ (tag[todo].astype(np.uint64) * U64(0x2545F4914F6CDD1D))
+            uniq, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            at = np.searchsorted(self.keys, uniq)
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
+            if not known.all():
+                new = first[~known]
+                self._add(buf, uniq[~known], s[new], e[new], *learn(todo[new]))
+                at = np.searchsorted(self.keys, uniq)
+            row = self.row[at[back]]
+            n = e - s
+            ok = n == self.length[row]
+            ok[ok] = same_bytes(buf, s[ok], self.raw, self.first[row[ok]], n[ok])
+            out[todo[ok]] = row[ok]
+            if ok.all():
+                return out
+            todo = todo[~ok]
+        raise RuntimeError("spans that clash in every family of hashes")
+
+    def spell(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the rows one after another, offsets by row)."""
+        size = self.size[rows]
+        total = np.r_[0, np.cumsum(size)]
+        return self.ids[np.repeat(self.at[rows] - total[:-1], size) + np.arange(total[-1])], total
+
+
 def codepoints(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """(code points of all texts, offsets by text)."""
     raw = t.buf.tobytes()

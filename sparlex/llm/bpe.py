@@ -14,10 +14,10 @@ from itertools import chain
 
 import numpy as np
 
-from .arrays import Texts
+from .arrays import Known, Texts
 
 WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-MOST_CHUNKS = 3_000_000
+MOST_CHUNKS = 2_000_000
 LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 STOP[list(b",.;:!?)")] = True
@@ -38,28 +38,10 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.vocab = self.tok.get_vocab_size()
-        self.clear()
-
-    def clear(self):
-        self.keys, self.at, self.size, self.ids, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 16, np.int32), 0
-
-    def _learn(self, t: Texts, keys, start, end):
-        out = self.tok.encode_batch_fast([t.raw(s, e).decode("utf-8", "replace") for s, e in zip(start.tolist(), end.tolist())], add_special_tokens=False)
-        ids = [x.ids for x in out]
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        need = self.used + int(size.sum())
-        if need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(need, 2 * len(self.ids)) - len(self.ids), np.int32)])
-        self.ids[self.used : need] = np.fromiter(chain.from_iterable(ids), np.int32, need - self.used)
-        at = self.used + np.cumsum(size) - size
-        self.used = need
-        to = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, to, keys), np.insert(self.at, to, at), np.insert(self.size, to, size)
+        self.known = Known(MOST_CHUNKS)
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""
-        if len(self.keys) > MOST_CHUNKS:
-            self.clear()
         t.words()
         mark = np.zeros(len(t.buf) + 1, bool)
         mark[t.end] = mark[t.offs[1:]] = True
@@ -71,17 +53,14 @@ class Encoder:
             if len(ends) == 0 or ends[np.searchsorted(ends, m.end())] != t.offs[k + 1]:
                 ends = ends[(ends <= t.offs[k]) | (ends >= t.offs[k + 1])]
         start = np.r_[0, ends[:-1]] if len(ends) else ends
-        uniq, first, back = np.unique(t.hashes(start, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, uniq)
-        known = self.keys[np.minimum(at, len(self.keys) - 1)] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
-        if not known.all():
-            new = first[~known]
-            self._learn(t, uniq[~known], start[new], ends[new])
-            at = np.searchsorted(self.keys, uniq)
-        where = at[back]
-        size = self.size[where].astype(np.int64)
-        total = np.r_[0, np.cumsum(size)]
-        ids = self.ids[np.repeat(self.at[where] - total[:-1], size) + np.arange(total[-1])]
+
+        def learn(i):
+            out = self.tok.encode_batch_fast([t.raw(s, e).decode("utf-8", "replace") for s, e in zip(start[i].tolist(), ends[i].tolist())], add_special_tokens=False)
+            ids = [x.ids for x in out]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
+
+        ids, total = self.known.spell(self.known.rows(t.buf, start, ends, np.zeros(len(ends), np.uint8), learn))
         return ids, total[np.searchsorted(ends, t.offs, "right")]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 ZSTD = pa.Codec("zstd", compression_level=1)
+MOST_BROADCAST = 1 << 18  # rows of two numbers: some 20 MB
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -30,9 +33,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """fn: an iterator of RecordBatch to an iterator of column tuples (numpy, Arrow or list), in the schema's order."""
-    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in _parsed(df.sparkSession, schema)])
+def map_arrow(df: DataFrame, fn, schema: str, **first) -> DataFrame:
+    """fn: an iterator of RecordBatch to an iterator of column tuples (numpy, Arrow or list), in the schema's order; columns of ``first`` (name=type) stand before it."""
+    schema = StructType([StructField(n, t) for n, t in first.items()] + _parsed(schema).fields)
+    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
 
     def run(batches):
         for cols in fn(batches):
@@ -43,7 +47,32 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _parsed(spark, schema: str):
+def row_key(*columns) -> list:
+    """Two hashes of columns (null is a value of its own), by which equal rows are found."""
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    return [F.xxhash64(*parts).alias("key_a"), F.xxhash64(F.lit(1), *parts).alias("key_b")]
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has MOST_BROADCAST rows at most, and to be joined by sorting beyond."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df.hint("merge")
+
+
+def without(docs: DataFrame, gone: DataFrame, *names: str) -> DataFrame:
+    """docs less the rows whose columns ``names`` have a row_key in gone (key_a, key_b). Only keys are shuffled while they are few."""
+    doc = docs.select(F.struct("*").alias("doc"))
+    a, b = row_key(*[F.col("doc")[n] for n in names])
+    gone = small(saved(gone.select("key_a", "key_b").distinct(), "gone"))
+    return doc.join(gone, (a == F.col("key_a")) & (b == F.col("key_b")), "left_anti").select("doc.*")
+
+
+def released(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver's JVM finds them unused; this makes it look."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _parsed(schema: str):
     from pyspark.sql.types import _parse_datatype_string
 
     return _parse_datatype_string(schema)

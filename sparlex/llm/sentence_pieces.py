@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Texts, mix, slices
+from .arrays import Known, Texts, slices
 from .common import map_arrow, strings
 
 BREAK = 0x110000  # stands between indexed segments
-INNER = np.uint64(0x2545F4914F6CDD1D)  # marks the hash of a segment without the meta symbol
 INDEX_CHARS, MOST_SEGMENTS, LONG = 1 << 20, 2_000_000, 48
 _MODELS: dict[str, "Model"] = {}
 
@@ -93,10 +92,7 @@ class Model:
             raw.append(bytes([int(self.pieces[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else self.pieces[i].replace("▁", " ").encode())
         self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.int64([len(x) for x in raw])
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
-        self.clear()
-
-    def clear(self):
-        self.keys, self.at, self.size, self.known, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 16, np.int32), 0
+        self.known = Known(MOST_SEGMENTS)
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, length, piece) of all occurrences of the pieces of two characters and more, by place."""
@@ -196,7 +192,8 @@ class Model:
         left = np.flatnonzero(alive)
         return left + a, end[left], None
 
-    def _learn(self, t: Texts, keys, start, end, meta):
+    def _learn(self, t: Texts, start, end, meta):
+        """(ids of the segments one after another, how many each has)."""
         texts = [("▁" if m else "") + t.raw(s, e).decode("utf-8", "replace").replace(" ", "▁") for s, e, m in zip(start.tolist(), end.tolist(), meta.tolist())]
         at = 0
         ids_of, sizes = [], np.zeros(len(texts), np.int64)
@@ -232,23 +229,13 @@ class Model:
             ids_of.append(out)
             sizes[at:to] = np.bincount(seg, size, minlength=to - at)
             at = to
-        ids = np.concatenate(ids_of) if ids_of else np.zeros(0, np.int64)
-        need = self.used + len(ids)
-        if need > len(self.known):
-            self.known = np.r_[self.known, np.zeros(max(need, 2 * len(self.known)) - len(self.known), np.int32)]
-        self.known[self.used : need] = ids
-        where = self.used + np.cumsum(sizes) - sizes
-        self.used = need
-        to = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, to, keys), np.insert(self.at, to, where), np.insert(self.size, to, sizes.astype(np.int32))
+        return np.concatenate(ids_of) if ids_of else np.zeros(0, np.int64), sizes
 
     def _spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
     def encode(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets by text)."""
-        if len(self.keys) > MOST_SEGMENTS:
-            self.clear()
         blank = t.buf == 32
         starts = blank.copy()
         starts[1:] &= ~blank[:-1]
@@ -267,19 +254,8 @@ class Model:
         doc_start[lead] = True
         # a text that begins with a space keeps it behind the dummy prefix; elsewhere the space is the meta symbol
         inner = begin + (meta & ~doc_start[begin])
-        keys = t.hashes(inner, end)
-        keys[~meta] = mix(keys[~meta] ^ INNER)
-        uniq, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, uniq)
-        known = self.keys[np.minimum(at, len(self.keys) - 1)] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
-        if not known.all():
-            new = first[~known]
-            self._learn(t, uniq[~known], inner[new], end[new], meta[new])
-            at = np.searchsorted(self.keys, uniq)
-        where = at[back]
-        size = self.size[where].astype(np.int64)
-        total = np.r_[0, np.cumsum(size)]
-        ids = self.known[np.repeat(self.at[where] - total[:-1], size) + np.arange(total[-1])]
+        rows = self.known.rows(t.buf, inner, end, meta, lambda i: self._learn(t, inner[i], end[i], meta[i]))
+        ids, total = self.known.spell(rows)
         return ids, total[np.searchsorted(begin, t.offs)]
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +292,7 @@ def sp_encode(docs: DataFrame, text_col: str = "text", path: str | None = None,
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
                 yield b.column(0).slice(at, t.n), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32())), crc
 
-    return map_arrow(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, ids_crc32 long")
+    return map_arrow(rows, run, "ids array<int>, ids_crc32 long", row=rows.schema["row"].dataType)
 
 
 def sp_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -333,4 +309,4 @@ def sp_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 raw, to = sp.decode(lists.flatten().to_numpy(), offs - offs[0])
                 yield *(part.column(k) for k in range(3)), strings(raw, to)
 
-    return map_arrow(encoded, run, f"row {encoded.schema['row'].dataType.simpleString()}, ids array<int>, ids_crc32 long, text string")
+    return map_arrow(encoded, run, "ids array<int>, ids_crc32 long, text string", row=encoded.schema["row"].dataType)

@@ -2,8 +2,8 @@
 
 Method: a count-min prefilter. Every partition sketches the counts of its windows,
 the partition sketches are merged, and windows whose estimate is 1 are done. A
-second pass groups exactly (96-bit hashes of the words) only the windows estimated
-repeated. An estimate is never below the count, so none is lost.
+second pass groups exactly (96 bits from two independent hashes of every word) only
+the windows estimated repeated. An estimate is never below the count, so none is lost.
 
 A window is sketched by the least hash among its 8-word grams. Equal windows have
 equal least grams, so the gram's count (each place in the corpus once) bounds the
@@ -168,7 +168,7 @@ def covered_windows(docs: DataFrame, window: int, total_bytes: int) -> DataFrame
                 if len(i):
                     d = np.searchsorted(t.first, i, "right") - 1
                     h1 = span_hash(w.prefix, i, i + window, WORD_POWERS)
-                    h2 = span_hash(prefix_hash(mix(w.words ^ U64(0x5851F42D4C957F2D)), WORD_POWERS), i, i + window, WORD_POWERS).astype(np.uint32)
+                    h2 = span_hash(prefix_hash(t.hashes(seed=1), WORD_POWERS), i, i + window, WORD_POWERS).astype(np.uint32)
                     held.append(((d + base).astype(np.int32), (i - t.first[d]).astype(np.int32), h1, h2))
                     have += len(i)
                 ids.append(bid[at : at + t.n])
@@ -268,5 +268,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 offs = offs - np.searchsorted(drop, offs, "left")
                 yield b.column(0).slice(at, t.n), np.diff(t.first), removed, strings(out, offs)
 
-    kind = both.schema["doc"].dataType.simpleString()
-    return map_arrow(both, keep, f"doc {kind}, n_words long, n_removed long, kept_text string")
+    return map_arrow(both, keep, "n_words long, n_removed long, kept_text string", doc=both.schema["doc"].dataType)
