@@ -33,3 +33,10 @@ def written(uri: str):
 def opened(uri: str):
     system, path = at(uri)
     return system.open_input_file(path)
+
+
+def removed(uri: str) -> None:
+    """Deletes a folder that is done with, if it is there."""
+    system, path = at(uri)
+    with contextlib.suppress(FileNotFoundError):
+        system.delete_dir(path)

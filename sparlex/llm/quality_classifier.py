@@ -4,9 +4,6 @@ The model (``word_model``) counts words by their own code points, so what it gat
 trusted texts and no character or script is merged with another; counts and lookups are joins
 sharded by n-gram. Each document gets its perplexity, a code point, over its whole text.
 
-``symbol_table``, ``gram_codes``, ``train`` and ``log_probabilities`` are the character model of 64 classes that was
-used before; the query does not use it any more, its test still does.
-
 A short text says little: its mean log probability is shrunk toward its language's mean by
 ``prior`` characters. The limit of a language is a quantile of the (shrunk) perplexity of trusted
 documents that the model was not trained on (every fourth by checksum of the id), times a slack;
@@ -14,156 +11,52 @@ documents above it are rejected. A null language, or one without trusted documen
 limit of all.
 
 Defined results: texts without characters (null, empty) have no perplexity and are not kept; with
-no trusted text at all nothing is rejected but those; repeated rows are scored alike.
+no trusted text at all nothing is rejected but those; repeated rows and ties are scored alike; a very
+long text is one slice of its own and scored whole; an empty table gives an empty table; further
+columns, whatever their names, are carried in ``row``.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_model
-from .arrays import Texts, codepoints, letter_table, lower_table, slices
-from .common import map_arrow, saved, utf8_bytes
+from .common import released, row_key, saved, small, utf8_bytes, without
 from .language_id import held_out
 
-SYMBOLS, ORDER, EDGE, OTHER, LETTER, DIGIT = 64, 4, 63, 62, 61, 60
-
-
-def symbol_table(common: list[int]) -> np.ndarray:
-    table = np.full(0x110000, OTHER, np.uint8)
-    table[letter_table()] = LETTER
-    table[48:58] = DIGIT
-    own = np.full(0x110000, 255, np.uint8)
-    own[common] = np.arange(len(common))
-    low = own[lower_table()]
-    return np.where(low < 255, low, table)
-
-
-def gram_codes(t: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code of the 4-gram that ends at each character, offsets)."""
-    cp, offs = codepoints(t)
-    s = table[cp].astype(np.int32)
-    lead = offs[:-1][np.diff(offs) > 0]
-    code, back = s.copy(), s
-    for k in range(1, ORDER):
-        shifted = np.empty_like(back)
-        shifted[1:], shifted[:1] = back[:-1], EDGE
-        shifted[lead] = EDGE
-        back = shifted
-        code |= back << (6 * k)
-    return code, offs
-
-
-def train(docs: DataFrame, table: np.ndarray):
-    """Per order 1..4: (codes, probabilities, contexts, their back-off weights). docs: text of the trusted documents."""
-
-    def count(batches):
-        codes, counts, held = np.zeros(0, np.int32), np.zeros(0, np.int64), []
-
-        def merged():
-            x = np.sort(np.concatenate(held))
-            new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-            c, n = np.r_[codes, x[new]], np.r_[counts, np.diff(np.r_[new, len(x)])]
-            u, back = np.unique(c, return_inverse=True)
-            return u, np.bincount(back, n).astype(np.int64)
-
-        for b in batches:
-            for _, t in slices(b.column(0)):
-                if len(t.buf):
-                    held.append(gram_codes(t, table)[0])
-                if sum(map(len, held)) > 8_000_000:
-                    codes, counts = merged()
-                    held = []
-        if held:
-            codes, counts = merged()
-        if len(codes):
-            yield codes, counts
-
-    n4 = saved(map_arrow(docs.select("text"), count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")), "counts4")
-    counts = {ORDER: n4}
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols stand before
-        counts[k] = counts[k + 1].groupBy((F.col("code") % SYMBOLS**k).cast("int").alias("code")).agg(F.count("*").alias("n"))
-    model, below = [], None
-    for k in range(1, ORDER + 1):
-        c = saved(counts[k], f"counts{k}") if k < ORDER else n4
-        of = {r.n: r.m for r in c.where("n <= 4").groupBy("n").agg(F.count("*").alias("m")).collect()}
-        n1, n2, n3, m4 = (float(of.get(i, 0)) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        d = [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * m4 / n3 if n3 else 1.5))]
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        context = F.shiftright("code", 6)
-        of_context = c.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"))
-        joined = c.withColumn("context", context).join(of_context, "context")
-        weight = F.col("freed") / F.col("total")
-        if below is None:
-            p = (F.col("n") - cut) / F.col("total") + weight / SYMBOLS
-            probs = joined.select("code", p.alias("p"))
-        else:
-            shorter = below.select(F.col("code").alias("suffix"), F.col("p").alias("q"))
-            joined = joined.withColumn("suffix", (F.col("code") % SYMBOLS ** (k - 1)).cast("int")).join(shorter, "suffix")
-            probs = joined.select("code", ((F.col("n") - cut) / F.col("total") + weight * F.col("q")).alias("p"))
-        below = saved(probs, f"probs{k}")
-        contexts = of_context.select(F.col("context").alias("code"), weight.alias("p"))
-
-        def packed(batches):
-            for b in batches:
-                yield [b.column(0).to_numpy().astype(np.int32).tobytes()], [b.column(1).to_numpy().astype(np.float32).tobytes()]
-
-        parts = []
-        for x in (below, contexts):  # at most 64 ** 4 rows, 8 bytes each
-            rows = map_arrow(x, packed, "codes binary, values binary").collect()
-            parts += [np.frombuffer(b"".join(r.codes for r in rows), np.int32), np.frombuffer(b"".join(r["values"] for r in rows), np.float32)]
-        model.append(tuple(parts))
-    return model
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def log_probabilities(name: str, model) -> np.ndarray:
-    """-log p of every 4-gram, seen or backed off; kept by the worker."""
-    if name not in _TABLES:
-        p = np.full(1, 1.0 / SYMBOLS, np.float32)
-        for k, (codes, values, contexts, weights) in enumerate(model, 1):
-            gamma = np.ones(SYMBOLS ** (k - 1), np.float32)
-            gamma[contexts] = weights
-            suffixes = max(1, SYMBOLS ** (k - 2))
-            p = (gamma.reshape(-1, suffixes, 1) * (p.reshape(1, suffixes, -1) if k > 1 else p.reshape(1, 1, 1))).repeat(SYMBOLS if k == 1 else 1, 2).reshape(-1)
-            p[codes] = values
-        np.log(np.maximum(p, 1e-30, out=p), out=p)
-        _TABLES.clear()
-        _TABLES[name] = np.negative(p, out=p)
-    return _TABLES[name]
-
-
 def trusted_documents(labels: DataFrame) -> DataFrame:
     """Ids of documents labelled good and not toxic."""
     return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
 
 
-def quality_classifier(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, slack: float = 1.25, prior: float = 100.0, keep_text: bool = False) -> DataFrame:
-    """row (the input row; without its text unless keep_text), perplexity, limit, kept for every row."""
-    names = [c for c in docs.columns if keep_text or c != text_col]
-    text = F.col(text_col).cast("string")
-    row = docs.select(F.struct(*names).alias("row"), text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
-    own = row.where(~held_out("id")).join(trusted.withColumnRenamed("trusted_id", "id").hint("merge"), "id", "left_semi")
-    model = word_model.train(own.select("text"))
-    known_texts = saved(word_model.scores(row.select("a", "b", "text"), *model, utf8_bytes(row)), "scores").hint("merge")
-    lean = row.select("id", F.col("row")[lang_col].cast("string").alias("lang"), "a", "b").join(known_texts, ["a", "b"]).drop("a", "b")
-    lean = saved(lean, "nats")
+def quality_classifier(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, slack: float = 1.25, prior: float = 100.0) -> DataFrame:
+    """row (the input row without its text), perplexity, limit, kept for every row."""
+    spark, trusted = docs.sparkSession, small(saved(trusted.withColumnRenamed("trusted_id", "known_id"), "trusted-ids"))
+    inner = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("doc")
+    row = docs.select(F.struct(inner, F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).alias("row"), F.col(text_col).cast("string").alias("text"))
+    own = row.where(~held_out("row.id")).select(F.col("row.id").alias("id"), "text").join(trusted, F.col("id") == F.col("known_id"), "left_semi")
+    model = word_model.train(own, utf8_bytes(row))
+    released(spark)
+    lean = saved(word_model.scores(row, model).select("row.*", "n_symbols", "nats"), "scores")
+    released(spark)
     mean = lean.where("n_symbols > 0").groupBy("lang").agg((F.sum("nats") / F.sum("n_symbols")).alias("mean"))
     mean = saved(mean.where("lang is not null"), "means")
     every = lean.agg((F.sum("nats") / F.sum("n_symbols")).alias("m")).first().m or 0.0
     value = F.when(F.col("n_symbols") > 0, F.exp((F.col("nats") + prior * F.coalesce("mean", F.lit(every))) / (F.col("n_symbols") + prior)))
-    known = lean.where(held_out("id")).join(trusted.withColumnRenamed("trusted_id", "id"), "id", "left_semi").join(mean, "lang", "left").select("lang", value.alias("v"))
+    known = lean.where(held_out("id")).join(trusted, F.col("id") == F.col("known_id"), "left_semi").join(mean, "lang", "left").select("lang", value.alias("v"))
     known = saved(known.where("v is not null"), "trusted")
     limits = mean.join(known.groupBy("lang").agg((F.percentile_approx("v", quantile, 100000) * slack).alias("own")), "lang", "left")
     limits = saved(limits, "limits").withColumnRenamed("lang", "of")
     most = known.agg(F.percentile_approx("v", quantile, 100000).alias("q")).first().q
     most = most * slack if most is not None else float("inf")
-    source = row.select("row", "a", "b").join(known_texts, ["a", "b"]) if keep_text else lean.select(F.struct(F.col("id").alias(id_col), F.col("lang").alias(lang_col)).alias("row"), "n_symbols", "nats")
-    out = source.join(limits, F.col("row")[lang_col].cast("string") == F.col("of"), "left")
-    out = out.select("row", value.alias("perplexity"), F.coalesce("own", F.lit(most)).alias("limit"))
+    out = lean.join(limits, F.col("lang") == F.col("of"), "left")
+    out = out.select(F.col("doc").alias("row"), value.alias("perplexity"), F.coalesce("own", F.lit(most)).alias("limit"))
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(False)))
+
+
+def classified(docs: DataFrame, trusted: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of docs that are kept, whole."""
+    keyed = docs.select("*", F.struct(*row_key(F.col(text_col), F.col(lang_col))).alias("key of the row"))
+    verdicts = quality_classifier(keyed, trusted, text_col=text_col, lang_col=lang_col, **options)
+    return without(docs, verdicts.where("not kept").select("row.`key of the row`.*"), text_col, lang_col)
