@@ -1,22 +1,25 @@
 """N-gram Jaccard join: documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-Method: chosen paths. A run starts with all sets in one bucket and splits each bucket by a
-shared token sampled for it: the bucket's own path picks one of ``HASHES`` min-wise samples,
-and sets go on together while their sampled shingles agree. After ``DEPTH`` splits, sets
-in one bucket are candidates; ``RUNS`` runs reach the target recall (a pair at 0.8 stays
-together in a run with 0.8 ** 10 = 0.107; 96 runs miss 2e-5 of such pairs, fewer above it).
-
-Buckets are not listed pair by pair. Their members are linked to the least one (within a
-task first, so a hot bucket sends one row a task), connected components of these links put
-candidates in one place, and every component is brute-forced: cut into blocks of bounded
-size, every pair of blocks a task, so that a component of any size is spread. A pair in a task
-is first compared by its 128 sampled bytes (below ``LEAST`` of 128 equal, 4.5 standard
-deviations under 0.8, it is done), then exactly by its shingles; links are counted, and only
-star edges leave the task. Equal sets are one representative with a count throughout.
-
-Defined results: a text of one to four words has one shingle, all its words; a text without
-words links with nothing and is its own class; rows with a null id have a null class and no
-links; rows that repeat an id and text are copies and count as links of each other.
+Method: chosen paths. Sets are known by ``HASHES`` min-wise samples; a token is a sample's place and value, so
+two sets share a token at a place with the probability of their similarity. A run starts with all sets in one
+bucket. A bucket samples 1 / threshold places on average (the same ones for all its sets), and each set goes on
+into one child for every sampled place, together with the sets that share its token there. So a pair at the
+threshold goes on in one child on average however deep the recursion. Buckets of up to ``SMALL`` sets are brute-
+forced and go no further; larger ones are split again, down to ``DEPTH``, and then brute-forced in blocks. Runs are
+made ``RUNS`` at a time. A further round leaves out buckets whose sets are connected already (so a large group of
+near copies costs one round), and rounds end when the links that the last one added say that those still missing
+are a share below 1 - ``recall`` (and no earlier than the chance of a pair at the threshold at full depth asks for).
+
+Brute force in a bucket compares all samples of a pair and takes what could be a link (``least_equal``: 4.5
+standard deviations below the threshold, one pair at the threshold in 200,000 is lost); only such pairs connect.
+Every connected group is then compared exactly, by shingles, cut into blocks of bounded size, every pair of blocks a
+task, so that a group of any size is spread. Links are counted there, and only star edges leave a task; classes
+are closed over exact links alone. Equal sets are one representative with a count throughout.
+
+Defined results: a text of one to four words has one shingle, all its words; a text without words (null, empty)
+links with nothing and is its own class; rows with a null id have a null class and no links; rows that repeat an id
+and text are one document twice and count as links of each other; ties take the least id; a very long text is a
+slice of its own and its whole set is compared; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U64, WORD_POWERS, Texts, mix, prefix_hash, slices, span_hash
-from .common import ceil_pow2, map_arrow, pack, saved, unpack, utf8_bytes
+from .common import map_arrow, row_key, saved, small
 from .components import components, local_stars
 
-SHINGLE, THRESHOLD, HASHES, DEPTH, RUNS, LEAST = 5, 0.8, 128, 10, 96, 82
-BLOCK_DOCS, BLOCK_SHINGLES, FLUSH_KEYS = 2048, 1 << 20, 3_000_000
+SHINGLE, THRESHOLD, HASHES = 5, 0.8, 128
+STEP, DEPTH, RUNS, RECALL, MOST_ROUNDS, SMALL = 2, 6, 4, 0.999, 12, 64  # STEP: splits between two looks at the buckets' sizes
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 XORS, ODDS = _SEEDS[:HASHES], _SEEDS[HASHES:] | U64(1)
 
@@ -83,85 +87,144 @@ def set_keys(sets: np.ndarray, offs: np.ndarray) -> list[bytes | None]:
     return out
 
 
-def path_keys(sample: np.ndarray, depth: int = DEPTH, runs: int = RUNS) -> np.ndarray:
-    """The bucket of every set (row) after depth splits in every run (column)."""
-    path = np.broadcast_to(mix(np.arange(1, runs + 1, dtype=U64)), (len(sample), runs)).copy()
-    rows = np.arange(len(sample))[:, None]
-    for level in range(depth):
-        token = (path >> U64(20)).astype(np.int64) % HASHES
-        path = mix(path ^ (sample[rows, token].astype(U64) + (token.astype(U64) << U64(40)) + U64(level + 1)))
-    return path
-
-
-def bucket_links(signed: DataFrame, total_bytes: int) -> DataFrame:
-    """Edges (a, b) from each set to the least id in each of its buckets. signed: doc_id, sample."""
-    shards = min(1 << 16, max(16, ceil_pow2(total_bytes / (32 << 20))))
-    shift = U64(64 - (shards.bit_length() - 1))
-
-    def stars(keys, ids):
-        """Sorted by key: (first of each key, distinct edges to the least id of the key)."""
-        o = np.argsort(keys, kind="stable")
-        keys, ids = keys[o], ids[o]
-        lead = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        low = np.minimum.reduceat(ids, lead)
-        least = np.repeat(low, np.diff(np.r_[lead, len(keys)]))
-        far = ids != least
-        a, b = ids[far], least[far]
-        if len(a):
-            o = np.lexsort((b, a))
-            a, b = a[o], b[o]
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            a, b = a[new], b[new]
-        return keys[lead], low, a, b
-
-    def local(batches):
-        def emit(held):
-            keys = np.concatenate([x[0].ravel() for x in held])
-            ids = np.concatenate([np.repeat(x[1], x[0].shape[1]) for x in held])
-            keys, low, a, b = stars(keys, ids)
-            cut = np.searchsorted(keys >> shift, np.arange(shards + 1).astype(U64))
-            k = np.flatnonzero(np.diff(cut))
-            yield k, [keys[cut[i] : cut[i + 1]].tobytes() for i in k], [pack(low[cut[i] : cut[i + 1]]) for i in k], [None] * len(k)
-            for at in range(0, len(a), 1 << 16):
-                yield [at // 65536 % shards], [None], [None], [pack(np.concatenate([a[at : at + 65536], b[at : at + 65536]]))]
-
-        held, have = [], 0
+def least_equal(threshold: float) -> int:
+    """Equal samples of HASHES below which a pair isn't looked at."""
+    return int(HASHES * threshold - 4.5 * np.sqrt(HASHES * threshold * (1 - threshold)))
+
+
+def children(path: np.ndarray, row: np.ndarray, sample: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, row) of the children: a bucket takes 1 / threshold of the samples on average, the same ones for all its rows."""
+    share = 1 / threshold
+    first, stride = (path >> U64(20)).astype(np.int64), (path >> U64(40)).astype(np.int64) | 1  # odd: places don't repeat
+    chance = (path & U64(0xFFFF)).astype(np.float64) / 65536
+    out = []
+    for k in range(min(HASHES, int(np.ceil(share)))):
+        on = np.flatnonzero(chance < share - k)
+        token = (first[on] + k * stride[on]) % HASHES
+        value = sample[row[on], token].astype(U64)
+        out.append((mix(path[on] ^ mix(value + (token.astype(U64) << U64(40)) + U64(1))), row[on]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def survival(threshold: float, depth: int) -> float:
+    """The chance that two sets at the threshold share a bucket after depth splits of one run."""
+    share, s = 1 / threshold, 1.0
+    whole, rest = int(share), share - int(share)
+    for _ in range(depth):
+        apart = 1 - threshold * s
+        s = 1 - ((1 - rest) * apart**whole + rest * apart ** (whole + 1))
+    return s
+
+
+def sketch_links(groups: DataFrame, threshold: float) -> DataFrame:
+    """Star edges (a, b) of pairs within a bucket that agree in least_equal samples. groups: path, i, j, block, rep, component, low; i, j: the two blocks of this task."""
+    least = least_equal(threshold)
+
+    def agree(low, x, y):
+        out = np.zeros(len(x), bool)
+        for at in range(0, len(x), 1 << 16):
+            p, q = x[at : at + 65536], y[at : at + 65536]
+            out[at : at + 65536] = (low[p] == low[q]).sum(1) >= least
+        return x[out], y[out]
+
+    def done(path, i, j, block, rep, part, low):
+        lead = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        size, found = np.diff(np.r_[lead, len(path)]), []
+        plain = (size <= SMALL) & (i[lead] == j[lead])
+        row = np.flatnonzero(np.repeat(plain, size))
+        later = np.repeat(lead + size, size)[row] - row - 1  # each row with those behind it in its bucket
+        x = np.repeat(row, later)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+        apart = part[x] != part[y]
+        found.append(agree(low, x[apart], y[apart]))
+        for a, n in zip(lead[~plain].tolist(), size[~plain].tolist()):
+            own = np.arange(a, a + n)
+            one, two = own[block[own] == i[a]], own[block[own] == j[a]]
+            for at in range(0, len(one), 64):
+                x, y = np.repeat(one[at : at + 64], len(two)), np.tile(two, len(one[at : at + 64]))
+                apart = (part[x] != part[y]) & ((x < y) | (i[a] != j[a]))
+                found.append(agree(low, x[apart], y[apart]))
+        x, y = (np.concatenate(z) for z in zip(*found))
+        root = local_stars(len(rep), x, y)
+        far = np.flatnonzero(root != np.arange(len(rep)))
+        both = np.unique(np.stack([np.maximum(rep[far], rep[root[far]]), np.minimum(rep[far], rep[root[far]])], 1), axis=0)
+        return both[:, 0], both[:, 1]
+
+    def run(batches):
+        held = None
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                keys = path_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, HASHES))
-                held.append((keys, part.column(0).to_numpy()))
-                have += keys.size
-                if have >= FLUSH_KEYS:
-                    yield from emit(held)
-                    held, have = [], 0
-        if held:
-            yield from emit(held)
+            new = [*(b.column(c).to_numpy() for c in range(6)), np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, HASHES)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            path, i, j = held[:3]
+            last = np.flatnonzero((path != path[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last bucket may go on
+            if cut:
+                yield done(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield done(*held)
 
-    def join(batches):
-        shard, keys, ids = None, [], []
+    return map_arrow(groups, run, "a long, b long")
 
-        def emit():
-            _, _, a, b = stars(np.concatenate(keys), np.concatenate(ids))
-            for at in range(0, len(a), 1 << 16):
-                yield a[at : at + 65536], b[at : at + 65536]
 
-        for b in batches:
-            for k, x, y, edges in zip(*(b.column(c).to_pylist() for c in range(4))):
-                if edges is not None:
-                    yield tuple(unpack(edges, np.int64).reshape(2, -1))
-                    continue
-                if k != shard and keys:
-                    yield from emit()
-                    keys, ids = [], []
-                shard = k
-                keys.append(np.frombuffer(x, U64))
-                ids.append(unpack(y, np.int64))
-        if keys:
-            yield from emit()
+def round_links(reps: DataFrame, low: DataFrame, near: DataFrame | None, first_run: int, threshold: float) -> DataFrame:
+    """Edges that RUNS runs add. reps: rep, sample; low: rep, low; near: node, component of what is connected so far."""
+    component = F.coalesce("component", "rep") if near is not None else F.col("rep")
 
-    rows = map_arrow(signed, local, "shard int, keys binary, ids binary, edges binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    return map_arrow(rows, join, "a long, b long")
+    def split(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                sample = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
+                lists = part.column(3)
+                path, n = lists.flatten().to_numpy().view(U64), np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(len(n)), n)
+                for _ in range(STEP):
+                    path, row = children(path, row, sample, threshold)
+                yield path.view(np.int64), part.column(0).to_numpy()[row], part.column(1).to_numpy()[row]
+
+    starts = mix(np.arange(first_run + 1, first_run + RUNS + 1, dtype=U64)).view(np.int64).tolist()
+    of = reps.join(near.hint("merge"), F.col("rep") == F.col("node"), "left") if near is not None else reps
+    active, buckets = of.select("rep", component.alias("component"), "sample", F.array(*map(F.lit, starts)).alias("paths")), []
+    for depth in range(STEP, DEPTH + 1, STEP):
+        rows = saved(map_arrow(active, split, "path long, rep long, component long"), "paths")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("component").alias("low_one"), F.max("component").alias("high_one"))
+        sizes = saved(sizes.where("m > 1 and low_one < high_one").select("path", "m"), "buckets")
+        done = sizes if depth + STEP > DEPTH else sizes.where(F.col("m") <= SMALL)
+        buckets.append(rows.join(small(done.withColumnRenamed("path", "of")), F.col("path") == F.col("of")).select("path", "rep", "component", "m"))
+        if depth + STEP > DEPTH or sizes.where(F.col("m") > SMALL).isEmpty():
+            break
+        on = rows.join(small(sizes.where(F.col("m") > SMALL).select(F.col("path").alias("of"))), F.col("path") == F.col("of"))
+        on = saved(on.groupBy("rep").agg(F.first("component").alias("component"), F.collect_list("path").alias("paths")), "split-again")
+        active = reps.join(small(on.withColumnRenamed("rep", "on")), F.col("rep") == F.col("on")).select("rep", "component", "sample", "paths")
+    rows = buckets[0]
+    for more in buckets[1:]:
+        rows = rows.unionByName(more)
+    rows = saved(rows, "members")
+    own = low.join(small(rows.select("rep").distinct()), "rep", "left_semi")
+    blocks = F.ceil(F.col("m") / BLOCK_DOCS).cast("int")
+    rows = rows.select("path", "rep", "component", blocks.alias("blocks")).join(own.hint("merge"), "rep")
+    rows = rows.select("*", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "low")
+    rows = rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "rep")
+    return saved(sketch_links(rows, threshold).distinct(), "found")
+
+
+def connected(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """node, component over the links of rounds of runs, until the target recall."""
+    low = saved(map_arrow(reps.select("rep", "sample"), lambda batches: ((b.column(0), [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in b.column(1).to_pylist()]) for b in batches), "rep long, low binary"), "low")
+    near, merged, missed = None, 0, 1.0
+    miss = (1 - survival(threshold, DEPTH)) ** RUNS
+    for k in range(MOST_ROUNDS):
+        edges = round_links(reps, low, near, k * RUNS, threshold)
+        if near is not None:
+            edges = edges.unionByName(near.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        near = saved(components(edges), "near")
+        now = near.where("node <> component").count()
+        fresh, merged, missed = now - merged, now, missed * miss
+        if missed <= 1 - recall and fresh * miss / (1 - miss) <= (1 - recall) * merged:
+            break
+    return near
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -201,14 +264,14 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
 
 def linked(sets: list[np.ndarray], sample: np.ndarray, one: np.ndarray, two: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (of one x two, or within one) at the threshold or above."""
-    pairs_i, pairs_j = [], []
+    pairs_i, pairs_j, least = [], [], least_equal(threshold)
     other = one if two is None else two
     for at in range(0, len(one), 256):
         part = one[at : at + 256]
         same = np.zeros((len(part), len(other)), np.uint8)
         for k in range(HASHES):
             same += sample[part, k][:, None] == sample[other, k][None, :]
-        x, y = np.nonzero(same >= LEAST)
+        x, y = np.nonzero(same >= least)
         if two is None:
             keep = x + at < y
             x, y = x[keep], y[keep]
@@ -223,11 +286,10 @@ def linked(sets: list[np.ndarray], sample: np.ndarray, one: np.ndarray, two: np.
     return i[hit], j[hit]
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least id of the linked group), n_links (documents linked directly, copies included), kept for every row."""
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (least id of the linked group), n_links (documents linked directly, copies included), kept, and key_a, key_b (row_key of id and text) for every row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = utf8_bytes(rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row_key(F.col(id_col), F.col(text_col)))
 
     def sign(batches):
         for b in batches:
@@ -235,12 +297,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sets, offs = shingle_sets(t)
                 low = samples(sets, offs)
                 keys = set_keys(sets, offs)
-                yield b.column(0).slice(at, t.n), keys, np.diff(offs), [None if k is None else x.tobytes() for k, x in zip(keys, low)]
+                yield *(b.column(c).slice(at, t.n) for c in (0, 2, 3)), keys, np.diff(offs), [None if k is None else x.tobytes() for k, x in zip(keys, low)]
 
-    signed = saved(map_arrow(rows, sign, "doc_id long, key binary, n_shingles int, sample binary"), "signed")
+    signed = saved(map_arrow(rows, sign, "doc_id long, key_a long, key_b long, key binary, n_shingles int, sample binary"), "signed")
     real = signed.where("key is not null and doc_id is not null")
-    reps = saved(real.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles")), "reps")
-    near = components(bucket_links(real.select("doc_id", "sample"), total))
+    reps = saved(real.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.any_value("sample").alias("sample")), "reps")
+    near = connected(reps.select("rep", "sample"), threshold, recall)
     placed = reps.join(near, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "n_shingles", F.coalesce("component", "rep").alias("place"))
     placed = saved(placed, "placed")
     size = placed.groupBy("place").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w")).where("m > 1")
@@ -258,7 +320,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rest = part.take(ok)
                 yield rest.column(0), rest.column(3), rest.column(4), rest.column(5), rest.column(6), [low[k].tobytes() for k in ok], [sets[offs[k] : offs[k + 1]].tobytes() for k in ok]
 
-    texts = rows.join(todo.hint("merge"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "key", "n", "place", "blocks", "block")
+    texts = rows.select("doc_id", "text").join(small(todo), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "key", "n", "place", "blocks", "block")
     work = map_arrow(texts, expand, "rep long, n long, place long, blocks int, block int, sample binary, shingles binary")
     work = work.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     work = work.select("place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "sample", "shingles")
@@ -306,6 +368,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     of_rep = reps.join(links, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left")
     of_rep = saved(of_rep.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("class_id")), "classes")
-    out = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of_rep, "key", "left")
+    out = signed.select("doc_id", "key_a", "key_b", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of_rep, "key", "left")
     own = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", own.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", own.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"), "key_a", "key_b")

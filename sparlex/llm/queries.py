@@ -61,7 +61,7 @@ FROM embeddings JOIN c ON a = vec_id
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("key_a", "key_b")
 
 
 OP4_SQL = """
