@@ -5,20 +5,21 @@ dealt into blocks of about ``BLOCK`` by their angle to one of them (cut at quant
 a hot label or a large near-copy group is many blocks; two blocks whose angle intervals are
 further apart than the threshold's angle hold no link and are not compared. Each remaining pair
 of blocks is a task: a cover tree of each (nested levels, radii halving from 2, actual covering
-radii kept), traversed together: a pair of nodes is dropped if its centres are further apart
-than threshold + both radii, taken whole if centres + both radii stay within the threshold (its
-links are counted, not listed), else the wider one is opened. Single vectors are compared by
-cosine in double precision. Tasks return link counts and star edges, never pairs.
+radii kept), traversed together. A reached pair of nodes is opened on both sides and only then are
+the distances between their children's centres worked out; a pair of children is dropped if its
+centres are further apart than threshold + both radii, taken whole if centres + both radii stay
+within the threshold (its links are counted, not listed), and reached otherwise. Single vectors are
+compared by cosine in double precision. Tasks return link counts and star edges, never pairs.
 
 Defined results: null, empty, zero or non-finite vectors and null labels link with nothing;
 vectors of different lengths don't link; rows with a null id link with nothing, have no
-component and are kept; repeated rows count as further vectors.
+component and are kept; repeated rows count as further vectors; ties take the least id; very long
+vectors and labels (their whole text counts) are compared like others; an empty table gives an
+empty table; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,116 +27,133 @@ from pyspark.sql import functions as F
 from .common import map_arrow, saved
 from .components import components, local_stars
 
-BLOCK, SLACK, FRONTIER = 2048, 1e-9, 1 << 20
+BLOCK, SLACK, STRIP = 2048, 1e-9, 1 << 20
+U64 = np.uint64
 
 
 class CoverTree:
-    """Of unit vectors: node arrays centre, radius (to its furthest vector), first child, children; order and first, size give each node's vectors."""
+    """Of unit vectors: node arrays centre, radius (to its furthest vector), first child, children; member has each node's vectors. ``distances`` counts those worked out."""
 
     def __init__(self, x: np.ndarray):
-        dots = x @ x.T
-        self.x = x
-        nodes, order = [], []
-
-        def chord(c, m):
-            return np.sqrt(np.maximum(0.0, 2 - 2 * dots[c, m]))
-
-        queue = [(0, np.arange(len(x)), 2.0)]
-        kids: list[list[int]] = []
-        member: list[np.ndarray] = []
+        self.x, self.distances = x, 0
+        centre, radius, kids, member = [], [], [], []
+        dots = x @ x[0]
+        self.distances += len(x)
+        queue = [(0, np.arange(len(x)), dots, 2.0)]
         at = 0
         while at < len(queue):
-            c, m, r = queue[at]
-            nodes.append((c, float(chord(c, m).max())))
+            c, m, near_c, r = queue[at]
+            queue[at] = None  # its distances are done with
+            at += 1
+            wide = float(np.sqrt(max(0.0, 2 - 2 * near_c.min())))
+            centre.append(c)
+            radius.append(wide)
             member.append(m)
             kids.append([])
-            if len(m) > 1:
-                rest = np.r_[c, m[m != c]]  # nested: a node's centre is the first of its children
-                if nodes[-1][1] == 0:
-                    groups = [(i, m[m == i]) for i in rest.tolist()]
-                else:
-                    groups = []
-                    while r / 2 > nodes[-1][1]:
-                        r /= 2
-                    near = 1 - (r / 2) ** 2 / 2
-                    while len(rest):
-                        i, inside = int(rest[0]), dots[rest[0], rest] >= near
-                        inside[0] = True
-                        groups.append((i, rest[inside]))
-                        rest = rest[~inside]
-                for i, g in groups:
-                    kids[-1].append(len(queue))
-                    queue.append((i, g, r / 2))
-            at += 1
-        self.centre, self.radius = np.int64([n[0] for n in nodes]), np.float64([n[1] for n in nodes])
-        self.count = np.int64([len(k) for k in kids])
-        self.first = np.cumsum(self.count) - self.count
-        self.child = np.int64([i for k in kids for i in k])
-        self.member = member
+            if len(m) == 1:
+                continue
+            while r / 2 > wide > 0:
+                r /= 2
+            near = 1 - (r / 2) ** 2 / 2
+            rest, dots, i = m, near_c, c  # nested: a node's centre is the first of its children
+            while len(rest):
+                inside = dots >= near if wide > 0 else rest == i
+                inside |= rest == i
+                kids[-1].append(len(queue))
+                queue.append((i, rest[inside], dots[inside], r / 2))
+                rest = rest[~inside]
+                if len(rest):
+                    i = int(rest[0])
+                    dots = x[rest] @ x[i] if wide > 0 else np.ones(len(rest))
+                    self.distances += len(rest) * (wide > 0)
+        self.centre, self.radius = np.int64(centre), np.float64(radius)
+        self.kids, self.member = [np.int64(k) for k in kids], member
         self.single = np.int64([len(m) == 1 for m in member]) > 0
 
+    def opened(self, node: int) -> np.ndarray:
+        return np.int64([node]) if self.single[node] else self.kids[node]
+
 
 def dual(a: CoverTree, b: CoverTree, threshold: float, weight_a: np.ndarray, weight_b: np.ndarray):
-    """(links of a's vectors, of b's, linked pairs that connect as all links do)."""
-    dots, tau = a.x @ b.x.T, float(np.sqrt(2 - 2 * threshold))
+    """(links of a's vectors, of b's, linked pairs that connect as all links do, distances worked out). With a is b, each pair of nodes is met once and a vector does not link with itself."""
+    tau, same, worked = float(np.sqrt(2 - 2 * threshold)), a is b, 0
     links_a, links_b = np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64)
     edges: list[tuple[np.ndarray, np.ndarray]] = []
-    stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    stack = [(0, 0)]
     while stack:
-        p, q = stack.pop()
-        if len(p) > FRONTIER:
-            stack.append((p[FRONTIER:], q[FRONTIER:]))
-            p, q = p[:FRONTIER], q[:FRONTIER]
-        d, ra, rb = dots[a.centre[p], b.centre[q]], a.radius[p], b.radius[q]
-        leaf = a.single[p] & b.single[q]
-        hit = leaf & (d >= threshold)
-        if hit.any():
-            i, j = a.centre[p[hit]], b.centre[q[hit]]
-            np.add.at(links_a, i, weight_b[j])
-            np.add.at(links_b, j, weight_a[i])
-            edges.append((i, j))
-        far = np.sqrt(np.maximum(0.0, 2 - 2 * d))
-        whole = ~leaf & (far + ra + rb <= tau - SLACK)
-        for n, m in zip(p[whole].tolist(), q[whole].tolist()):
-            i, j = a.member[n], b.member[m]
-            links_a[i] += weight_b[j].sum()
-            links_b[j] += weight_a[i].sum()
-            edges.append((i, np.full(len(i), b.centre[m])))
-            edges.append((np.full(len(j), a.centre[n]), j))
-        go = ~leaf & ~whole & (far <= tau + ra + rb + SLACK)
-        p, q, ra, rb = p[go], q[go], ra[go], rb[go]
-        if not len(p):
+        n, m = stack.pop()
+        if same and n == m and a.single[n]:
             continue
-        left = ~a.single[p] & ((ra >= rb) | b.single[q])
-        for tree, mine, other, turn in ((a, p[left], q[left], False), (b, q[~left], p[~left], True)):
-            for at in range(0, len(mine), 1024):
-                n = tree.count[(m := mine[at : at + 1024])]
-                kid = tree.child[np.repeat(tree.first[m] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                rest = np.repeat(other[at : at + 1024], n)
-                if len(kid):
-                    stack.append((rest, kid) if turn else (kid, rest))
+        every_p, q = a.opened(n), b.opened(m)
+        step = max(1, STRIP // len(q))
+        for at in range(0, len(every_p), step):
+            p = every_p[at : at + step]
+            d = a.x[a.centre[p]] @ b.x[b.centre[q]].T
+            worked += d.size
+            far = np.sqrt(np.maximum(0.0, 2 - 2 * d))
+            radii = a.radius[p][:, None] + b.radius[q][None, :]
+            leaf = a.single[p][:, None] & b.single[q][None, :]
+            once = p[:, None] <= q[None, :] if same and n == m else np.ones_like(leaf)
+            i, j = np.nonzero(leaf & once & (d >= threshold) & ((p[:, None] != q[None, :]) if same else True))
+            if len(i):
+                i, j = a.centre[p[i]], b.centre[q[j]]
+                np.add.at(links_a, i, weight_b[j])
+                np.add.at(links_b, j, weight_a[i])
+                edges.append((i, j))
+            whole = ~leaf & once & (far + radii <= tau - SLACK) & ((p[:, None] != q[None, :]) if same else True)
+            for k, l in zip(*np.nonzero(whole)):
+                i, j = a.member[p[k]], b.member[q[l]]
+                links_a[i] += weight_b[j].sum()
+                links_b[j] += weight_a[i].sum()
+                edges.append((i, np.full(len(i), b.centre[q[l]])))
+                edges.append((np.full(len(j), a.centre[p[k]]), j))
+            go = ~leaf & ~whole & once & (far <= tau + radii + SLACK)
+            stack.extend(zip(*(x.tolist() for x in (p[np.nonzero(go)[0]], q[np.nonzero(go)[1]]))))
     none = np.zeros(0, np.int64)
-    return links_a, links_b, tuple(np.concatenate([none, *x]) for x in zip(*edges)) if edges else (none, none)
+    pairs = tuple(np.concatenate([none, *x]) for x in zip(*edges)) if edges else (none, none)
+    return links_a, links_b, pairs, worked
+
+
+def _mixed(x):
+    x = (x ^ (x >> U64(33))) * U64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> U64(33))) * U64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> U64(33))
 
 
 def unit_vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """id, label (string), key (null unless the vector can link), vec (unit, doubles as bytes)."""
+    """id, label (string), key (128 bits of the vector; null unless it can link), vec (unit, doubles as bytes)."""
 
     def read(batches):
         for b in batches:
-            keys, vecs = [], []
-            for i, v, label in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                x = v.values if v.is_valid else None
-                ok = i is not None and label is not None and x is not None and len(x) and not x.null_count
-                x = x.to_numpy() if ok else None
-                norm = float(np.sqrt(np.dot(x, x))) if ok else 0.0
-                if ok and (not np.isfinite(norm) or norm == 0) and np.isfinite(x).all() and x.any():
-                    x = x / np.abs(x).max()  # squares that overflow or vanish
-                    norm = float(np.sqrt(np.dot(x, x)))
-                ok = ok and np.isfinite(norm) and norm > 0
-                keys.append(hashlib.blake2b(v.values.to_numpy().tobytes(), digest_size=16, key=label.encode()[:64]).digest() if ok else None)
-                vecs.append((x / norm).tobytes() if ok else None)
-            yield b.column(0), b.column(2), keys, vecs
+            lists = b.column(1)
+            lists = lists.fill_null([]) if lists.null_count else lists
+            lens = lists.value_lengths().to_numpy().astype(np.int64)
+            values = lists.flatten()
+            bad = ~np.isfinite(x := values.fill_null(float("nan")).to_numpy().copy())
+            x[bad] = 0.0
+            offs = np.r_[0, np.cumsum(lens)]
+            some = np.flatnonzero(lens)
+
+            def each(v, best):
+                out = np.zeros(len(lens), v.dtype)
+                if len(some):
+                    out[some] = best.reduceat(v, offs[some])
+                return out
+
+            top = each(np.abs(x), np.maximum)
+            ok = (lens > 0) & (each(bad.astype(np.int64), np.add) == 0) & (top > 0) & b.column(0).is_valid().to_numpy(False) & b.column(2).is_valid().to_numpy(False)
+            scale = np.where(ok & ((top > 1e150) | (top < 1e-150)), top, 1.0)  # squares that would overflow or vanish
+            x = x / np.repeat(scale, lens)
+            norm = np.sqrt(each(x * x, np.add))
+            unit = x / np.repeat(np.where(norm > 0, norm, 1.0), lens)
+            place = np.arange(len(x)) - np.repeat(offs[:-1], lens)
+            bits = values.fill_null(0.0).to_numpy().view(U64)
+            parts = [each(_mixed(bits ^ _mixed(place.astype(U64) + U64(s))), np.add) for s in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+            raw, keys = unit.tobytes(), np.stack(parts, 1).tobytes()
+            yield (
+                b.column(0), b.column(2), [keys[16 * i : 16 * i + 16] if o else None for i, o in enumerate(ok.tolist())],
+                [raw[8 * s : 8 * e] if o else None for o, s, e in zip(ok.tolist(), offs[:-1].tolist(), offs[1:].tolist())],
+            )
 
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     return map_arrow(rows, read, "id long, label string, key binary, vec binary")
@@ -180,13 +198,13 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
             x = np.frombuffer(b"".join(v for h in held for v in h[7].to_pylist()), np.float64).reshape(len(rep), -1)
             if key[2] == key[3]:
                 tree = CoverTree(x)
-                links, _, (a, b) = dual(tree, tree, threshold, n, n)
-                links = links - n  # each met itself once
+                la, lb, (a, b), _ = dual(tree, tree, threshold, n, n)
+                links = la + lb
             else:
                 one, two = np.flatnonzero(blk == key[2]), np.flatnonzero(blk == key[3])
                 if not len(one) or not len(two):
                     return
-                la, lb, (a, b) = dual(CoverTree(x[one]), CoverTree(x[two]), threshold, n[one], n[two])
+                la, lb, (a, b), _ = dual(CoverTree(x[one]), CoverTree(x[two]), threshold, n[one], n[two])
                 links = np.zeros(len(rep), np.int64)
                 links[one], links[two] = la, lb
                 a, b = one[a], two[b]
@@ -220,5 +238,3 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     of_rep = saved(of_rep.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "classes")
     out = units.select("id", "label", "key").join(of_rep, ["label", "key"], "left")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
-
-

@@ -18,7 +18,7 @@ from sparlex.llm.bpe import default_path as bpe_path
 from sparlex.llm.bpe import encoder
 from sparlex.llm.components import components
 from sparlex.llm.embedding_dedup import CoverTree, dual, embedding_dedup
-from sparlex.llm.jaccard_join import jaccard_join, path_keys, samples, shingle_sets
+from sparlex.llm.jaccard_join import HASHES, children, jaccard_join, shingle_sets, survival
 from sparlex.llm.language_id import crc_held_out, language_id
 from sparlex.llm.packing import Plan, pack
 from sparlex.llm.quality_classifier import classified, quality_classifier, trusted_documents
@@ -163,8 +163,24 @@ def test_cover_tree_counts():
     x = np.concatenate([r.normal(size=(150, 8)), np.ones((60, 8)) + 0.05 * r.normal(size=(60, 8))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     w = r.integers(1, 4, len(x))
-    links, _, _ = dual(CoverTree(x), CoverTree(x), 0.93, w, w)
-    assert (links == ((x @ x.T >= 0.93) * w).sum(1)).all()
+    for t in (0.5, 0.93, 0.999):
+        links, _, _, _ = dual(CoverTree(x), CoverTree(x.copy()), t, w, w)
+        assert (links == ((x @ x.T >= t) * w).sum(1)).all()
+        tree = CoverTree(x)
+        one, two, (a, b), _ = dual(tree, tree, t, w, w)
+        assert (one + two + w == ((x @ x.T >= t) * w).sum(1)).all() and (x[a] * x[b]).sum(1).min() >= t
+
+
+def test_cover_tree_saves_distances():
+    """Clustered vectors: the trees and their traversal work out far fewer distances than there are pairs."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(100, 24))
+    x = np.repeat(centres, 20, 0) + 0.02 * r.normal(size=(2000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, w = CoverTree(x), np.ones(2000, np.int64)
+    one, two, _, worked = dual(tree, tree, 0.93, w, w)
+    assert (one + two + 1 == (x @ x.T >= 0.93).sum(1)).all()
+    assert tree.distances + worked < 0.1 * 2000 * 2000
 
 
 def brute_jaccard(rows):
@@ -211,15 +227,35 @@ def test_jaccard_blocks(spark):
     assert got == {i: (root[i], len(near[i])) for i in root} and sum(map(len, near.values())) > 1000
 
 
-def test_paths_reach_the_recall():
-    r = np.random.default_rng(2)
-    met = 0
-    for k in range(100):
-        both, own = r.integers(1, 1 << 62, 80), r.integers(1, 1 << 62, 20)
-        a, b = np.sort(np.r_[both, own[:10]]).astype(np.uint64), np.sort(np.r_[both, own[10:]]).astype(np.uint64)  # 80 of 100
-        p = path_keys(samples(np.r_[a, b], np.int64([0, len(a), len(a) + len(b)])))
-        met += (p[0] == p[1]).any()
-    assert met >= 98
+def test_recall_of_the_whole_join(spark):
+    """300 pairs at 0.80 to 0.82, hidden among texts that share passages: nearly all are linked, and nothing else."""
+    r, rows, pairs = random.Random(8), [], []
+    shared = [words(30, 700 + i) for i in range(5)]
+    for k in range(300):
+        a = [f"w{r.randrange(10**9)}" for _ in range(184)]
+        b = a[:]
+        for place in (30, 70, 110, 150):  # four changed words cost 20 of 180 shingles each way: 160 / 200
+            b[place] = f"x{place}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        pairs.append((2 * k, 2 * k + 1))
+    rows += [(1000 + i, shared[i % 5] + " " + words(60, 9000 + i)) for i in range(300)]
+    near, root = brute_jaccard(dict(rows[:40] + rows[600:]))
+    assert near[0] == {1}
+    got = {x.doc_id: x.class_id for x in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[b] == a for a, b in pairs) >= 297 and all(got[i] == root[i] for i in range(1000, 1300))
+
+
+def test_survival_of_a_pair():
+    """The chance to share a bucket at full depth, measured over runs for samples that agree at the threshold."""
+    r, met, n = np.random.default_rng(2), 0, 400
+    for k in range(n):
+        a = r.integers(0, 1 << 32, HASHES).astype(np.uint32)
+        b = np.where(r.random(HASHES) < 0.8, a, r.integers(0, 1 << 32, HASHES).astype(np.uint32))
+        path, row = np.full(2, k * 7919 + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(2)
+        for _ in range(6):
+            path, row = children(path, row, np.stack([a, b]), 0.8)
+        met += bool(set(path[row == 0].tolist()) & set(path[row == 1].tolist()))
+    assert abs(met / n - survival(0.8, 6)) < 0.09
 
 
 def test_shingles_of_short_texts():
