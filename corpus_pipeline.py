@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparlex.llm.common import shared_dir
+from sparlex.llm.common import row_key, shared_dir, without
 from sparlex.llm.jaccard_join import jaccard_join
 from sparlex.llm.packing import pack
-from sparlex.llm.quality_classifier import quality_classifier, trusted_documents
+from sparlex.llm.quality_classifier import classified, trusted_documents
 from sparlex.llm.quality_rules import quality_rules
 from sparlex.llm.substring_dedup import substring_dedup
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
-    return quality_rules(docs).where("kept").select("doc.*")
+    keyed = docs.select("*", F.struct(*row_key(F.col("text"), F.col("source"))).alias("key of the row"))
+    verdicts = quality_rules(keyed, keep_doc=["key of the row"])
+    return without(docs, verdicts.where("not kept").select("doc.`key of the row`.*"), "text", "source")
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents above their language's perplexity limit go; trusted text: what labels calls good and not toxic."""
     trusted = trusted_documents(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier(docs, trusted, keep_text=True).where("kept").select("row.*")
+    return classified(docs, trusted)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least id of each group of near-duplicates stays."""
-    gone = jaccard_join(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return without(docs, jaccard_join(docs).where("not kept"), "doc_id", "text")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
