@@ -73,11 +73,18 @@ def same_bytes(a: np.ndarray, start: np.ndarray, b: np.ndarray, other: np.ndarra
     return out
 
 
+TRIMMED: list = []  # what a worker need not keep from task to task
+
+
 class Powers:
     """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
 
     def __init__(self, base: int):
-        self.base, self.inverse, self.made = U64(base), U64(pow(base, -1, 1 << 64)), 0
+        self.base, self.inverse = U64(base), U64(pow(base, -1, 1 << 64))
+        TRIMMED.append(self)
+        self.clear()
+
+    def clear(self):
         self.up = self.down = np.ones(1, U64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +185,8 @@ class Known:
 
     def clear(self):
         self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and where each one's span stands below
-        self.at, self.size, self.first, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.at, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.size, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.raw, self.used, self.filled = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8), 0, 0
 
     @staticmethod
@@ -194,8 +202,8 @@ class Known:
         to = np.cumsum(n)
         self.raw[self.filled : self.filled + total] = buf[np.repeat(start - (to - n), n) + np.arange(total)]
         row = len(self.at) + np.arange(len(keys))
-        self.at, self.size = np.r_[self.at, self.used + np.cumsum(size) - size], np.r_[self.size, size]
-        self.first, self.length = np.r_[self.first, self.filled + to - n], np.r_[self.length, n]
+        self.at, self.size = np.r_[self.at, self.used + np.cumsum(size) - size], np.r_[self.size, size.astype(np.int32)]
+        self.first, self.length = np.r_[self.first, self.filled + to - n], np.r_[self.length, n.astype(np.int32)]
         self.used, self.filled = need, self.filled + total
         to = np.searchsorted(self.keys, keys)
         self.keys, self.row = np.insert(self.keys, to, keys), np.insert(self.row, to, row)
@@ -227,7 +235,7 @@ class Known:
 
     def spell(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the rows one after another, offsets by row)."""
-        size = self.size[rows]
+        size = self.size[rows].astype(np.int64)
         total = np.r_[0, np.cumsum(size)]
         return self.ids[np.repeat(self.at[rows] - total[:-1], size) + np.arange(total[-1])], total
 

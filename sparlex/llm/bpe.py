@@ -17,7 +17,7 @@ import numpy as np
 from .arrays import Known, Texts
 
 WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-MOST_CHUNKS = 2_000_000
+MOST_CHUNKS = 1_000_000
 LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 STOP[list(b",.;:!?)")] = True

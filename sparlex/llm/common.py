@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from .arrays import TRIMMED
+
 ZSTD = pa.Codec("zstd", compression_level=1)
 MOST_BROADCAST = 1 << 18  # rows of two numbers: some 20 MB
 
@@ -39,14 +43,27 @@ def map_arrow(df: DataFrame, fn, schema: str, **first) -> DataFrame:
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
 
     def run(batches):
-        for cols in fn(batches):
-            arrays = [c if isinstance(c, pa.Array) and c.type == f.type else c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow)]
-            if len(arrays[0]):
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        try:
+            for cols in fn(batches):
+                arrays = [c if isinstance(c, pa.Array) and c.type == f.type else c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, arrow)]
+                if len(arrays[0]):
+                    yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        finally:
+            trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Gives a worker's free memory back at the end of a task: workers live on while other tasks need the room."""
+    for p in TRIMMED:
+        p.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_key(*columns) -> list:
     """Two hashes of columns (null is a value of its own), by which equal rows are found."""
     parts = [x for c in columns for x in (c.isNull(), c)]

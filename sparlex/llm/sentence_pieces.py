@@ -28,7 +28,7 @@ from .arrays import Known, Texts, slices
 from .common import map_arrow, strings
 
 BREAK = 0x110000  # stands between indexed segments
-INDEX_CHARS, MOST_SEGMENTS, LONG = 1 << 20, 2_000_000, 48
+INDEX_CHARS, MOST_SEGMENTS, LONG = 1 << 20, 1_000_000, 48
 _MODELS: dict[str, "Model"] = {}
 
 

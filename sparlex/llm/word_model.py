@@ -34,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, Powers, Texts, codepoints, letter_table, lower_table, mix, prefix_hash, slices, span_hash
+from .arrays import U64, Texts, codepoints, letter_table, lower_table, mix, slices, span_keys
 from .common import ZSTD, ceil_pow2, map_arrow, pack, shared_dir, unpack
 from .files import opened, removed, written
 
 EDGE, END = mix(np.array([0x5EED, 0xE0F], U64))
-CODE_POWERS, FLUSH, SHARE, SKETCH = Powers(0x9FB21C651E98DF25), 2_000_000, 2.0**-18, 1 << 28
+FLUSH, SHARE, SKETCH = 1_500_000, 2.0**-18, 1 << 28
 WORD, GRAM = U64(0x8F1BBCDCBFA53E0B), U64(0xC2B2AE3D27D4EB4F)
 ALONE = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x40000))
 _KINDS: list[np.ndarray] = []
@@ -77,7 +77,11 @@ def word_keys(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     stop[lead] = True
     stops = np.r_[np.flatnonzero(stop), len(cp)]
     end = stops[np.searchsorted(stops, start, "right")]
-    h = span_hash(prefix_hash(mix(low.astype(U64) + U64(1)), CODE_POWERS), start, end, CODE_POWERS)
+    h = span_keys(low.astype("<u2").view(np.uint8), 2 * start, 2 * end)
+    if (high := low > 0xFFFF).any():  # words with code points above the first plane: by all their bits
+        n = np.r_[0, np.cumsum(high)]
+        some = np.flatnonzero(n[end] > n[start])
+        h[some] = mix(h[some] ^ span_keys(low.view(np.uint8), 4 * start[some], 4 * end[some], 1))
     first = np.searchsorted(start, offs)
     some = np.diff(offs) > 0
     to = first + np.r_[0, np.cumsum(some)]
@@ -384,7 +388,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         def emit():
             base, n_symbols = (np.concatenate([x[k] for x in held]) for k in (0, 2))
             at = np.cumsum([0] + [len(x[0]) for x in held])
-            w, g = (asked(np.concatenate([x[k] for x in held]), np.concatenate([x[k + 1] + a for x, a in zip(held, at)]), np.concatenate([x[k + 2] for x in held]), keys) for k in (3, 6))
+            w, g = (asked(np.concatenate([x[k] for x in held]), np.concatenate([x[k + 1] + np.int32(a) for x, a in zip(held, at)]), np.concatenate([x[k + 2] for x in held]), keys) for k in (3, 6))
             shards = sorted(w.keys() | g.keys())
             sink = pa.BufferOutputStream()
             table = pa.record_batch([pa.concat_arrays([x[1] for x in held]), pa.array(n_symbols), pa.array(base)], names=["row", "n_symbols", "nats"])
@@ -413,7 +417,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                 hot = ~np.isnan(known)
                 base = np.bincount(doc, value, t.n) + np.bincount(doc[maybe[hot]], known[hot], t.n) + np.where(np.diff(offs) > 0, m.edge, 0.0)
                 maybe = maybe[~hot]
-                held.append((base, b.column(0).slice(at, t.n), np.bincount(doc, size + 1, t.n).astype(np.int64), k[rare], doc[rare], size[rare], g[maybe], doc[maybe], size[maybe] * 0))
+                held.append((base, b.column(0).slice(at, t.n), np.bincount(doc, size + 1, t.n).astype(np.int64), k[rare], doc[rare].astype(np.int32), size[rare].astype(np.int32), g[maybe], doc[maybe].astype(np.int32), np.zeros(len(maybe), np.uint8)))
                 have += len(rare) + len(maybe) + t.n
                 if have >= FLUSH:
                     yield from emit()
