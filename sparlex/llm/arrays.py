@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # texts are worked on in slices of about this size
+SLICE_BYTES = 1 << 20  # texts are worked on in slices of about this size
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 U64 = np.uint64

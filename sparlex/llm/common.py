@@ -17,6 +17,7 @@ from pyspark.sql.types import StructField, StructType
 from .arrays import TRIMMED
 
 ZSTD = pa.Codec("zstd", compression_level=1)
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2048
 MOST_BROADCAST = 1 << 18  # rows of two numbers: some 20 MB
 
 
@@ -51,6 +52,9 @@ def map_arrow(df: DataFrame, fn, schema: str, **first) -> DataFrame:
         finally:
             trim()
 
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:  # batches of texts lie in the executor's and the worker's memory, some at a time
+        conf.set(BATCH_CONF, BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 
