@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -14,9 +14,10 @@ Span = tuple[int, int]
 WORD = re.compile(r"\S+")
 SENTENCE_END = re.compile(r'(?<=[.!?])\s+(?=[A-Z(\["“])')
 # Words whose full stop ends no sentence.
-ABBREVIATIONS = frozenset(
-    "fig figs eq eqs tab tabs ref refs sec secs al cf vs no nos etc approx e.g i.e resp dr mr mrs ms prof inc ltd co vol pp".split()
-)
+ABBREVIATIONS = frozenset({
+    "fig", "figs", "eq", "eqs", "tab", "tabs", "ref", "refs", "sec", "secs", "al", "cf", "vs", "no", "nos", "etc", "approx", "e.g", "i.e", "resp",
+    "dr", "mr", "mrs", "ms", "prof", "inc", "ltd", "co", "vol", "pp",
+})
 SPECIALS = 2  # tokens that a model adds to each text
 
 
@@ -25,6 +26,26 @@ def content_tokens(text: str) -> int:
     return sum(-(-len(w) // 4) for w in text.split())
 
 
+Counter = Callable[[str], int]  # tokens of a text's content; additive over white space
+
+
+class Words:
+    """The words of a text with the tokens before each, so that any span's tokens are two binary searches."""
+
+    def __init__(self, text: str, counter: Counter = content_tokens):
+        self.spans = word_spans(text)
+        self.starts = [a for a, _ in self.spans]
+        self.before = [0, *accumulate(counter(text[a:b]) for a, b in self.spans)]
+
+    def between(self, start: int, end: int) -> tuple[int, int]:
+        """First word from start on, first word from end on."""
+        return bisect_left(self.starts, start), bisect_left(self.starts, end)
+
+    def tokens(self, start: int, end: int) -> int:
+        i, j = self.between(start, end)
+        return self.before[j] - self.before[i]
+
+
 def word_spans(text: str) -> list[Span]:
     return [m.span() for m in WORD.finditer(text)]
 
@@ -54,11 +75,11 @@ def pack(spans: list[Span], sizes: list[int], budget: int, overlap: int = 0) ->
     return out
 
 
-def fixed_chunks(text: str, max_tokens: int = 400, overlap: int = 60) -> list[Span]:
+def fixed_chunks(text: str, max_tokens: int = 400, overlap: int = 60, counter: Counter = content_tokens) -> list[Span]:
     if overlap >= max_tokens:
         raise ValueError("the overlap must be smaller than the chunk")
     spans = word_spans(text)
-    return pack(spans, [content_tokens(text[a:b]) for a, b in spans], max_tokens - SPECIALS, overlap)
+    return pack(spans, [counter(text[a:b]) for a, b in spans], max_tokens - SPECIALS, overlap)
 
 
 def window_chunks(text: str, size: int = 60) -> list[Span]:
@@ -72,49 +93,75 @@ def line_chunks(text: str) -> list[Span]:
     return [(a, b - 1) for a, b in zip([0, *ends], ends) if b - 1 > a]
 
 
-def split_span(text: str, start: int, end: int, max_tokens: int) -> list[Span]:
-    """Sentences packed within the budget; a sentence that alone is over it is packed by words."""
-    local, budget, out = text[start:end], max_tokens - SPECIALS, []
-    sentences = sentence_spans(local)
-    for a, b in pack(sentences, [content_tokens(local[s:e]) for s, e in sentences], budget):
-        if content_tokens(local[a:b]) <= budget:
-            out.append((start + a, start + b))
+def pieces(text: str, words: Words, start: int, end: int, budget: int) -> list[Span]:
+    """A span as runs of whole sentences within the budget; where one sentence is over it, as runs of its words.
+
+    Every boundary between sentences is known by the tokens before it, so a run's end is a binary search among them.
+    """
+    bounds = [start + a for a, _ in sentence_spans(text[start:end])] + [end]
+    before, out, i = [words.before[bisect_left(words.starts, x)] for x in bounds], [], 0
+    while i < len(bounds) - 1:
+        j = bisect_right(before, before[i] + budget, i + 1) - 1
+        if j > i:
+            out.append((bounds[i], bounds[j]))
+            i = j
         else:
-            words = word_spans(local[a:b])
-            out += [(start + a + s, start + a + e) for s, e in pack(words, [content_tokens(local[a:b][s:e]) for s, e in words], budget)]
+            p, q = words.between(bounds[i], bounds[i + 1])
+            out += pack(words.spans[p:q], [y - x for x, y in zip(words.before[p:q], words.before[p + 1 : q + 1])], budget)
+            i += 1
     return out
 
 
-def section_chunks(text: str, units: list[tuple[str, str | None, int, int]], max_tokens: int = 400, min_tokens: int = 50) -> list[Span]:
+def section_chunks(text: str, units: list[tuple[str, str | None, int, int]], max_tokens: int = 400, min_tokens: int = 50, counter: Counter = content_tokens) -> list[Span]:
     """Chunks that keep to units (type, heading, start, end): long ones are split, small neighbours joined.
 
-    Captions stand alone. Neighbours join if one is under min_tokens and both fit together: parts of one unit
-    always, whole units under one known heading.
+    A neighbour may be joined for one of two reasons, each a key that both sides must share: pieces of one unit (its
+    number), and whole units that follow one another under one known heading. Captions have no key and stand alone.
+    The smaller side must be under min_tokens and both together within max_tokens.
     """
-    def count(a, b):
-        return content_tokens(text[a:b]) + SPECIALS
-
-    out: list[list] = []  # start, end, unit, heading, state
+    words = Words(text, counter)
+    spans: list[Span] = []
+    unit_key = heading_key = None  # of the last span
     for no, (kind, heading, start, end) in enumerate(units):
-        parts = [(start, end)] if count(start, end) <= max_tokens else split_span(text, start, end, max_tokens)
-        state = "caption" if kind == "caption" else "whole" if len(parts) == 1 else "part"
-        for a, b in parts:
-            last = out[-1] if out else None
-            joins = (
-                last is not None
-                and "caption" not in (state, last[4])
-                and min(count(last[0], last[1]), count(a, b)) < min_tokens
-                and count(last[0], b) <= max_tokens
-                and (last[2] == no or (last[4] in ("whole", "joined") and state == "whole" and heading is not None and last[3] == heading))
-            )
-            if joins:
-                out[-1] = [last[0], b, no, last[3], "part" if last[2] == no and last[4] == "part" else "joined"]
+        whole = words.tokens(start, end) + SPECIALS <= max_tokens
+        for a, b in [(start, end)] if whole else pieces(text, words, start, end, max_tokens - SPECIALS):
+            own_unit, own_heading = (None, None) if kind == "caption" else (no, heading if whole else None)
+            shared = (own_unit is not None and own_unit == unit_key) or (own_heading is not None and own_heading == heading_key)
+            if shared:
+                sizes = [words.tokens(x, y) + SPECIALS for x, y in (spans[-1], (a, b), (spans[-1][0], b))]
+                shared = min(sizes[:2]) < min_tokens and sizes[2] <= max_tokens
+            if shared:
+                spans[-1] = (spans[-1][0], b)
             else:
-                out.append([a, b, no, heading, state])
-    return [(c[0], c[1]) for c in out]
+                spans.append((a, b))
+            unit_key, heading_key = own_unit, own_heading
+    return spans
+
+
+def line_units(text: str) -> list[tuple[str, str | None, int, int]]:
+    """A text without markup as units, a line each: the first is its abstract, every seventh from the fourth on a caption, five share a heading."""
+    out, at = [], 0
+    for pos, line in enumerate(text.split("\n")):
+        if line.strip():
+            out.append(("abstract" if pos == 0 else "caption" if pos % 7 == 3 else "section", f"H{pos // 5}", at, at + len(line)))
+        at += len(line) + 1
+    return out
+
+
+# Strategies by name: each takes a text and returns its chunks' spans. Others can be added.
+CHUNKERS: dict[str, Callable[[str], list[Span]]] = {"fixed": fixed_chunks, "section_aware": lambda text: section_chunks(text, line_units(text))}
+
+
+def checked(text: str, start: int, end: int, expected: str | None = None) -> str:
+    """The slice of a chunk; spans outside the text, empty ones and a slice other than expected are errors."""
+    if not 0 <= start < end <= len(text):
+        raise ValueError(f"the span {start}-{end} does not lie in a text of {len(text)} characters")
+    if expected is not None and text[start:end] != expected:
+        raise ValueError(f"the text at {start}-{end} is not the one expected")
+    return text[start:end]
 
 
-def chunk_documents(docs: DataFrame, chunker: str, cut: Callable, extra: str | None = None, min_tokens: int = 0) -> DataFrame:
+def chunk_documents(docs: DataFrame, chunker: str, cut: Callable, extra: str | None = None, min_tokens: int = 0, counter: Counter = content_tokens) -> DataFrame:
     """paper_id, chunker, kept, chunk_no, char_start, char_end, n_tokens, text of every chunk.
 
     cut takes a text (and the extra column's value) and returns spans; chunks under min_tokens are numbered apart, as not kept.
@@ -128,9 +175,10 @@ def chunk_documents(docs: DataFrame, chunker: str, cut: Callable, extra: str | N
                 text = row[1] or ""
                 numbers = {True: 0, False: 0}
                 for a, b in cut(text, *row[2:]):
-                    n = content_tokens(text[a:b]) + SPECIALS
+                    piece = checked(text, a, b)
+                    n = counter(piece) + SPECIALS
                     keep = n >= min_tokens
-                    out.append((row[0], chunker, keep, numbers[keep], a, b, n, text[a:b]))
+                    out.append((row[0], chunker, keep, numbers[keep], a, b, n, piece))
                     numbers[keep] += 1
             yield pd.DataFrame(out, columns=["paper_id", "chunker", "kept", "chunk_no", "char_start", "char_end", "n_tokens", "text"])
 

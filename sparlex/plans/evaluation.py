@@ -131,7 +131,7 @@ def rrf_k_sweep(spark, sf):
 
 
 # ---- resampling ----
-N_RESAMPLES, SEED = 200, 42
+N_RESAMPLES, SEED = 10_000, 42
 DRAW = f"(('0x' || substr(md5('{SEED}|' || r || '|' || i), 1, 8))::UBIGINT % n)::INT"
 VALUES_SQL = "v AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY qid) - 1)::INT AS i, qid, a, b, a - b AS d FROM (SELECT qid, a.rr AS a, b.rr AS b FROM rr a JOIN rr b USING (qid) WHERE a.chunker = 'section_aware' AND a.mode = 'dense' AND b.chunker = 'fixed' AND b.mode = 'sparse'))"
 DRAWN_SQL = f"drawn AS (SELECT r, {DRAW} AS i FROM range({N_RESAMPLES}) AS x(r), (SELECT count(*) AS n FROM v), range((SELECT count(*) FROM v)) AS y(i))"

@@ -10,7 +10,7 @@ def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = sql
+            SQL[name] = sql.replace("WITH ", "WITH RECURSIVE ", 1) if "chase(" in sql and not sql.startswith("WITH RECURSIVE") else sql
         return f
 
     return add
@@ -23,4 +23,4 @@ def table(spark, sf_dir: str, name: str):
 def spread(df):
     """Rows dealt to all cores where the input is fewer files than half of them (one small file); larger inputs stay as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores // 2 else df

@@ -8,12 +8,12 @@ from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import retrieval as R
 from .registry import query, spread, table
-from .spans import WORDS_SQL
+from .spans import CHASE_SQL, SECTION_SQL, WORDS_SQL
 
-CHUNKS_SQL = f"""p AS (SELECT doc_id AS paper_id, text FROM documents), {WORDS_SQL.format('p')},
-lines AS (SELECT d.doc_id AS paper_id, pos, length(line) AS n, sum(length(line) + 1) OVER (PARTITION BY d.doc_id ORDER BY pos) - 1 AS char_end FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS t(line, pos)),
-spans AS (SELECT 'fixed' AS chunker, paper_id, i // 60 AS chunk_no, min(char_start) AS char_start, max(char_end) AS char_end FROM words GROUP BY ALL
-  UNION ALL SELECT 'section_aware', paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY pos) - 1, char_end - n, char_end FROM lines WHERE n > 0),
+CHUNKS_SQL = f"""p AS (SELECT doc_id AS paper_id, text FROM documents), {WORDS_SQL.format('p')}, {CHASE_SQL},
+lines AS MATERIALIZED (SELECT paper_id, pos AS unit_no, CASE WHEN pos = 0 THEN 'abstract' WHEN pos % 7 = 3 THEN 'caption' ELSE 'section' END AS type, 'H' || (pos // 5) AS heading, b - length(line) AS a, b FROM (
+  SELECT d.doc_id AS paper_id, k - 1 AS pos, line, sum(length(line) + 1) OVER (PARTITION BY d.doc_id ORDER BY k) - 1 AS b FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS t(line, k)) WHERE regexp_matches(line, '\\S')), {SECTION_SQL},
+spans AS (SELECT 'fixed' AS chunker, paper_id, chunk_no, char_start, char_end FROM fixed UNION ALL SELECT 'section_aware', paper_id, chunk_no, char_start, char_end FROM section WHERE kept),
 chunks AS MATERIALIZED (SELECT chunker, s.paper_id, format('{{}}:{{}}:{{:04d}}', s.paper_id, chunker, chunk_no) AS chunk_id, s.char_start::INT AS char_start, s.char_end::INT AS char_end, substr(d.text, s.char_start::INT + 1, (s.char_end - s.char_start)::INT) AS text FROM spans s JOIN documents d ON d.doc_id = s.paper_id),
 posted AS MATERIALIZED (SELECT *, sum(tf) OVER (PARTITION BY chunk_id) AS size FROM (SELECT chunker, chunk_id, token, count(*) AS tf FROM (SELECT chunker, chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM chunks) GROUP BY chunker, chunk_id, token)),
 ns AS (SELECT chunker, count(*) AS n FROM chunks GROUP BY chunker),
@@ -56,7 +56,7 @@ def kept(name, spark, sf, make):
 
 def chunks(spark, sf):
     docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text"))
-    both = C.chunk_documents(docs, "fixed", C.window_chunks).unionByName(C.chunk_documents(docs, "section_aware", C.line_chunks))
+    both = C.chunk_documents(docs, "fixed", C.CHUNKERS["fixed"]).unionByName(C.chunk_documents(docs, "section_aware", C.CHUNKERS["section_aware"], min_tokens=15).where("kept"))
     return both.withColumn("chunk_id", F.format_string("%d:%s:%04d", "paper_id", "chunker", "chunk_no"))
 
 

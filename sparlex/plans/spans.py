@@ -91,19 +91,52 @@ def word_spans(spark, sf):
     return w.groupBy("paper_id").agg(F.count("*").alias("n"), F.sum("char_start").alias("starts"), F.sum("char_end").alias("ends"), F.sum(F.col("n_tokens") - C.SPECIALS).alias("tokens"))
 
 
-@query("sentence_spans")
+ABBREVIATED = "[" + ", ".join(f"'{x}'" for x in sorted(C.ABBREVIATIONS)) + "]"
+ENDS_SQL = f"""regexp_matches(w, '[.!?]$') AND regexp_matches(next_w, '^[A-Z(\\["“]') AND NOT list_contains({ABBREVIATED}, lower(rtrim(w, '.')))"""
+
+
+@query("sentence_spans", f"""WITH p AS (SELECT doc_id AS paper_id, text FROM documents), {WORDS_SQL.format('p')},
+cuts AS (SELECT paper_id, 0 AS s FROM p WHERE length(text) > 0 UNION ALL SELECT paper_id, next_start FROM (SELECT paper_id, w, lead(w) OVER o AS next_w, lead(char_start) OVER o AS next_start FROM words WINDOW o AS (PARTITION BY paper_id ORDER BY i)) WHERE {ENDS_SQL})
+SELECT paper_id, (row_number() OVER o - 1)::INT AS chunk_no, s::INT AS char_start, coalesce(lead(s) OVER o, length(text))::INT AS char_end FROM cuts JOIN p USING (paper_id) WINDOW o AS (PARTITION BY paper_id ORDER BY s)""")
 def sentence_spans(spark, sf):
     return C.chunk_documents(docs(spark, sf), "sentences", C.sentence_spans).select("paper_id", "chunk_no", "char_start", "char_end")
 
 
-FIXED_SQL = f"""{UNITS_SQL}, {WORDS_SQL.format('papers')},
+CHASE_SQL = """
 pre AS MATERIALIZED (SELECT *, (sum(n) OVER (PARTITION BY paper_id ORDER BY i) - n)::BIGINT AS p FROM words),
-ends AS (SELECT paper_id, i, p, n FROM pre UNION ALL SELECT paper_id, max(i) + 1, max(p + n), 0 FROM pre GROUP BY paper_id),
-stop AS (SELECT a.paper_id, a.i, greatest(a.i + 1, b.i) AS j FROM pre a ASOF JOIN ends b ON a.paper_id = b.paper_id AND a.p + 398 >= b.p),
-lasts AS MATERIALIZED (SELECT paper_id, max(i) AS m FROM ends GROUP BY paper_id),
-back AS MATERIALIZED (SELECT s.paper_id, s.i, s.j, greatest(s.i + 1, coalesce(b.i, 0)) AS next, s.j >= s.m AS over FROM (SELECT s.*, e.p AS pj, l.m FROM stop s JOIN ends e ON e.paper_id = s.paper_id AND e.i = s.j JOIN lasts l ON l.paper_id = s.paper_id) s ASOF LEFT JOIN ends b ON s.paper_id = b.paper_id AND s.pj - 60 >= b.p),
-chase(paper_id, i, k) AS (SELECT paper_id, 0, 0 FROM papers UNION ALL SELECT c.paper_id, b.next, c.k + 1 FROM chase c JOIN back b ON b.paper_id = c.paper_id AND b.i = c.i WHERE NOT b.over),
+ends AS MATERIALIZED (SELECT paper_id, i, p, max(i) OVER (PARTITION BY paper_id) AS m, max(i) OVER (PARTITION BY paper_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 398 FOLLOWING) AS far,
+  coalesce(max(i) OVER (PARTITION BY paper_id ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND 60 PRECEDING), 0) AS near FROM (SELECT paper_id, i, p FROM pre UNION ALL SELECT paper_id, max(i) + 1, max(p + n) FROM pre GROUP BY paper_id)),
+back AS MATERIALIZED (SELECT s.paper_id, s.i, e.i AS j, greatest(s.i + 1, e.near) AS next, e.i >= s.m AS over FROM ends s JOIN ends e ON e.paper_id = s.paper_id AND e.i = greatest(s.i + 1, s.far) WHERE s.i < s.m),
+chase(paper_id, i, k) AS (SELECT DISTINCT paper_id, 0, 0 FROM words UNION ALL SELECT c.paper_id, b.next, c.k + 1 FROM chase c JOIN back b ON b.paper_id = c.paper_id AND b.i = c.i WHERE NOT b.over),
 fixed AS (SELECT c.paper_id, c.k AS chunk_no, a.char_start, z.char_end, (e.p - a.p + 2)::INT AS n_tokens FROM chase c JOIN back b ON b.paper_id = c.paper_id AND b.i = c.i JOIN pre a ON a.paper_id = c.paper_id AND a.i = c.i JOIN pre z ON z.paper_id = c.paper_id AND z.i = b.j - 1 JOIN ends e ON e.paper_id = c.paper_id AND e.i = b.j)"""
+FIXED_SQL = f"{UNITS_SQL}, {WORDS_SQL.format('papers')}, {CHASE_SQL}"
+# Of lines (paper_id, unit_no, type, heading, a, b) and words: the section-aware chunks. Long units go sentence by sentence, long sentences word by word.
+SECTION_SQL = f"""
+wp AS MATERIALIZED (SELECT *, (sum(n) OVER o)::BIGINT AS q, (sum(n) OVER o)::BIGINT - n AS p, lead(w) OVER o AS next_w FROM words WINDOW o AS (PARTITION BY paper_id ORDER BY i)),
+wl AS MATERIALIZED (SELECT w.*, l.unit_no, l.a, l.b FROM wp w ASOF JOIN lines l ON w.paper_id = l.paper_id AND w.char_start >= l.a),
+whole AS MATERIALIZED (SELECT l.*, p0, q0 FROM lines l JOIN (SELECT paper_id, unit_no, min(p) AS p0, max(q) AS q0 FROM wl GROUP BY ALL) USING (paper_id, unit_no)),
+said AS (SELECT wl.*, coalesce(sum(CASE WHEN {ENDS_SQL} THEN 1 ELSE 0 END) OVER (PARTITION BY wl.paper_id, wl.unit_no ORDER BY wl.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS s
+  FROM wl JOIN whole h ON h.paper_id = wl.paper_id AND h.unit_no = wl.unit_no WHERE q0 - p0 > 398),
+sent AS MATERIALIZED (SELECT paper_id, unit_no, s, min(p) AS p, max(q) AS q, CASE WHEN s = 0 THEN any_value(a) ELSE min(char_start) END AS a, any_value(b) AS unit_end FROM said GROUP BY paper_id, unit_no, s),
+sents AS MATERIALIZED (SELECT *, coalesce(lead(a) OVER (PARTITION BY paper_id, unit_no ORDER BY s), unit_end) AS b FROM sent),
+-- greedy runs: the run that holds item k starts where a chase from the unit's first item arrives
+run_to AS MATERIALIZED (SELECT paper_id, unit_no, s, max(s) OVER (PARTITION BY paper_id, unit_no ORDER BY q RANGE BETWEEN CURRENT ROW AND greatest(398 - (q - p), 0) FOLLOWING) AS t FROM sents),
+runs(paper_id, unit_no, s, t) AS (SELECT paper_id, unit_no, s, t FROM run_to WHERE s = 0 UNION ALL SELECT r.paper_id, r.unit_no, n.s, n.t FROM runs r JOIN run_to n ON n.paper_id = r.paper_id AND n.unit_no = r.unit_no AND n.s = r.t + 1),
+spoken AS MATERIALIZED (SELECT r.*, x.a, y.b, x.p AS p0, y.q AS q0 FROM runs r JOIN sents x ON x.paper_id = r.paper_id AND x.unit_no = r.unit_no AND x.s = r.s JOIN sents y ON y.paper_id = r.paper_id AND y.unit_no = r.unit_no AND y.s = r.t),
+lw AS MATERIALIZED (SELECT wl.paper_id, wl.unit_no, k.s, wl.i, wl.p, wl.q, wl.char_start, wl.char_end FROM wl JOIN spoken k ON k.paper_id = wl.paper_id AND k.unit_no = wl.unit_no AND wl.p >= k.p0 AND wl.q <= k.q0 WHERE k.q0 - k.p0 > 398),
+lw_to AS MATERIALIZED (SELECT paper_id, unit_no, s, i, max(i) OVER (PARTITION BY paper_id, unit_no, s ORDER BY q RANGE BETWEEN CURRENT ROW AND greatest(398 - (q - p), 0) FOLLOWING) AS t, i = min(i) OVER (PARTITION BY paper_id, unit_no, s) AS lead FROM lw),
+lruns(paper_id, unit_no, s, i, t) AS (SELECT paper_id, unit_no, s, i, t FROM lw_to WHERE lead UNION ALL SELECT r.paper_id, r.unit_no, r.s, n.i, n.t FROM lruns r JOIN lw_to n ON n.paper_id = r.paper_id AND n.unit_no = r.unit_no AND n.s = r.s AND n.i = r.t + 1),
+parts AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY unit_no, a) AS k FROM (
+  SELECT paper_id, unit_no, type, heading, a, b, p0, q0, true AS is_whole FROM whole WHERE q0 - p0 <= 398
+  UNION ALL SELECT k.paper_id, k.unit_no, l.type, l.heading, k.a, k.b, k.p0, k.q0, false FROM spoken k JOIN lines l ON l.paper_id = k.paper_id AND l.unit_no = k.unit_no WHERE k.q0 - k.p0 <= 398
+  UNION ALL SELECT r.paper_id, r.unit_no, l.type, l.heading, x.char_start, y.char_end, x.p, y.q, false FROM lruns r JOIN lw x ON x.paper_id = r.paper_id AND x.i = r.i JOIN lw y ON y.paper_id = r.paper_id AND y.i = r.t JOIN lines l ON l.paper_id = r.paper_id AND l.unit_no = r.unit_no)),
+fold(paper_id, k, no, a, b, p0, q0, unit_no, type, heading, is_whole) AS (SELECT paper_id, k, 0, a, b, p0, q0, unit_no, type, heading, is_whole FROM parts WHERE k = 1 UNION ALL
+  SELECT paper_id, k, CASE WHEN joins THEN no ELSE no + 1 END, CASE WHEN joins THEN fa ELSE a END, b, CASE WHEN joins THEN fp ELSE p0 END, q0, unit_no, type, heading, is_whole FROM (
+    SELECT f.paper_id, x.k, f.no, f.a AS fa, f.p0 AS fp, x.a, x.b, x.p0, x.q0, x.unit_no, x.type, x.heading, x.is_whole,
+      f.type <> 'caption' AND x.type <> 'caption' AND least(f.q0 - f.p0, x.q0 - x.p0) + 2 < 50 AND x.q0 - f.p0 + 2 <= 400 AND (f.unit_no = x.unit_no OR (f.is_whole AND x.is_whole AND f.heading = x.heading)) AS joins
+    FROM fold f JOIN parts x ON x.paper_id = f.paper_id AND x.k = f.k + 1)),
+section_all AS MATERIALIZED (SELECT paper_id, no, max(a) AS char_start, max(b) AS char_end, (max(q0) - max(p0) + 2)::INT AS n_tokens FROM fold GROUP BY ALL),
+section AS MATERIALIZED (SELECT paper_id, char_start::INT AS char_start, char_end::INT AS char_end, n_tokens, n_tokens >= 15 AS kept, (row_number() OVER (PARTITION BY paper_id, n_tokens >= 15 ORDER BY no) - 1)::INT AS chunk_no FROM section_all)"""
 
 
 def fixed(spark, sf):
@@ -122,7 +155,7 @@ def chunks_fixed(spark, sf):
     return fixed(spark, sf).select("paper_id", "chunk_no", "char_start", "char_end", "n_tokens")
 
 
-@query("chunks_section")
+@query("chunks_section", f"WITH RECURSIVE {UNITS_SQL}, {WORDS_SQL.format('papers')}, lines AS MATERIALIZED (SELECT paper_id, unit_no, type, section_heading AS heading, char_start AS a, char_end AS b FROM units), {SECTION_SQL} SELECT paper_id, kept, chunk_no, char_start, char_end, n_tokens FROM section")
 def chunks_section(spark, sf):
     return section(spark, sf).select("paper_id", "kept", "chunk_no", "char_start", "char_end", "n_tokens")
 
