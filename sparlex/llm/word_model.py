@@ -20,7 +20,7 @@ trusted texts (a share of 2 ** -18 or more, so at most 2 ** 18 words and as many
 their values, so that hot keys are never sent; a bit sketch of the keys (at most 32 MB) keeps most keys that
 the model lacks at home. Whatever the sketch lets pass meets the exact table.
 
-Keys are sent with 16 bits more than the texts' bytes need, so about one unseen bigram in five million takes
+Keys are sent with 14 bits more than the texts' bytes need, so about one unseen bigram in a million takes
 another's value. A text's sum is added in the order of its keys: copies score alike wherever they stand.
 """
 
@@ -39,7 +39,7 @@ from .common import ZSTD, ceil_pow2, map_arrow, pack, shared_dir, unpack
 from .files import opened, removed, written
 
 EDGE, END = mix(np.array([0x5EED, 0xE0F], U64))
-FLUSH, SHARE, SKETCH = 1_500_000, 2.0**-18, 1 << 28
+FLUSH, SHARE, SKETCH = 2_000_000, 2.0**-18, 1 << 28
 WORD, GRAM = U64(0x8F1BBCDCBFA53E0B), U64(0xC2B2AE3D27D4EB4F)
 ALONE = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x40000))
 _KINDS: list[np.ndarray] = []
@@ -104,7 +104,7 @@ class Keys:
     def __init__(self, total_bytes: int):
         self.shards = min(1 << 16, max(16, ceil_pow2(total_bytes / (32 << 20))))
         self.top = self.shards.bit_length() - 1
-        self.bits = min(64, 16 + int(ceil_pow2(total_bytes)).bit_length())
+        self.bits = min(64, 14 + int(ceil_pow2(total_bytes)).bit_length())
 
     def words(self, h):
         return h >> U64(64 - self.bits)
