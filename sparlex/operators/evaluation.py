@@ -19,12 +19,16 @@ def matches(hits: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
     return hits.join(g, on).drop("q_", "p_", "g0", "g1")
 
 
-def first_rank(hits: DataFrame, gold: DataFrame) -> DataFrame:
-    """chunker, mode, qid, first (null if no hit is relevant): starts from the questions, so that none is lost."""
-    grid = hits.select(*CONFIG).distinct()
-    asked = gold.select("qid").distinct()
+CHUNKERS, MODES = ("fixed", "section_aware"), ("dense", "sparse", "hybrid_rrf", "hybrid_dbsf")
+CONFIGS = tuple((c, m) for c in CHUNKERS for m in MODES)
+
+
+def first_rank(hits: DataFrame, gold: DataFrame, configs=CONFIGS) -> DataFrame:
+    """chunker, mode, qid, first (null if no hit is relevant): starts from the questions, each under every configuration, so that none is lost."""
+    every = F.array(*[F.struct(F.lit(c).alias("chunker"), F.lit(m).alias("mode")) for c, m in configs])
+    asked = gold.select("qid").distinct().select("qid", F.inline(every)).select(*CONFIG, "qid")
     found = matches(hits, gold).groupBy(*CONFIG, "qid").agg(F.min("rank").alias("first"))
-    return grid.join(F.broadcast(asked), how="cross").join(found, [*CONFIG, "qid"], "left")  # configurations x the stated questions
+    return asked.join(found, [*CONFIG, "qid"], "left")
 
 
 def reciprocal(first: Column) -> Column:
@@ -102,3 +106,20 @@ def reconcile(questions: DataFrame, pool: DataFrame, negatives: DataFrame) -> Da
     return q.select("qid", now.alias("has_answer"), outcome.alias("outcome"), "unjudged")
 
 
+
+
+def eval_set_problems(questions: DataFrame, gold: DataFrame, papers: DataFrame) -> DataFrame:
+    """qid, problem of every breach of an evaluation set.
+
+    questions: qid (each further row of an id is one); gold: qid, paper_id, named (the paper that the question's own record
+    resolves to), char_start, size, needle (the span's text); papers: paper_id, text.
+    """
+    more = questions.groupBy("qid").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = more.select("qid", F.explode(F.array_repeat(F.lit("duplicate qid"), (F.col("n") - 1).cast("int"))).alias("problem"))
+    x = gold.join(papers.select(F.col("paper_id").alias("known"), "text"), F.col("paper_id") == F.col("known"), "left")
+    there = F.array(
+        F.when(~F.substr("text", F.col("char_start") + 1, F.col("size")).eqNullSafe(F.col("needle")), "slice differs"),
+        F.when(F.col("named") != F.col("paper_id"), "paper differs"),
+    )
+    found = F.when(F.col("known").isNull(), F.array(F.lit("unknown paper"))).otherwise(F.filter(there, lambda p: p.isNotNull()))
+    return repeated.unionByName(x.select("qid", F.explode(found).alias("problem")))

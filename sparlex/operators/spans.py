@@ -6,8 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
-
 SEPARATOR = "\n\n"
 NEEDLE_CHARS = 1 << 18  # of needles that an automaton holds
 
@@ -45,22 +43,40 @@ def paper_texts(units: DataFrame) -> DataFrame:
 
 
 def unit_problems(papers: DataFrame, units: DataFrame) -> DataFrame:
-    """paper_id, problem of every breach: digest, length, first and last place, gaps, slices. papers: paper_id, text, text_sha256, n_chars."""
-    w = Window.partitionBy("paper_id").orderBy("unit_no")
-    u = units.select("*", F.lag("char_end").over(w).alias("before"), F.lead("char_end").over(w).alias("after")).join(papers.select("paper_id", F.col("text").alias("full"), "n_chars"), "paper_id")
+    """paper_id, problem of every breach: digest, length, first and last place, gaps, slices. papers: paper_id, text, text_sha256, n_chars.
+
+    A paper's units are one array beside its text, so that the text is read once, whatever the number of units.
+    """
+    listed = units.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("unit_no", "char_start", "char_end", "text"))).alias("units"))
+    n, here = len(SEPARATOR), papers.withColumnRenamed("text", "full").join(listed, "paper_id", "left").withColumn("units", F.coalesce("units", F.array().cast(listed.schema["units"].dataType)))
     name = lambda c, text: F.when(c, text)
-    n = len(SEPARATOR)
-    found = [
-        name(F.col("char_end") <= F.col("char_start"), "empty unit"),
-        name(F.substr("full", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("text"), "slice differs"),
-        name(F.col("before").isNull() & (F.col("char_start") != 0), "first unit not at 0"),
-        name(F.col("before").isNotNull() & (F.col("char_start") != F.col("before") + n), "gap"),
-        name(F.col("after").isNull() & (F.col("char_end") != F.col("n_chars")), "last unit not at the end"),
-    ]
-    of_units = u.select("paper_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("problem"))
-    whole = [name(F.sha2("text", 256) != F.col("text_sha256"), "digest differs"), name(F.length("text") != F.col("n_chars"), "length differs")]
-    of_papers = papers.select("paper_id", F.explode(F.filter(F.array(*whole), lambda x: x.isNotNull())).alias("problem"))
-    return of_units.union(of_papers)
+
+    def of_unit(u, i):
+        before = F.get("units", i - 1)["char_end"]
+        return F.array(
+            name(u["char_end"] <= u["char_start"], "empty unit"),
+            name(F.substr("full", u["char_start"] + 1, u["char_end"] - u["char_start"]) != u["text"], "slice differs"),
+            name((i == 0) & (u["char_start"] != 0), "first unit not at 0"),
+            name((i > 0) & (u["char_start"] != before + n), "gap"),
+            name((i == F.size("units") - 1) & (u["char_end"] != F.col("n_chars")), "last unit not at the end"),
+        )
+
+    of_paper = F.array(name(F.sha2("full", 256) != F.col("text_sha256"), "digest differs"), name(F.length("full") != F.col("n_chars"), "length differs"))
+    problems = F.filter(F.concat(of_paper, F.flatten(F.transform("units", of_unit))), lambda x: x.isNotNull())
+    return here.select("paper_id", F.explode(problems).alias("problem"))
+
+
+def sound(papers: DataFrame, units: DataFrame) -> DataFrame:
+    """The papers without a problem: what spans may be looked up in."""
+    return papers.join(unit_problems(papers, units).select("paper_id").distinct(), "paper_id", "left_anti")
+
+
+def guarded(papers: DataFrame, units: DataFrame) -> DataFrame:
+    """papers; a paper with a problem is an error as soon as its row is read."""
+    wrong = unit_problems(papers, units).groupBy("paper_id").agg(F.array_sort(F.collect_set("problem")).alias("wrong"))
+    fail = F.raise_error(F.concat(F.lit("offsets of paper "), F.col("paper_id").cast("string"), F.lit(": "), F.array_join("wrong", ", "))).cast("string")
+    joined = papers.join(wrong, "paper_id", "left")
+    return joined.select(*[F.when(F.col("wrong").isNull(), F.col(c)).otherwise(fail).alias(c) if c == "text" else F.col(c) for c in papers.columns])
 
 
 def dominant_unit(chunks: DataFrame, units: DataFrame) -> DataFrame:
@@ -71,23 +87,67 @@ def dominant_unit(chunks: DataFrame, units: DataFrame) -> DataFrame:
     return both.groupBy(*[chunks[c] for c in chunks.columns]).agg(F.when(F.max("unit_id").isNotNull(), best).alias("unit"), F.coalesce(F.bool_or("contains_equation"), F.lit(False)).alias("contains_equation"))
 
 
+def blocks_of(rows: list, text: str) -> list[list]:
+    """Rows in blocks of up to NEEDLE_CHARS characters."""
+    out, size = [[]], 0
+    for r in rows:
+        n = len(r[text] or "")
+        if out[-1] and size + n > NEEDLE_CHARS:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += n
+    return out
+
+
+def occurrences(needles: list[str]):
+    """A function from a text to (needle's index, place) of all occurrences, overlapping ones too."""
+    try:
+        import ahocorasick
+    except ImportError:
+
+        def one_by_one(text):
+            for k, needle in enumerate(needles):
+                at = text.find(needle)
+                while at >= 0:
+                    yield k, at
+                    at = text.find(needle, at + 1)
+
+        return one_by_one
+    every = ahocorasick.Automaton()
+    for k, needle in enumerate(needles):
+        every.add_word(needle, k)
+    every.make_automaton()
+    return lambda text: ((k, end + 1 - len(needles[k])) for end, k in every.iter(text))
+
+
 def locate(needles: DataFrame, texts: DataFrame) -> DataFrame:
-    """qid, paper_id, char_start, char_end of all occurrences, overlapping ones too. needles: qid, needle; texts: paper_id, text.
+    """qid, paper_id, char_start, char_end of all occurrences, overlapping ones too. needles: qid, needle, a stated set that the tasks hold in blocks; texts: paper_id, text.
 
-    A text that holds a needle holds its inner words whole, so the needle's longest inner word finds the texts to look
-    into by an equi-join; only needles of one or two words are compared with every text.
+    Every text is read once against a block's automaton, where it lies: nothing is shuffled.
     """
-    needles = needles.where(F.length("needle") > 0).select("qid", "needle", words(F.col("needle")).alias("ws"))
-    inner = F.slice("ws", F.lit(2), F.size("ws") - 2)
-    anchor = F.aggregate(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    long = needles.where(F.size("ws") > 2).select("qid", "needle", anchor.alias("word"))
-    held = texts.select("paper_id", words(F.col("text")).alias("ws")).select("paper_id", F.explode(F.array_distinct("ws")).alias("word"))
-    seen = held.join(long, "word").select("qid", "needle", "paper_id").join(texts, "paper_id")
-    short = needles.where(F.size("ws") <= 2).select("qid", "needle").join(texts, F.contains("text", "needle"))
-    hit = seen.where(F.contains("text", "needle")).select("qid", "needle", "paper_id", "text").unionByName(short.select("qid", "needle", "paper_id", "text"))
-    places = F.filter(F.sequence(F.lit(1), F.length("text") - F.length("needle") + 1), lambda i: F.substr("text", i, F.length("needle")) == F.col("needle"))
-    at = hit.select("qid", "paper_id", F.length("needle").alias("n"), F.explode(places).alias("at"))
-    return at.select("qid", "paper_id", (F.col("at") - 1).alias("char_start"), (F.col("at") - 1 + F.col("n")).alias("char_end"))
+    rows = needles.where(F.length("needle") > 0).select("qid", "needle").distinct().collect()
+    kinds, out = [needles.schema["qid"].dataType.simpleString(), texts.schema["paper_id"].dataType.simpleString()], None
+    for block in blocks_of(rows, "needle"):
+        part = _locate_block(block, texts.select("paper_id", "text"), *kinds)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _locate_block(block, texts: DataFrame, qid: str, paper: str) -> DataFrame:
+    asked: dict[str, list] = {}
+    for r in block:
+        asked.setdefault(r.needle, []).append(r.qid)
+    sent = texts.sparkSession.sparkContext.broadcast(asked)  # NEEDLE_CHARS characters at most, or one needle
+
+    def run(frames):
+        names = list(sent.value)
+        find = occurrences(names) if names else lambda text: ()
+        for f in frames:
+            rows = [(q, i, at, at + len(names[k])) for i, text in zip(f["paper_id"].tolist(), f["text"].tolist()) if text for k, at in find(text) for q in sent.value[names[k]]]
+            yield pd.DataFrame(rows, columns=["qid", "paper_id", "char_start", "char_end"])
+
+    return texts.mapInPandas(run, f"qid {qid}, paper_id {paper}, char_start int, char_end int")
 
 
 def longest_common(a: str, b: str) -> tuple[int, int]:
@@ -203,17 +263,9 @@ def nearest(needles: DataFrame, texts: DataFrame) -> DataFrame:
 
     Every task reads all its texts against a block and sends a row a needle; of equal runs the least paper_id wins, then the earliest place.
     """
-    rows = needles.select("item_id", "needle").collect()
-    blocks, size = [[]], 0
-    for r in rows:
-        if blocks[-1] and size + len(r.needle or "") > NEEDLE_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.item_id, r.needle or ""))
-        size += len(r.needle or "")
     out = None
-    for block in blocks:
-        part = _nearest_block(block, texts.select("paper_id", "text"), needles.schema["item_id"].dataType.simpleString())
+    for block in blocks_of(needles.select("item_id", "needle").collect(), "needle"):
+        part = _nearest_block([(r.item_id, r.needle or "") for r in block], texts.select("paper_id", "text"), needles.schema["item_id"].dataType.simpleString())
         out = part if out is None else out.unionByName(part)
     top = out.groupBy("item_id").agg(F.max_by(F.struct("paper_id", "char_start", "n_chars"), F.struct("n_chars", -F.col("paper_id"), -F.col("char_start"))).alias("b")).select("item_id", "b.*")
     every = needles.select("item_id").distinct().join(top, "item_id", "left")

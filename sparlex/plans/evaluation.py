@@ -17,7 +17,7 @@ from .spans import GOLD_SQL, gold
 
 RATIO_SQL = "greatest(0, least(h.char_end, g.char_end) - greatest(h.char_start, g.char_start)) / least(h.char_end - h.char_start, g.char_end - g.char_start)"
 METRICS_SQL = f"""{HITS_SQL}, {GOLD_SQL},
-asks AS (SELECT DISTINCT qid FROM gold), grid AS (SELECT * FROM (SELECT DISTINCT chunker, mode FROM hits) CROSS JOIN asks),
+asks AS (SELECT DISTINCT qid FROM gold), grid AS (SELECT * FROM (SELECT * FROM unnest(['fixed', 'section_aware']) AS a(chunker), unnest(['dense', 'sparse', 'hybrid_rrf', 'hybrid_dbsf']) AS b(mode)) CROSS JOIN asks),
 rel AS MATERIALIZED (SELECT h.chunker, h.mode, h.qid, h.rank, h.chunk_id, h.paper_id, g.char_start AS g0 FROM hits h JOIN gold g ON g.qid = h.qid AND g.paper_id = h.paper_id AND {RATIO_SQL} >= 0.5),
 firsts AS MATERIALIZED (SELECT chunker, mode, qid, min(rank) AS first FROM grid LEFT JOIN rel USING (chunker, mode, qid) GROUP BY ALL),
 rr AS MATERIALIZED (SELECT *, coalesce(1.0::DOUBLE / first, 0) AS rr FROM firsts)"""
@@ -126,7 +126,7 @@ def rrf_k_sweep(spark, sf):
     for k in (1, 2, 4, 10, 20, 60):
         h = R.top(R.fuse_rrf(b, k), ["chunker", "qid"], 10).withColumn("mode", F.lit(str(k)))
         out = h if out is None else out.unionByName(h)
-    f = E.first_rank(out.join(place, "chunk_id"), spans_of(spark, sf)).withColumn("rr", E.reciprocal(F.col("first")))
+    f = E.first_rank(out.join(place, "chunk_id"), spans_of(spark, sf), [(c, str(k)) for c in E.CHUNKERS for k in (1, 2, 4, 10, 20, 60)]).withColumn("rr", E.reciprocal(F.col("first")))
     return f.groupBy(F.col("mode").cast("int").alias("k"), "chunker").agg(F.round(F.avg("rr"), 6).alias("mrr"))
 
 
@@ -380,16 +380,19 @@ def backfill(spark, sf):
     return q.join(index, "doi", "left").select("item_id", F.coalesce("old", "paper_id").alias("paper_id"), outcome.alias("outcome"))
 
 
-@query("verify_eval_set", f"""WITH {GOLD_SQL}, g AS (SELECT *, char_start + CASE WHEN char_start % 4 = 0 THEN 1 ELSE 0 END AS s, CASE WHEN paper_id % 6 = 0 THEN -1 ELSE paper_id END AS p FROM gold),
-x AS (SELECT g.qid, g.p, d.doc_id, substr(d.text, (s + 1)::BIGINT, char_end - char_start) AS found, b.text FROM g LEFT JOIN documents d ON d.doc_id = g.p JOIN benchmark b ON 'q' || b.item_id = g.qid)
-SELECT qid, CASE WHEN doc_id IS NULL THEN 'unknown paper' ELSE 'slice differs' END AS problem, count(*) AS n FROM x WHERE doc_id IS NULL OR found <> text GROUP BY ALL""")
+@query("verify_eval_set", f"""WITH {GOLD_SQL}, g AS (SELECT *, char_start + CASE WHEN char_start % 4 = 0 THEN 1 ELSE 0 END AS s, CASE WHEN paper_id % 6 = 0 THEN -1 ELSE paper_id END AS p, paper_id + CASE WHEN paper_id % 7 = 0 THEN 1 ELSE 0 END AS named FROM gold),
+x AS (SELECT g.*, d.doc_id, substr(d.text, (s + 1)::BIGINT, char_end - char_start) AS found, b.text FROM g LEFT JOIN documents d ON d.doc_id = g.p JOIN benchmark b ON 'q' || b.item_id = g.qid),
+asked AS (SELECT CASE WHEN item_id % 9 = 0 THEN 'q1' ELSE 'q' || item_id END AS qid FROM benchmark),
+found AS (SELECT qid, 'duplicate qid' AS problem FROM (SELECT qid, row_number() OVER (PARTITION BY qid) AS r FROM asked) WHERE r > 1
+ UNION ALL SELECT qid, unnest(CASE WHEN doc_id IS NULL THEN ['unknown paper'] ELSE list_filter([CASE WHEN found <> text THEN 'slice differs' END, CASE WHEN named <> p THEN 'paper differs' END], lambda y: y IS NOT NULL) END) FROM x)
+SELECT qid, problem, count(*) AS n FROM found GROUP BY ALL""")
 def verify_eval_set(spark, sf):
-    g = spans_of(spark, sf).withColumn("s", F.expr("char_start + CASE WHEN char_start % 4 = 0 THEN 1 ELSE 0 END")).withColumn("p", F.expr("CASE WHEN paper_id % 6 = 0 THEN -1 ELSE paper_id END"))
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("full"))
-    b = table(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), F.col("text").alias("needle"))
-    x = g.join(d, F.col("doc_id") == F.col("p"), "left").join(b, "qid")
-    problem = F.when(F.col("doc_id").isNull(), "unknown paper").when(F.substr("full", F.col("s") + 1, F.col("char_end") - F.col("char_start")) != F.col("needle"), "slice differs")
-    return x.select("qid", problem.alias("problem")).where("problem IS NOT NULL").groupBy("qid", "problem").agg(F.count("*").alias("n"))
+    """Breaches made on purpose: shifted spans, papers that are unknown or another than the one named, questions under one id."""
+    g = spans_of(spark, sf).select("qid", F.expr("char_start + CASE WHEN char_start % 4 = 0 THEN 1 ELSE 0 END").alias("char_start"), (F.col("char_end") - F.col("char_start")).alias("size"), F.expr("CASE WHEN paper_id % 6 = 0 THEN -1 ELSE paper_id END").alias("paper_id"), F.expr("paper_id + CASE WHEN paper_id % 7 = 0 THEN 1 ELSE 0 END").alias("named"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    b = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("qid"), F.col("text").alias("needle"))
+    asked = b.select(F.when(F.col("item_id") % 9 == 0, "q1").otherwise(F.col("qid")).alias("qid"))
+    return E.eval_set_problems(asked, g.join(b.drop("item_id"), "qid"), d).groupBy("qid", "problem").agg(F.count("*").alias("n"))
 
 
 # ---- grounded answers ----

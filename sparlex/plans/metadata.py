@@ -38,10 +38,10 @@ def resolve_doi(spark, sf):
     return d.join(overrides, "doc_id", "left").select("doc_id", F.coalesce(F.nullif(X.py_strip(F.expr(HEADER)), F.lit("")), X.py_strip(F.col("override"))).alias("doi"))
 
 
-@query("manifest", "SELECT doc_id AS paper_id, concat('10.1000/', doc_id) AS doi, left(split_part(text, chr(10), 1), 40) AS title, (1990 + doc_id % 35)::INT AS year, source AS venue, 'CC-BY-4.0' AS licence, length(text)::INT AS n_chars FROM documents")
+@query("manifest", "SELECT doc_id AS paper_id, concat('10.1000/', doc_id) AS doi, split_part(text, chr(10), 1) AS title, (1990 + doc_id % 35)::INT AS year, source AS venue, 'CC-BY-4.0' AS licence, length(text)::INT AS n_chars FROM documents")
 def manifest(spark, sf):
     return docs(spark, sf).select(
-        F.col("doc_id").alias("paper_id"), F.expr("concat('10.1000/', doc_id)").alias("doi"), F.expr("left(split_part(text, chr(10), 1), 40)").alias("title"),
+        F.col("doc_id").alias("paper_id"), F.expr("concat('10.1000/', doc_id)").alias("doi"), F.expr("split_part(text, chr(10), 1)").alias("title"),
         F.expr("int(1990 + doc_id % 35)").alias("year"), F.col("source").alias("venue"), F.lit("CC-BY-4.0").alias("licence"), F.length("text").alias("n_chars"),
     )
 
@@ -59,13 +59,13 @@ def point_ids(spark, sf):
     return docs(spark, sf).select("doc_id", M.point_id(F.concat(F.col("doc_id").cast("string"), F.lit(":fixed:0000"))).alias("point_id"))
 
 
-@query("jsonl_roundtrip", "SELECT doc_id, lang, source, left(text, 50) AS head FROM documents")
+@query("jsonl_roundtrip", "SELECT doc_id, lang, source, text FROM documents")
 def jsonl_roundtrip(spark, sf):
-    """The whole text makes the round trip and must come back with the digest that it left with; its head is shown."""
+    """The whole text makes the round trip and must come back with the digest that it left with."""
     back = S.jsonl_roundtrip(docs(spark, sf).select("doc_id", "lang", "source", "text", F.sha2("text", 256).alias("text_sha256")))
     same = F.sha2("text", 256).eqNullSafe(F.col("text_sha256"))
-    head = F.when(same, F.left("text", F.lit(50))).otherwise(F.raise_error(F.concat(F.lit("text changed in JSON lines: "), F.col("doc_id").cast("string"))).cast("string"))
-    return back.select("doc_id", "lang", "source", head.alias("head"))
+    text = F.when(same, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("text changed in JSON lines: "), F.col("doc_id").cast("string"))).cast("string"))
+    return back.select("doc_id", "lang", "source", text.alias("text"))
 
 
 @query("upsert_latest", "SELECT user_id, arg_max(event_type, struct_pack(ts := ts, id := event_id)) AS event_type, max(event_id) FILTER (event_id >= 0) AS last_id, count(*) AS versions FROM events GROUP BY user_id")
@@ -93,7 +93,7 @@ def index_stats(spark, sf):
     return e.select("*", F.round(kb, 6).cast("double").alias("kb"), (kb < 100).alias("exact"))
 
 
-HTML = "concat(' <i>', lang, '</i> ', left(split_part(text, chr(10), 1), 30), '<sub>2</sub> ')"
+HTML = "concat(' <i>', lang, '</i> ', replace(split_part(text, chr(10), 1), '<', ''), '<sub>2</sub> ')"
 
 
 @query("strip_html", f"SELECT doc_id, nullif(trim(regexp_replace({HTML}, '<[^>]+>', '', 'g')), '') AS title FROM documents")
@@ -156,31 +156,58 @@ def bibliography(spark, sf):
     return S.bibliography(c)
 
 
-@query("paper_summary", """
-WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (starts_with(line, 'The')) AS n_captions, round(avg(length(line)), 6) AS mean_chars FROM u GROUP BY doc_id""")
+# A text without markup as units: a line each, every seventh from the fourth on a caption, every fifth from the second with an equation; headings as in heading_levels.
+UNIT_TYPE = "CASE WHEN pos = 0 THEN 'abstract' WHEN pos % 7 = 3 THEN 'caption' ELSE 'section' END"
+WARNED = "CASE WHEN pos % 11 = 5 THEN concat('split merged heading: H', pos) WHEN pos % 11 = 6 THEN concat('heading classified as junk: H', pos) END"
+
+
+def units(spark, sf):
+    u = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return u.select("*", F.expr(UNIT_TYPE).alias("type"), (F.col("pos") % 5 == 1).alias("equation"), F.expr(WARNED).alias("warning"))
+
+
+@query("paper_summary", f"""
+WITH u AS (SELECT *, {UNIT_TYPE} AS type, {WARNED} AS warning FROM (SELECT doc_id, line, k - 1 AS pos FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, k)))
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (type = 'caption') AS n_captions, count(*) FILTER (pos % 5 = 1) AS n_equation_units, round(avg(length(line)), 6) AS mean_chars, count(*) FILTER (warning LIKE 'split merged heading%') AS n_merged_splits FROM u GROUP BY doc_id""")
 def paper_summary(spark, sf):
-    u = docs(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return u.groupBy("doc_id").agg(F.count("*").alias("n_units"), F.count_if(F.startswith("line", F.lit("The"))).alias("n_captions"), F.round(F.avg(F.length("line")), 6).alias("mean_chars"))
+    return units(spark, sf).groupBy("doc_id").agg(
+        F.count("*").alias("n_units"), F.count_if(F.expr("type = 'caption'")).alias("n_captions"), F.count_if("equation").alias("n_equation_units"),
+        F.round(F.avg(F.length("line")), 6).alias("mean_chars"), F.count_if(F.startswith("warning", F.lit("split merged heading"))).alias("n_merged_splits"),
+    )
 
 
-@query("quality_flags", """
-WITH u AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-s AS (SELECT doc_id, len(lines) AS sections, length(text) AS chars, list_sum(list_transform(lines, lambda x: length(x))) / len(lines) AS mean_chars,
-  length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / greatest(length(text), 1) AS alpha, len(regexp_extract_all(text, '[^\\x00-\\x7F]')) / greatest(length(text), 1) AS foreign_share, len(regexp_extract_all(text, '\\[\\d+\\]')) AS residue FROM u)
+LICENCE = "CASE doc_id % 4 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'CC-BY-4.0' WHEN 2 THEN 'publisher-specific' END"
+MARKED = "concat(text, CASE WHEN doc_id % 13 = 0 THEN chr(57345) ELSE '' END, CASE WHEN doc_id % 17 = 0 THEN chr(65533) ELSE '' END)"
+
+
+@query("quality_flags", f"""
+WITH u AS (SELECT doc_id, {MARKED.replace('chr(57345)', "chr(57345)")} AS text, {LICENCE} AS licence FROM documents), l AS (SELECT *, string_split(text, chr(10)) AS lines FROM u),
+s AS (SELECT doc_id, licence, len(lines) AS sections, length(text) AS chars, list_sum(list_transform(lines, lambda x: length(x))) / len(lines) AS mean_chars, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / greatest(length(text), 1) AS alpha,
+  len(regexp_extract_all(text, '[^\\x00-\\x7F]')) / greatest(length(text), 1) AS foreign_share, len(regexp_extract_all(text, '\\[\\d+\\]')) AS residue, contains(text, chr(57345)) AS pua, contains(text, chr(65533)) AS lost FROM l)
 SELECT doc_id, list_filter([CASE WHEN sections < 3 THEN 'few sections' END, CASE WHEN chars < 500 THEN 'short' END, CASE WHEN mean_chars < 40 THEN 'short units' END, CASE WHEN alpha < 0.7 THEN 'few letters' END,
-  CASE WHEN foreign_share > 0.05 THEN 'non-ASCII' END, CASE WHEN residue > 0 THEN 'citation residue' END, CASE WHEN doc_id % 9 = 0 THEN 'missing DOI' END], lambda x: x IS NOT NULL) AS flags FROM s""")
+  CASE WHEN foreign_share > 0.05 THEN 'non-ASCII' END, CASE WHEN residue > 0 THEN 'citation residue' END, CASE WHEN pua THEN 'private-use characters' END, CASE WHEN lost THEN 'replacement characters' END,
+  CASE WHEN doc_id % 9 = 0 THEN 'missing DOI' END, CASE WHEN licence IS NULL OR licence = 'UNKNOWN' THEN 'licence unknown' END], lambda x: x IS NOT NULL) AS flags FROM s""")
 def quality_flags(spark, sf):
-    d = docs(spark, sf).withColumn("lines", F.split("text", "\n")).withColumn("doi", F.expr("CASE WHEN doc_id % 9 > 0 THEN 'x' END"))
-    return d.select("doc_id", S.quality_flags(F.col("text"), F.col("lines"), F.col("doi")).alias("flags"))
+    marked = F.concat("text", F.when(F.expr("doc_id % 13 = 0"), "\ue001").otherwise(""), F.when(F.expr("doc_id % 17 = 0"), "\ufffd").otherwise(""))
+    d = docs(spark, sf).select("doc_id", marked.alias("text"), F.expr(LICENCE).alias("licence"), F.expr("CASE WHEN doc_id % 9 > 0 THEN 'x' END").alias("doi")).withColumn("lines", F.split("text", "\n"))
+    return d.select("doc_id", S.quality_flags(F.col("text"), F.col("lines"), F.col("doi"), F.col("licence")).alias("flags"))
+
 
+HEADS = ["I. INTRODUCTION", "A. Setup", "a) Detail", "II. MODEL", "2) Item", "2.1. Deep", "Plain Title", "stray generation of prose", "Ends with a stop.", "B. Channel", "Figure 3 shows"]
+HEAD = "CASE pos div 3 % 11 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(HEADS)) + " END"
 
-@query("heading_counts", """
-WITH u AS (SELECT doc_id, line, pos FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, pos)),
-g AS (SELECT doc_id, (pos - 1) // 3 AS section, arg_min(line, pos) AS head FROM u GROUP BY ALL)
-SELECT doc_id, count(*) AS sections, count(*) FILTER (length(head) % 3 = 0) AS level1, count(*) FILTER (length(head) % 3 = 1) AS level2, count(*) FILTER (regexp_matches(head, '[.,;:]$')) AS junk FROM g GROUP BY doc_id""")
+
+@query("heading_counts", f"""
+WITH u AS (SELECT doc_id, k - 1 AS pos, {UNIT_TYPE.replace('pos', '(k - 1)')} AS type FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, k)),
+g AS (SELECT doc_id, pos // 3 AS section, arg_min({HEAD.replace('div', '//')}, pos) AS head FROM u WHERE type = 'section' GROUP BY ALL),
+l AS (SELECT *, regexp_extract(head, '^([MDCLXVI]+)\\.(\\s|$)', 1) AS roman, regexp_extract(head, '^((?:\\d+\\.)+)(\\s|$)', 1) AS dotted, regexp_matches(head, '^[A-Z]\\.(\\s|$)') AS letter, regexp_matches(head, '^(?:[a-z][:)]|\\d+\\))(\\s|$)') AS item,
+  regexp_matches(head, '[.,;:]$') OR length(head) > 80 OR regexp_matches(head, '^(?:Algorithm|Figure|Fig\\.|Table|Listing)\\s*\\d') OR head = 'stray generation of prose' AS looks_junk FROM g),
+m AS (SELECT *, (roman = 'I' OR length(roman) >= 2) AS first_level, NOT (roman = 'I' OR length(roman) >= 2 OR letter OR item OR dotted <> '') AS unnumbered FROM l),
+n AS (SELECT *, CASE WHEN first_level THEN 1 WHEN letter THEN 2 WHEN item THEN 3 WHEN dotted <> '' THEN len(regexp_extract_all(dotted, '\\.')) ELSE 1 END AS level FROM m)
+SELECT doc_id, count(*) AS sections, count(*) FILTER (level = 1) AS level1, count(*) FILTER (level = 2) AS level2, count(*) FILTER (level = 3) AS level3, count(*) FILTER (unnumbered) AS unnumbered, count(*) FILTER (unnumbered AND looks_junk) AS junk FROM n GROUP BY doc_id""")
 def heading_counts(spark, sf):
-    u = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    g = u.groupBy("doc_id", F.expr("pos div 3").alias("section")).agg(F.min_by("line", "pos").alias("head"))
-    n = F.length("head") % 3
-    return g.groupBy("doc_id").agg(F.count("*").alias("sections"), F.count_if(n == 0).alias("level1"), F.count_if(n == 1).alias("level2"), F.count_if(F.col("head").rlike("[.,;:]$")).alias("junk"))
+    """The heading of each section's first unit, by level; unnumbered and junk ones are counted besides."""
+    u = units(spark, sf).where("type = 'section'").withColumn("head", F.expr(HEAD))
+    g = u.groupBy("doc_id", F.expr("pos div 3").alias("section")).agg(F.min_by("head", "pos").alias("head"))
+    level, plain = X.heading_level(F.col("head")), X.heading_unnumbered(F.col("head"))
+    return g.groupBy("doc_id").agg(F.count("*").alias("sections"), *[F.count_if(level == i).alias(f"level{i}") for i in (1, 2, 3)], F.count_if(plain).alias("unnumbered"), F.count_if(plain & X.junk_heading(F.col("head"))).alias("junk"))

@@ -41,7 +41,7 @@ def normalize_text(spark, sf):
     return docs(spark, sf).select("doc_id", X.normalize_text(F.expr(MESSY)).alias("normal"))
 
 
-CITED = "concat('As in [', doc_id, '] and [1]-[3]–[5], ', left(text, 60), ' [', doc_id % 7, '][x] [12')"
+CITED = "concat('As in [', doc_id, '] and [1]-[3]–[5], ', text, ' [', doc_id % 7, '][x] [12')"
 
 
 @query("strip_citations", f"SELECT doc_id, regexp_replace(regexp_replace({CITED}, '\\[\\d+\\](?:[-–]\\[\\d+\\])+', '', 'g'), '\\[\\d+\\]', '', 'g') AS stripped FROM documents")
@@ -67,7 +67,7 @@ def text_ratios(spark, sf):
 
 
 PREFIX = ["I. ", "IV. ", "A. ", "a) ", "2) ", "2.1. ", "", "II. RELATED WORK B. ", "C. ", "Table 3 ", "III. A. "]
-HEADING = "concat(CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PREFIX)) + f" END, CASE WHEN doc_id % 2 = 0 THEN upper(replace(left({FIRST_LINE}, 30), 'ß', 's')) ELSE left({FIRST_LINE}, 90) END)"
+HEADING = "concat(CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PREFIX)) + f" END, CASE WHEN doc_id % 2 = 0 THEN upper(replace({FIRST_LINE}, 'ß', 's')) ELSE {FIRST_LINE} END)"
 CASED = "\\p{Lu}\\p{Ll}\\p{Lt}"
 
 
@@ -93,7 +93,7 @@ def heading_levels(spark, sf):
 TITLES = ["I. INTRODUCTION", "Prior Work and Context", "System Model", "Proposed Method", "Evaluation results", "Discussion", "Conclusion and Future Work", "Funding", "", "Algorithm summary"]
 TITLE = "CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(TITLES)) + " END"
 TYPE_SQL = "CASE WHEN coalesce({0}, '') = '' THEN 'other' " + " ".join(f"WHEN regexp_matches(lower({{0}}), '{'|'.join(k)}') THEN '{n}'" for n, k in X.SECTION_TYPES) + " ELSE 'other' END"
-LINE = "CASE WHEN doc_id % 3 = 0 THEN concat('TABLE ', doc_id, '. ', left(text, 30)) ELSE left(text, 30) END"
+LINE = "CASE WHEN doc_id % 3 = 0 THEN concat('TABLE ', doc_id, '. ', text) ELSE text END"
 
 
 @query("section_types", f"SELECT doc_id, {TYPE_SQL.format('heading')} AS section_type, regexp_matches({LINE}, '(?s)^(?:TABLE|FIGURE)\\s+\\d+\\.\\s+\\S.*$') AS misplaced_caption FROM (SELECT *, {TITLE} AS heading FROM documents)")
@@ -160,11 +160,14 @@ def citations(spark, sf):
     return r.select("conv_id", "turn", F.filter("c", lambda x: x.between(1, 3)).alias("valid"), F.filter("c", lambda x: ~x.between(1, 3)).alias("invalid"))
 
 
+REFUSAL_SQL = X.PROSE_REFUSAL.replace("'", "''")
+
+
 @query("abstention_rates", f"""
 WITH r AS (SELECT conv_id, turn, reply, conv_id % 3 <> 0 AS has_answer, turn = 7 AS errored, turn * 100.0 + conv_id % 10 AS ms, {ABSTAINED_SQL} AS abstained, len({LISTED_SQL}) > 0 AS cites FROM ({REPLIES_SQL}))
 SELECT has_answer, count(*) AS n, count(*) FILTER (errored) AS errors, count(*) FILTER (NOT errored) AS answered,
   round(count(*) FILTER (NOT errored AND abstained) / nullif(count(*) FILTER (NOT errored), 0), 6) AS abstention_rate,
-  round(count(*) FILTER (NOT errored AND (abstained OR (NOT cites AND regexp_matches(reply, '(?i)do not cover|not enough information')))) / nullif(count(*) FILTER (NOT errored), 0), 6) AS effective_rate,
+  round(count(*) FILTER (NOT errored AND (abstained OR (NOT cites AND reply <> '' AND regexp_matches(reply, '{REFUSAL_SQL}')))) / nullif(count(*) FILTER (NOT errored), 0), 6) AS effective_rate,
   round(median(ms::DOUBLE) FILTER (NOT errored), 6) AS median_ms FROM r GROUP BY has_answer""")
 def abstention_rates(spark, sf):
     r = replies(spark, sf).select("*", (F.col("conv_id") % 3 != 0).alias("has_answer"), (F.col("turn") == 7).alias("errored"), (F.col("turn") * 100.0 + F.col("conv_id") % 10).alias("ms"), X.abstained(F.col("reply")).alias("abstained"))
@@ -182,12 +185,12 @@ def markup(spark, sf):
     return markup_units(table(spark, sf, "pages"), "page_id", "html")
 
 
-TEI = """concat('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>I. INTRODUCTION</head><p>', replace(replace(left(text, 300), '&', ''), '<', ''),
+TEI = """concat('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>I. INTRODUCTION</head><p>', replace(replace(text, '&', ''), '<', ''),
  ' <ref type="bibr">[1]</ref>.</p></div><div><head>References</head><p>gone</p></div><div><head>A. DETAIL</head><p>', lang, '</p></div></body></text></TEI>')"""
 
 
 @query("tei_units", """SELECT doc_id AS paper_id, k AS unit_pos, CASE k WHEN 0 THEN 'I. INTRODUCTION' ELSE 'A. DETAIL' END AS section_heading, k AS section_index, (k + 1)::INT AS section_level, 'I. INTRODUCTION' AS parent_heading, 'introduction' AS section_type,
- CASE k WHEN 0 THEN replace(replace(left(text, 300), '&', ''), '<', '') || ' .' ELSE lang END AS raw_text FROM documents, unnest([0, 1]) AS t(k)""")
+ CASE k WHEN 0 THEN replace(replace(text, '&', ''), '<', '') || ' .' ELSE lang END AS raw_text FROM documents, unnest([0, 1]) AS t(k)""")
 def tei_units(spark, sf):
     papers = docs(spark, sf).select(F.col("doc_id").alias("paper_id"), F.expr(TEI).alias("tei"))
     return tei.units(tei.tei_rows(papers)).select("paper_id", "unit_pos", "section_heading", "section_index", "section_level", "parent_heading", "section_type", "raw_text")

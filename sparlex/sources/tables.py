@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,15 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
-from ..functions.text import accent_fold, strip_citations  # noqa: F401
+from ..functions.text import accent_fold, char_stats
 
 WORK = "title array<string>, `container-title` array<string>, author array<struct<given:string,family:string,name:string>>, issued struct<`date-parts`:array<array<int>>>, `published-print` struct<`date-parts`:array<array<int>>>, `published-online` struct<`date-parts`:array<array<int>>>"
 COMPLETION = "model string, choices array<struct<finish_reason:string,message:struct<content:string>>>"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparlex-")
+    """A new folder in spark.checkpoint.dir; a temporary one where that is unset in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="sparlex-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -97,12 +101,14 @@ def bibliography(entries: DataFrame) -> DataFrame:
     return e.select("number", "id", line.alias("line"), F.filter(F.array(*absent), lambda x: x.isNotNull()).alias("missing"))
 
 
-def quality_flags(text: Column, lines: Column, doi: Column, min_sections: int = 3, min_chars: int = 500, min_mean: float = 40, min_alpha: float = 0.7, max_foreign: float = 0.05) -> Column:
+def quality_flags(text: Column, lines: Column, doi: Column, licence: Column, min_sections: int = 3, min_chars: int = 500, min_mean: float = 40, min_alpha: float = 0.7, max_foreign: float = 0.05) -> Column:
+    """The ten gates of a paper that it doesn't pass."""
     n = F.greatest(F.length(text), F.lit(1))
     mean = F.aggregate(lines, F.lit(0.0), lambda a, x: a + F.length(x)) / F.size(lines)
     gates = [
         (F.size(lines) < min_sections, "few sections"), (F.length(text) < min_chars, "short"), (mean < min_mean, "short units"),
         (F.length(F.regexp_replace(text, "\\P{L}", "")) / n < min_alpha, "few letters"), (F.regexp_count(text, F.lit("[^\\x00-\\x7F]")) / n > max_foreign, "non-ASCII"),
-        (F.regexp_count(text, F.lit("\\[\\d+\\]")) > 0, "citation residue"), (doi.isNull(), "missing DOI"),
+        (F.regexp_count(text, F.lit("\\[\\d+\\]")) > 0, "citation residue"), (char_stats(text)["n_pua"] > 0, "private-use characters"), (char_stats(text)["n_replacement"] > 0, "replacement characters"),
+        (doi.isNull(), "missing DOI"), (licence.isNull() | (licence == "UNKNOWN"), "licence unknown"),
     ]
     return F.filter(F.array(*[F.when(c, name) for c, name in gates]), lambda x: x.isNotNull())
