@@ -82,6 +82,7 @@ def content_tokens(c: Column) -> Column:
     return F.aggregate(words(c), F.lit(0), lambda a, w: a + F.ceil(F.length(w) / 4).cast("int"))
 
 
+# How headings are numbered.
 ROMAN, LETTER, LOWER = "^([MDCLXVI]+)\\.(?=\\s|$)", "^([A-Z])\\.(?=\\s|$)", "^([a-z])[:)](?=\\s|$)"
 
 

@@ -7,8 +7,6 @@ top-k, so that neither partitioning nor the order of sums can change a result.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLACES, DIMS, MODES = 6, 16, ("dense", "sparse", "hybrid_rrf", "hybrid_dbsf")
-QUERY_BLOCK, SPARSE_BLOCK = 4096, 256
+QUERY_BLOCK, SPARSE_BLOCK, MOST_TOKENS = 4096, 256, 1 << 18  # MOST_TOKENS: of questions, that are broadcast
 
 
 def build_filter(ranges: dict, keywords: dict) -> Column:
@@ -40,27 +38,48 @@ def check_mode(mode: str) -> None:
         raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
 
 
-def analyze(chunks: DataFrame) -> DataFrame:
-    """chunker, chunk_id, size (tokens), terms (token and tf), vec (hashed counts): a chunk's row holds all that its
-    postings and its vector need, so neither takes a shuffle. chunks: chunker, chunk_id, text."""
-    word = re.compile(r"[^\W_]+")  # runs of letters and digits, as the default analyser's
+def analyze(chunks: DataFrame, analyser=None, embedder=None) -> DataFrame:
+    """chunker, chunk_id, size (tokens), terms (token and tf), vec: a chunk's row holds all that its postings and its
+    vector need, so neither takes a shuffle. chunks: chunker, chunk_id, text.
+
+    Tokens are lower-case runs of letters and digits and vectors hashed counts, worked out a batch at a time, unless an
+    analyser (text to tokens) or an embedder (embed_documents) is given.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[str, int] = {}
         for b in batches:
-            sizes, terms, vecs = [], [], np.zeros((b.num_rows, DIMS))
-            for k, text in enumerate(b.column(2).to_pylist()):
-                tf = Counter(word.findall((text or "").lower()))
-                for t, n in tf.items():
-                    if (d := place.get(t)) is None:
-                        d = place[t] = int(hashlib.md5(t.encode()).hexdigest()[:2], 16) % DIMS
-                    vecs[k, d] += n
-                sizes.append(sum(tf.values()))
-                terms.append([{"token": t, "tf": n} for t, n in tf.items()])
-            if len(place) > 1_000_000:
-                place.clear()
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * DIMS, DIMS), pa.int32()), pa.array(vecs.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64())]))), vec], names=["chunker", "chunk_id", "size", "terms", "vec"])
+            texts = b.column(2).fill_null("")
+            if analyser is None:
+                low = pc.utf8_lower(texts)
+                tokens = pc.split_pattern_regex(pc.utf8_trim(pc.replace_substring_regex(low, r"[^\p{L}\p{N}]+", " "), " "), " ")
+                flat, offs = tokens.flatten(), np.asarray(tokens.offsets)
+            else:
+                lists = [analyser(t) for t in texts.to_pylist()]
+                flat, offs = pa.array([t for x in lists for t in x], pa.string()), np.r_[0, np.cumsum([len(x) for x in lists])]
+            row = np.repeat(np.arange(b.num_rows), np.diff(offs))
+            coded = flat.dictionary_encode()
+            words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            some = np.asarray(pc.not_equal(words, "")) if len(words) else np.zeros(0, bool)
+            real = some[code] if len(code) else np.zeros(0, bool)  # an empty text splits into one empty token
+            pairs, tf = np.unique(row[real] * max(1, len(words)) + code[real], return_counts=True)
+            own, code = pairs // max(1, len(words)), pairs % max(1, len(words))
+            ends = np.searchsorted(own, np.arange(b.num_rows + 1))
+            size = np.bincount(own, tf, b.num_rows).astype(np.int32)
+            if embedder is None:
+                for w in (names := words.to_pylist()):
+                    if w not in place:
+                        place[w] = int(hashlib.md5(w.encode()).hexdigest()[:2], 16) % DIMS
+                at = np.int64([place[w] for w in names]) if names else np.zeros(0, np.int64)
+                vecs = np.bincount(own * DIMS + (at[code] if len(code) else code), tf, b.num_rows * DIMS)
+                wide = DIMS
+                if len(place) > 1_000_000:
+                    place.clear()
+            else:
+                vecs, wide = np.asarray(embedder.embed_documents(texts.to_pylist()), float).ravel(), embedder.dims
+            terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words.take(pa.array(code)), pa.array(tf, pa.int64())], names=["token", "tf"]))
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * wide, wide), pa.int32()), pa.array(vecs, pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int32()), terms, vec], names=["chunker", "chunk_id", "size", "terms", "vec"])
 
     return chunks.select("chunker", "chunk_id", "text").mapInArrow(run, "chunker string, chunk_id string, size int, terms array<struct<token:string,tf:long>>, vec array<double>")
 
@@ -88,8 +107,10 @@ def sparse_scores(questions: DataFrame, analyzed: DataFrame, k: int | None = Non
     Document frequencies and mean size always cover the whole collection.
     """
     rows = questions.select("qid", "ts").collect()
-    asked = questions.select(F.explode("ts").alias("token")).distinct()
-    df = {(r.chunker, r.token): r.df for r in postings(analyzed).join(F.broadcast(asked), "token", "left_semi").groupBy("chunker", "token").agg(F.count("*").alias("df")).collect()}
+    vocab = {t for r in rows for t in r.ts}
+    asked = analyzed.sparkSession.createDataFrame([(t,) for t in vocab], "token string")
+    asked = F.broadcast(asked) if len(vocab) <= MOST_TOKENS else asked
+    df = {(r.chunker, r.token): r.df for r in postings(analyzed).join(asked, "token", "left_semi").groupBy("chunker", "token").agg(F.count("*").alias("df")).collect()}
     size = {r.chunker: (r.n, r.mean) for r in analyzed.groupBy("chunker").agg(F.count("*").alias("n"), F.avg("size").alias("mean")).collect()}
     found = analyzed.select("chunker", "chunk_id", "size", "terms")
     found = found if only is None else found.join(only, "chunk_id", "left_semi").select("chunker", "chunk_id", "size", "terms")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 NS = "{http://www.tei-c.org/ns/1.0}"
+# The dash between two citations, divisions that are left out, what a table's or figure's caption looks like.
 DASH = re.compile(r"\s*[-–]\s*")
 EXCLUDED = "(?i)references|bibliography|acknowledg"
 CAPTION = "(?s)^(?:TABLE|FIGURE)\\s+\\d+\\.\\s+\\S.*$"
@@ -118,12 +119,18 @@ def units(rows: DataFrame) -> DataFrame:
     head = X.clean_ws(X.strip_citations(F.col("head")))
     kept = rows.where("kind in ('div', 'p', 'figure', 'abstract')").withColumn("heading", F.coalesce(head, F.lit("")))
     kept = kept.where(~F.col("acknowledgement") & ~F.col("heading").rlike(EXCLUDED))
-    merged, c = X.merged_heading(F.col("heading")), F.col("heading")
-    token = F.when(X.py_strip(F.coalesce("n", F.lit(""))) != "", X.py_strip(F.col("n"))).otherwise(c)
-    untitled, split = c == "", merged.isNotNull()
-    unnumbered = F.when(untitled, True).when(split, False).otherwise(X.heading_unnumbered(token))
-    junk = ~untitled & ~split & unnumbered & X.junk_heading(c)
-    level = F.when(untitled, 1).when(split, 2).otherwise(X.heading_level(token))
+    c = F.col("heading")
+
+    def worked_out(df, **columns):
+        """df with the columns, each worked out once: no later expression is put together with theirs into one large method."""
+        return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+    kept = worked_out(kept, merged=X.merged_heading(c), token=F.when(X.py_strip(F.coalesce("n", F.lit(""))) != "", X.py_strip(F.col("n"))).otherwise(c))
+    untitled, merged, token = c == "", F.col("merged"), F.col("token")
+    split = merged.isNotNull()
+    kept = worked_out(kept, plain=F.when(untitled, True).when(split, False).otherwise(X.heading_unnumbered(token)), level=F.when(untitled, 1).when(split, 2).otherwise(X.heading_level(token)), odd=X.junk_heading(c))
+    unnumbered, level = F.col("plain"), F.col("level")
+    junk = ~untitled & ~split & unnumbered & F.col("odd")
     carries = F.when(untitled, None).when(split, merged["parent"]).when((level == 1) & ~junk, c)
     to_here = Window.partitionBy("paper_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     is_div = F.col("kind") == "div"

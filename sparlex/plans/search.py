@@ -44,16 +44,26 @@ hits AS MATERIALIZED (SELECT h.chunker, h.mode, h.qid, h.rank::INT AS rank, h.ch
   UNION ALL SELECT 'hybrid_rrf', chunker, qid, chunk_id, score, rank FROM ({TOP_SQL.format(RRF_SQL)})
   UNION ALL SELECT 'hybrid_dbsf', chunker, qid, chunk_id, score, rank FROM ({TOP_SQL.format(DBSF_SQL)})) h JOIN chunks c ON c.chunk_id = h.chunk_id)"""
 _KEPT: dict = {}
+MOST_KEPT = 12
 
 
 def kept(name, spark, sf, make):
-    """Intermediate results that many queries share are worked out once a session."""
+    """Intermediate results that many queries share are worked out once a session; the oldest go when there are MOST_KEPT."""
     key = (name, spark.sparkContext.applicationId, sf)
     if key not in _KEPT:
-        _KEPT[key] = make().persist()
+        made = make().persist()  # may keep others first
+        while len(_KEPT) >= MOST_KEPT:
+            _KEPT.pop(next(iter(_KEPT))).unpersist()
+        _KEPT[key] = made
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Gives up all that is kept, for data that changed and for timing queries one by one."""
+    while _KEPT:
+        _KEPT.popitem()[1].unpersist()
+
+
 def chunks(spark, sf):
     docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text"))
     both = C.chunk_documents(docs, "fixed", C.CHUNKERS["fixed"]).unionByName(C.chunk_documents(docs, "section_aware", C.CHUNKERS["section_aware"], min_tokens=15).where("kept"))

@@ -18,20 +18,39 @@ def read_new_files(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).format(fmt).load(path)
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, version: str):
-    """Keeps the latest row of each key in versions of a table: each batch writes path/v=<batch>, from the version before it and its own rows.
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, version: str, buckets: int = 64):
+    """Keeps the latest row of each key. Keys are dealt to buckets by hash; a batch writes path/v=<batch> with the buckets
+    that its keys are in, each from its newest version before and the batch's rows, and leaves the others alone.
 
-    A batch that is tried again writes the same version again, so rows are neither lost nor doubled.
+    A batch that is tried again writes the same version again, so rows are neither lost nor doubled. read_latest reads the table.
     """
 
     def write(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v={no - 1}") if no > 0 else batch.limit(0)
-        upsert_latest(old, batch, key, version).write.mode("overwrite").parquet(f"{path}/v={no}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        old = read_latest(spark, path, batch.schema, touched, no - 1) if no > 0 and touched else batch.limit(0)
+        rows = upsert_latest(old.select(batch.columns), batch, key, version).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={no}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_latest(spark: SparkSession, path: str, schema, only: list[int] | None = None, upto: int | None = None) -> DataFrame:
+    """The rows of the newest version of every bucket (of ``only``; no version beyond ``upto``): other files are not read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    newest: dict[int, int] = {}
+    for status in files.globStatus(hadoop.Path(root, "v=*/bucket=*")) or ():
+        name = status.getPath()
+        bucket, v = (int(n.split("=")[1]) for n in (name.getName(), name.getParent().getName()))
+        if (only is None or bucket in only) and (upto is None or v <= upto):
+            newest[bucket] = max(v, newest.get(bucket, v))
+    paths = [f"{path}/v={v}/bucket={b}" for b, v in sorted(newest.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def first_seen(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
     """The first row of each key; repeats within the watermark are dropped."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])

@@ -325,8 +325,71 @@ def test_streams(spark, tmp_path):
     ingest.upsert_stream(read(), f"{tmp_path}/t", f"{tmp_path}/c", "id", "n").awaitTermination()
     spark.createDataFrame([(1, "new", 2, t(2))], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
     ingest.upsert_stream(read(), f"{tmp_path}/t", f"{tmp_path}/c", "id", "n").awaitTermination()
-    assert {r.id: r.v for r in spark.read.parquet(f"{tmp_path}/t/v=1").collect()} == {1: "new", 2: "b"}
+    assert {r.id: r.v for r in ingest.read_latest(spark, f"{tmp_path}/t", schema).collect()} == {1: "new", 2: "b"}
+    assert len(list((tmp_path / "t/v=1").glob("bucket=*"))) == 1  # the other key's bucket is left alone
     for name, df, mode in (("w", ingest.windowed_counts(read(), "ts", "10 minutes", "5 minutes", None), "complete"), ("s", ingest.sessions(read(), "ts", "10 minutes", "5 minutes", "id"), "complete"), ("d", ingest.first_seen(read(), "id", "ts", "10 minutes"), "append"), ("j", ingest.judgment_stream(read(), F.lit("q"), F.when(F.col("v") == "new", "undo").otherwise("relevant")), "update")):
         df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == 3 and spark.sql("SELECT count(*) FROM d").first()[0] == 2 and spark.sql("SELECT sum(n) FROM s").first()[0] == 3
     assert spark.sql("SELECT max(relevant) FROM j").first()[0] in (1, 2)
+
+
+def test_searcher(spark):
+    """Parts passed in, filters before the top-k, timings, progress, one question."""
+    from sparlex.operators.searching import HashedEmbedder, Searcher, one_shot, plain, stemmed
+
+    rows = [("fixed", f"{i}:fixed:0000", t, i) for i, t in enumerate(["alpha beta gamma", "alpha cats", "delta the cat", "", "Beta-beta alpha"])]
+    chunks = spark.createDataFrame(rows, "chunker string, chunk_id string, text string, year int")
+    with pytest.raises(ValueError):
+        Searcher(chunks).search({"q": "x"}, "bm25")
+    hits, t = Searcher(chunks).search({"q": "alpha beta", "r": "zzz"}, "sparse")
+    got = {(r.qid, r["rank"]): r.chunk_id for r in hits.collect()}
+    assert got["q", 1] == "4:fixed:0000" and got["q", 2] == "0:fixed:0000" and not any(q == "r" for q, _ in got)
+    assert t.dense == t.embed == t.fuse == 0 < t.sparse <= t.total
+    hits, t = Searcher(chunks).search({"q": "alpha beta"}, "hybrid_rrf", 2, F.col("year") < 2)
+    assert {r.chunk_id for r in hits.collect()} == {"0:fixed:0000", "1:fixed:0000"} and min(t.dense, t.sparse, t.fuse) > 0
+    assert stemmed("The cats and queries of buses") == ["cat", "query", "buse"] and plain("A_b-1") == ["a", "b", "1"]
+    hits, _ = Searcher(chunks, stemmed).search({"q": "cat"}, "sparse")
+    assert {r.chunk_id for r in hits.collect()} == {"1:fixed:0000", "2:fixed:0000"}
+
+    class Lengths:
+        dims = 2
+
+        def embed_documents(self, texts):
+            return np.array([[len(t), 1.0] for t in texts])
+
+        def embed_query(self, text):
+            return np.array([1.0, 0.0])
+
+    hits, _ = Searcher(chunks, embedder=Lengths()).search({"q": "x"}, "dense", 1)
+    assert hits.first().chunk_id == "0:fixed:0000"
+    said = []
+    every, times = Searcher(chunks).every({"q": "alpha"}, on_progress=lambda *x: said.append(x))
+    assert said == [(1, 4, "dense"), (2, 4, "sparse"), (3, 4, "hybrid_rrf"), (4, 4, "hybrid_dbsf")] and set(times) == {m for _, _, m in said} and every.select("mode").distinct().count() == 4
+    found, _ = one_shot(Searcher(chunks), "gamma", "sparse", 1)
+    assert [(r.chunk_id, r.snippet) for r in found.collect()] == [("0:fixed:0000", "alpha beta gamma")]
+    assert (HashedEmbedder(prefix="query ").embed_query("x") != HashedEmbedder().embed_query("x")).any()
+
+
+def test_guards(spark):
+    """What doesn't hold together is an error where it is read."""
+    with pytest.raises(ValueError):
+        C.checked("abc", 1, 4)
+    with pytest.raises(ValueError):
+        C.checked("abc", 2, 2)
+    with pytest.raises(ValueError):
+        C.checked("abc", 0, 2, "xx")
+    assert C.checked("abc", 0, 2, "ab") == "ab"
+    u = S.assemble(spark.createDataFrame([("p", 0, "section", "A long enough section text for the floor."), ("q", 0, "section", "Another section text, long enough for the floor.")], "paper_id string, pos int, type string, text string"))
+    p = S.paper_texts(u).select("*", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"))
+    broken = u.withColumn("char_end", F.col("char_end") + (F.col("paper_id") == "q").cast("int"))
+    assert [r.paper_id for r in S.sound(p, broken).collect()] == ["p"] and S.guarded(p, u).count() == 2
+    with pytest.raises(Exception, match="offsets of paper q"):
+        S.guarded(p, broken).collect()
+
+
+def test_counter_passed_in():
+    """Any counter that adds up over white space: here one token a word."""
+    one = lambda text: len(text.split())
+    text = "a b c d e f g h. I j k"
+    assert [text[a:b] for a, b in C.fixed_chunks(text, 6, 2, one)] == ["a b c d", "c d e f", "e f g h.", "g h. I j", "I j k"]
+    assert [text[a:b] for a, b in C.section_chunks(text, [("section", "H", 0, len(text))], 10, 2, one)] == ["a b c d e f g h. ", "I j k"]
