@@ -7,12 +7,14 @@ dot product of demand and residual) takes it.
 
 Pieces of a length are alike, so the plan is made from the counts by length, at most
 ``capacity`` rows whatever the corpus: open sequences in the same state are one class
-with a count, a class takes as many equal pieces as it has sequences at once, and a
+with a count, a class takes as many equal pieces at once as it would one by one, and a
 sequence's number is its class's base plus its rank. Documents then look up their own
 place: rank within (task, length) + earlier tasks' counts of that length -> slot.
 
 Defined results: null and empty texts are the end id alone; repeated rows and null ids
-are packed as separate documents.
+are packed as separate documents; of equal scores the class opened first takes the piece;
+a very long text is cut into as many pieces as it needs; an empty table packs nothing;
+further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -113,7 +115,10 @@ class Plan:
                 self.sequences += n
                 self.classes[k := self._class(tuple(self.limit))].append((base, n))
             base, n = self.classes[k].pop()
-            take, left = min(n, count - rank), self.left[k].copy()
+            left = self.left[k].copy()
+            # a sequence that took a piece has the least residual of all for the next one alike, until it is full; by dot product it has a lesser one than the rest of its class
+            each = int(max(1, np.min(left // need))) if self.score == "residual" else 1
+            take = min(n, max(1, (count - rank) // each))
             if take < n:
                 self.classes[k].append((base + take, n - take))
             if not self.classes[k]:
