@@ -71,6 +71,11 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def column(name: str):
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_key(*columns) -> list:
     """Two hashes of columns (null is a value of its own), by which equal rows are found."""
     parts = [x for c in columns for x in (c.isNull(), c)]

@@ -8,7 +8,9 @@ languages and chosen by a hash of their ids; a fifth of them is held back to cho
 temperature that calibrates the scores. Prediction is a mean over the grams of idf * weight.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is every
-text if there is nothing to learn from. Repeated rows are scored alike.
+text if there is nothing to learn from. Repeated rows are scored alike; of equal scores the
+first language in order wins; a very long text is a slice of its own and scored whole; an
+empty table gives an empty table; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_model
-from .common import released, row_key, saved, small, utf8_bytes, without
+from .common import column, released, row_key, saved, small, utf8_bytes, without
 from .language_id import held_out
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def trusted_documents(labels: DataFrame) -> DataFrame:
 def quality_classifier(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, slack: float = 1.25, prior: float = 100.0) -> DataFrame:
     """row (the input row without its text), perplexity, limit, kept for every row."""
     spark, trusted = docs.sparkSession, small(saved(trusted.withColumnRenamed("trusted_id", "known_id"), "trusted-ids"))
-    inner = F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("doc")
+    inner = F.struct(*[column(c) for c in docs.columns if c != text_col]).alias("doc")
     row = docs.select(F.struct(inner, F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).alias("row"), F.col(text_col).cast("string").alias("text"))
     own = row.where(~held_out("row.id")).select(F.col("row.id").alias("id"), "text").join(trusted, F.col("id") == F.col("known_id"), "left_semi")
     model = word_model.train(own, utf8_bytes(row))
@@ -55,8 +55,8 @@ def quality_classifier(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_i
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(False)))
 
 
-def classified(docs: DataFrame, trusted: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+def classified(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows of docs that are kept, whole."""
-    keyed = docs.select("*", F.struct(*row_key(F.col(text_col), F.col(lang_col))).alias("key of the row"))
-    verdicts = quality_classifier(keyed, trusted, text_col=text_col, lang_col=lang_col, **options)
+    keyed = docs.select(id_col, text_col, lang_col, F.struct(*row_key(F.col(text_col), F.col(lang_col))).alias("key of the row"))
+    verdicts = quality_classifier(keyed, trusted, id_col, text_col, lang_col, **options)
     return without(docs, verdicts.where("not kept").select("row.`key of the row`.*"), text_col, lang_col)

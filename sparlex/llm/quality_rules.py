@@ -9,7 +9,9 @@ fitted to the hosts' rates by moments (weighted by documents) shrinks it; a host
 rate is above ``host_limit`` loses all its documents.
 
 Defined results: null text counts as empty (no words: it fails); a null host has no verdict of
-its own; repeated rows are judged alike; other columns are carried untouched in ``doc``.
+its own; repeated rows are judged alike; a host whose shrunk rate equals the limit keeps its
+documents; very long texts are judged whole; an empty table gives an empty table; other columns,
+whatever their names, are carried untouched in ``doc``.
 """
 
 from __future__ import annotations

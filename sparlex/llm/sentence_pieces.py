@@ -11,7 +11,10 @@ A segment begins at each space that doesn't follow a space: no piece of the mode
 another character into the meta symbol (checked when the model is read), so none spans a
 beginning. One begins, too, between two ASCII characters that stand together in no piece. Characters left without a piece become byte pieces, or the unknown piece.
 
-Defined results: null and empty texts have no pieces; a decoded null is the empty text.
+Defined results: null and empty texts have no pieces; a decoded null is the empty text; repeated
+rows are encoded alike; of pieces with equal scores the leftmost is joined; a very long text is a
+slice of its own, and one unbroken segment of any length is joined by a queue in n log n; an empty
+table gives an empty table; further columns, whatever their names, are carried in ``row``.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Known, Texts, slices
-from .common import map_arrow, strings
+from .common import column, map_arrow, strings
 
 BREAK = 0x110000  # stands between indexed segments
 INDEX_CHARS, MOST_SEGMENTS, LONG = 1 << 20, 1_000_000, 48
+DECODED_IDS = 1 << 20
 _MODELS: dict[str, "Model"] = {}
 
 
@@ -56,6 +60,17 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+class _Sorted:
+    """Values of sorted keys, -1 for others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = np.r_[keys, np.iinfo(np.int64).max], np.r_[values, np.int32(-1)]
+
+    def __getitem__(self, asked):
+        at = np.searchsorted(self.keys, asked)
+        return np.where(self.keys[at] == asked, self.values[at], -1)
+
+
 class Model:
     def __init__(self, path: str):
         import sentencepiece
@@ -122,15 +137,18 @@ class Model:
         to = np.cumsum(count)
         piece = np.repeat(np.arange(len(count)), count)
         place = order[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(first - (to - count), count)]
-        by = np.argsort(place, kind="stable")
+        by = np.lexsort((self.length[piece], place))
         return place[by], self.length[piece[by]], self.ids[piece[by]]
 
     def relax(self, text: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """Pieces (start, end, id or -1) as arrays, of segments text[first[i]:first[i + 1] - 1]; each is followed by BREAK."""
         place, length, piece = self.edges(text)
-        table = np.full((len(text) + 1) * (self.longest + 1), -1, np.int32)
-        table[place * (self.longest + 1) + length] = piece
         wide = self.longest + 1
+        if len(text) <= 2 * INDEX_CHARS:
+            table = np.full((len(text) + 1) * wide, -1, np.int32)
+            table[place * wide + length] = piece
+        else:  # one very long segment: by binary search among the sorted edges
+            table = _Sorted(place * wide + length, piece)
 
         def joined(start, end):
             size = end - start
@@ -281,7 +299,7 @@ def sp_encode(docs: DataFrame, text_col: str = "text", path: str | None = None,
     """row (struct of the kept columns), ids (array<int>), ids_crc32 (of the ids as little-endian 32-bit integers)."""
     path = path or default_path()
     names = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*map(column, names)).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches):
         sp = model(path)
@@ -302,11 +320,12 @@ def sp_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         sp = model(path)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                lists = part.column(1)
-                offs = lists.offsets.to_numpy().astype(np.int64)
-                raw, to = sp.decode(lists.flatten().to_numpy(), offs - offs[0])
-                yield *(part.column(k) for k in range(3)), strings(raw, to)
+            n, at = np.r_[0, np.cumsum(b.column(1).value_lengths().fill_null(0).to_numpy().astype(np.int64))], 0
+            while at < b.num_rows:  # rows of a bounded number of ids, one at least: their bytes have 32-bit offsets
+                to = max(at + 1, int(np.searchsorted(n, n[at] + DECODED_IDS, "right")) - 1)
+                part = b.slice(at, to - at)
+                raw, ends = sp.decode(part.column(1).flatten().to_numpy(), n[at : to + 1] - n[at])
+                yield *(part.column(k) for k in range(3)), strings(raw, ends)
+                at = to
 
     return map_arrow(encoded, run, "ids array<int>, ids_crc32 long, text string", row=encoded.schema["row"].dataType)

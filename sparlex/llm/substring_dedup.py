@@ -14,7 +14,10 @@ which is itself sharded, pre-aggregated and exact at any size.
 
 Defined results: null and empty texts have no words; texts under 20 words keep all;
 rows with a null id keep all and count for no other row; rows that share an id are
-the same document (equal rows are treated alike, none is a copy of the other).
+the same document (equal rows are treated alike, none is a copy of the other); of equal
+windows the one with the least (id, place) stays; a very long text is a slice of its own
+and is judged whole; an empty table gives an empty table; further columns, whatever their
+names, are carried in ``doc``.
 """
 
 from __future__ import annotations

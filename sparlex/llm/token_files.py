@@ -8,7 +8,9 @@ its blocks alone, and unpacks by vectors: eight ids take as many bytes as an id
 
 Documents stand in ascending id order over all files (range partitions, sorted). Null ids
 come first (stored as the least int64 and returned as null); rows that repeat an id are
-separate documents, ordered by text; a null text is the end id alone.
+separate documents, ordered by text; a null or empty text is the end id alone; a very
+long text may be a file of its own; an empty table writes no file; further columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,7 +139,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def read_token_files(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
     """doc_id, start (over all files), ids (array) is what a file holds; here with n_tokens and ids_crc32 in place of the ids."""
-    todo = spark.createDataFrame(files, "uri string, start long, n long").repartition(max(1, len(files)), "uri")
+    todo = spark.createDataFrame(files, "uri string, start long, n long").repartition(max(1, min(len(files), 1 << 16)), "uri")
 
     def read(batches):
         for b in batches:

@@ -9,7 +9,9 @@ search goes on from the next byte.
 
 Defined results: null html is an empty payload; a null url leaves out the target; a
 null page id is always a response of its own; rows that repeat the least page id of a
-payload are all responses; payloads under ``min_revisit_bytes`` are never revisits.
+payload are all responses; payloads under ``min_revisit_bytes`` are never revisits; a
+very long payload is one record, read on past its range; an empty table writes no
+archive, and no archive has no records; columns besides the three are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .files import opened, written
 
 MAGIC, PROFILE = b"\x1f\x8b\x08", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
-READ = 1 << 20
+READ, MOST_TASKS = 1 << 20, 1 << 16  # of a reader; beyond, a task reads several ranges
 
 
 def member(data: bytes, mark: bytes, level: int = 6) -> bytes:
@@ -166,8 +168,9 @@ def records(file, start: int, end: int):
 
 def read_warc(spark: SparkSession, archives: list[tuple[str, int]], range_bytes: int = 16 << 20, payloads: bool = True) -> DataFrame:
     """uri, offset, record_type, record_id, target_uri, payload_digest, payload_bytes, refers_to, payload, damaged of every response and revisit."""
-    ranges = [(uri, a, min(a + range_bytes, size)) for uri, size in archives for a in range(0, max(size, 1), range_bytes)]
-    todo = spark.createDataFrame(ranges, "uri string, start long, end long").repartition(max(1, len(ranges)), "uri", "start")
+    n = sum(max(1, -(-size // range_bytes)) for _, size in archives)
+    todo = spark.createDataFrame(archives, "uri string, size long").select("uri", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
+    todo = todo.select("uri", "start", F.least(F.col("start") + range_bytes, F.col("size")).alias("end")).repartition(max(1, min(n, MOST_TASKS)), "uri", "start")
 
     def read(batches):
         for b in batches:

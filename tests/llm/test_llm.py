@@ -582,3 +582,142 @@ def test_clashing_hashes_are_told_apart(monkeypatch):
         assert [said[a] == said[b] for a in range(len(said)) for b in range(a)] == [rows[a] == rows[b] for a in range(len(said)) for b in range(a)]
         assert known.spell(rows)[0].tolist() == n.tolist()
         said.append("new")
+
+
+def test_very_long_texts(spark):
+    """Texts above two slices: one of many lines, its copy with a tail, one long word; every operator against the plain way."""
+    long = words(500_000, 60)
+    assert len(long.encode()) > 2 << 20
+    rows = [(1, long), (2, long + " tail"), (3, "x" * 60_000 + "é" * 5), (4, words(30, 61)), (5, None)]
+    df = spark.createDataFrame([(i, t, "en", "h") for i, t in rows], "doc_id long, text string, lang string, source string").repartition(2)
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_path())
+    for r in sp_decode(sp_encode(df, keep=["doc_id"])).collect():
+        want = sp.encode(dict(rows)[r.row.doc_id] or "")
+        assert r.ids == want and r.text == sp.decode(want)
+    want = brute_substring({i: t or "" for i, t in rows})
+    assert {r.doc.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df).collect()} == want
+    assert {r.doc_id: r.class_id for r in jaccard_join(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    scored = {r.row.doc_id: r.perplexity for r in quality_classifier(df, trusted_documents(labels)).collect()}
+    assert scored[5] is None and scored[3] > scored[2] and abs(scored[1] / scored[2] - 1) < 0.01
+    assert {r.doc_id: r.lang_pred for r in language_id(df).collect()}[5] == "und"
+    ids = dict(token_ids(rows))
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in read_token_files(spark, write_token_files(df)).collect()} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in ids.items()}
+    for r in pack(df).collect():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    for r in quality_rules(df, keep_doc=["doc_id"]).collect():
+        assert ((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words), r.base_failed) == brute_rules(dict(rows)[r.doc.doc_id] or "")
+    from sparlex.llm.common import shared_dir
+
+    pages_ = df.select(F.col("doc_id").alias("page_id"), F.lit("http://x/").alias("url"), F.col("text").alias("html"))
+    back = read_warc(spark, write_warc(pages_, shared_dir(spark, "warc")), range_bytes=1 << 16)
+    assert {int(r.record_id.rpartition(":")[2]): (r.payload_bytes, r.damaged) for r in back.collect()} == {i: (len((t or "").encode()), False) for i, t in rows}
+
+
+def test_long_segments_without_a_table(monkeypatch):
+    """A segment too long for a table of its edges is joined by binary search, with the same pieces."""
+    import sentencepiece
+
+    from sparlex.llm import sentence_pieces as module
+
+    sp, text = sentencepiece.SentencePieceProcessor(model_file=piece_path()), "".join(random.Random(2).choice("abcdeéthe") for _ in range(3000))
+    monkeypatch.setattr(module, "INDEX_CHARS", 100)
+    m = module.Model(piece_path())
+    for _, t in slices(pa.array([text, text[:40] + " " + text[50:70]])):
+        ids, offs = m.encode(t)
+        assert ids[: offs[1]].tolist() == sp.encode(text) and ids[offs[1] :].tolist() == sp.encode(text[:40] + " " + text[50:70])
+
+
+def test_clashing_columns(spark):
+    """Columns that have the operators' own names, and odd ones, neither break them nor get lost."""
+    names = ["id", "row", "doc", "kept", "label", "key", "rep", "m", "links", "component_id", "vec", "a.b", "odd name"]
+    r = np.random.default_rng(3)
+    x = r.normal(size=(12, 4))
+    x[5] = x[2]
+    rows = [(i, [float(c) for c in v], 1, *(["z"] * (len(names) - 1))) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, ["vec_id", "embedding", "label", *[n for n in names if n != "label"]])
+    got = {r.vec_id: r.component_id for r in embedding_dedup(df).collect()}
+    assert got[5] == 2 and len(got) == 12
+    odd = spark.createDataFrame([(i, words(40, i), "en", "h", "z", "y") for i in range(6)], ["doc_id", "text", "lang", "source", "odd name", "a.b"])
+    assert substring_dedup(odd).select("doc.*").columns == ["doc_id", "lang", "source", "odd name", "a.b"]
+    assert sp_encode(odd).select("row.*").columns == odd.columns and quality_rules(odd).select("doc.*").columns == odd.columns
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert classified(odd, trusted_documents(labels)).columns == odd.columns
+
+
+def test_pipeline_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    more = ["row", "kept", "doc", "key_a", "key of the row", "class_id", "perplexity", "rank", "id"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in more)
+    rows = [(i, words(60, 7000 + i % 9), "en", "s", 0, *more) for i in range(10)]  # the last has the first one's text
+    for name, data in (("none", []), ("some", rows)):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(len(data))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        stage(spark, docs, f"{tmp_path}/some").write.parquet(f"{tmp_path}/some/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/some/{k}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *more]
+    assert {r.doc_id for r in docs.collect()} == set(range(9)) and all(r["kept"] == "kept" for r in docs.collect())
+
+
+def test_ftrl_against_scalars():
+    """FTRL-proximal with elastic net, coordinate by coordinate in plain Python."""
+    from sparlex.llm.language_id import Ftrl
+
+    r, model, classes = random.Random(9), Ftrl(3, alpha=0.3, beta=1.0, l1=0.05, l2=0.02), range(3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, c):
+        if abs(z[i, c]) <= 0.05:
+            return 0.0
+        return -(z[i, c] - (0.05 if z[i, c] > 0 else -0.05)) / ((1.0 + n[i, c] ** 0.5) / 0.3 + 0.02)
+
+    for _ in range(60):
+        ids = r.sample(range(12), 4)
+        x, y = [r.random() for _ in ids], r.randrange(3)
+        w = {(i, c): weight(i, c) for i in ids for c in classes}
+        score = [sum(w[i, c] * v for i, v in zip(ids, x)) for c in classes]
+        top = max(score)
+        p = [np.exp(s - top) / sum(np.exp(t - top) for t in score) for s in score]
+        for i, v in zip(ids, x):
+            for c in classes:
+                g = v * (p[c] - (c == y))
+                z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / 0.3 * w[i, c]
+                n[i, c] += g * g
+        model.learn(np.int64(ids), np.float64(x), y)
+    got = model.weights(np.arange(12))
+    assert all(got[i, c] == pytest.approx(weight(i, c), abs=1e-12) for i in range(12) for c in classes) and (got == 0).any() and (got != 0).any()
+
+
+@pytest.mark.parametrize("score", ["residual", "dot"])
+def test_plan_is_vector_best_fit(score):
+    """The plan over counts opens the sequences that best fit opens one piece at a time."""
+    r = random.Random(12)
+    for trial in range(12):
+        counts = Counter(r.randint(1, 60) for _ in range(r.randint(1, 150)))
+        limit, weight = np.float64([60, 5, 2600 + 1000]), np.float64([1.0, 0.0513, 0.0471])
+        bins = []
+        for size in sorted(counts.elements(), reverse=True):
+            need, best = np.float64([size, 1, size * size]), None
+            for b in bins:
+                if (b["left"] >= need).all():
+                    value = ((((b["left"] - need) / limit) ** 2) * weight**2).sum() if score == "residual" else -((b["left"] / limit) * (need / limit) * weight).sum()
+                    if best is None or value < best[0] - 1e-12:
+                        best = (value, b)
+            if best is None:
+                bins.append({"left": limit.copy(), "has": []})
+                best = (0, bins[-1])
+            best[1]["left"] = best[1]["left"] - need
+            best[1]["has"].append(size)
+        plan = Plan(counts, 60, most_docs=5, most_attention=3600, weights=tuple(weight), score=score)
+        load = defaultdict(list)
+        for n, slots in plan.slots.items():
+            for (a, base, _), (b, _, _) in zip(slots, [*slots[1:], (counts[n], None, None)]):
+                for k in range(b - a):
+                    load[base + k].append(n)
+        assert sorted(map(sorted, load.values())) == sorted(sorted(b["has"]) for b in bins), trial
