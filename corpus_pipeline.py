@@ -1,4 +1,10 @@
-"""A corpus pipeline of five operators over documents; each stage is written and read again."""
+"""A corpus pipeline of five operators over documents; each stage is written and read again.
+
+Nulls: a null text counts as empty and goes with the first stage; a null id, language or source is a value of its own, and
+rows with a null id are no one's near copies. Rows that repeat an id and text are one document twice and go or stay
+together; another text under the same id is judged by itself. Ties keep the least id. Very long texts are judged whole.
+Empty tables give empty tables. Further columns, whatever their names, are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ from sparlex.llm.substring_dedup import substring_dedup
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
-    keyed = docs.select("*", F.struct(*row_key(F.col("text"), F.col("source"))).alias("key of the row"))
+    keyed = docs.select("text", "source", F.struct(*row_key(F.col("text"), F.col("source"))).alias("key of the row"))
     verdicts = quality_rules(keyed, keep_doc=["key of the row"])
     return without(docs, verdicts.where("not kept").select("doc.`key of the row`.*"), "text", "source")
 
