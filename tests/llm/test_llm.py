@@ -669,13 +669,13 @@ def test_ftrl_against_scalars():
     """FTRL-proximal with elastic net, coordinate by coordinate in plain Python."""
     from sparlex.llm.language_id import Ftrl
 
-    r, model, classes = random.Random(9), Ftrl(3, alpha=0.3, beta=1.0, l1=0.05, l2=0.02), range(3)
+    r, model, classes = random.Random(9), Ftrl(3, alpha=0.3, beta=1.0, l1=1.5, l2=0.02), range(3)
     z, n = defaultdict(float), defaultdict(float)
 
     def weight(i, c):
-        if abs(z[i, c]) <= 0.05:
+        if abs(z[i, c]) <= 1.5:
             return 0.0
-        return -(z[i, c] - (0.05 if z[i, c] > 0 else -0.05)) / ((1.0 + n[i, c] ** 0.5) / 0.3 + 0.02)
+        return -(z[i, c] - (1.5 if z[i, c] > 0 else -1.5)) / ((1.0 + n[i, c] ** 0.5) / 0.3 + 0.02)
 
     for _ in range(60):
         ids = r.sample(range(12), 4)
