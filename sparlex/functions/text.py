@@ -59,6 +59,12 @@ def slugify(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def paper_slug(name: Column) -> Column:
+    """The paper id of a file name: its stem as a slug; a name that leaves nothing is an error."""
+    slug = slugify(F.regexp_replace(name, "(?<=.)\\.[^.]*$", ""))
+    return F.when(slug == "", F.raise_error(F.concat(F.lit("no paper id in the file name "), name)).cast("string")).otherwise(slug)
+
+
 def char_stats(c: Column) -> Column:
     """Private-use and replacement characters, share outside ASCII."""
     return F.struct(

@@ -68,10 +68,11 @@ def jsonl_roundtrip(spark, sf):
     return back.select("doc_id", "lang", "source", text.alias("text"))
 
 
-@query("upsert_latest", "SELECT user_id, arg_max(event_type, struct_pack(ts := ts, id := event_id)) AS event_type, max(event_id) FILTER (event_id >= 0) AS last_id, count(*) AS versions FROM events GROUP BY user_id")
+@query("upsert_latest", "SELECT user_id, arg_max(event_type, struct_pack(ts := ts, id := event_id)) AS event_type, arg_max(event_id, struct_pack(ts := ts, id := event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
 def upsert_latest(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("event_id").alias("last_id"), F.count("*").alias("versions"))
+    """Events of even id are the table, those of odd id the batch that is merged into it."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts", F.struct("ts", "event_id").alias("version"))
+    return S.upsert_latest(e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0"), "user_id", "version").drop("version")
 
 
 COMPLETION = """concat('{"model": "m', turn, '", "choices": [', CASE WHEN turn = 5 THEN '' ELSE concat('{"finish_reason": "', CASE WHEN turn = 3 THEN 'length' ELSE 'stop' END, '", "message": {"content": "', CASE WHEN turn = 3 THEN '' ELSE concat('reply ', conv_id) END, '"}}') END, ']}')"""
@@ -156,6 +157,30 @@ def bibliography(spark, sf):
     return S.bibliography(c)
 
 
+# The registry's reply of a paper: none for every fifth, broken for every fifth, fields now and then absent or empty.
+ENTRY = """concat('{"DOI": "', CASE WHEN doc_id % 6 > 0 THEN concat('10.5/', doc_id) ELSE '' END, '", "title": [', CASE WHEN doc_id % 3 > 0 THEN concat('"T ', doc_id, '"') ELSE '' END, '], "container-title": [', CASE WHEN doc_id % 2 = 0 THEN '""' ELSE concat('"V ', doc_id % 10, '"') END,
+ '], "page": "', doc_id, ' - ', doc_id + 9, '", "author": [', CASE WHEN doc_id % 4 <> 2 THEN concat('{"given": "Ann-Lee", "family": "Fámily', doc_id % 40, '"}') ELSE '' END, '], "created": {"date-parts": [[2001, 1]]}', CASE WHEN doc_id % 8 < 5 THEN concat(', "volume": "', doc_id % 8, '"') ELSE '' END,
+ CASE WHEN doc_id % 7 < 3 THEN concat(', "published-print": {"date-parts": [[', 1990 + doc_id % 20, ', 1]]}') ELSE '' END, CASE WHEN doc_id % 4 = 1 THEN ', "published": {"date-parts": [[1985]]}, "issued": {"date-parts": [[1970]]}' ELSE '' END, '}')"""
+REPLY = f"CASE WHEN doc_id % 5 = 1 THEN '{{' WHEN doc_id % 5 > 1 THEN {ENTRY} END"
+
+
+@query("bibliography_entries", f"""
+WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, source AS venue, CASE WHEN doc_id % 3 > 0 THEN 1990 + doc_id % 35 END AS year, CASE WHEN doc_id % 4 > 0 THEN 'cc-by-4.0' END AS licence, TRY_CAST({REPLY} AS JSON) AS j FROM documents),
+e AS (SELECT *, j->>'$.author[0].family' AS family FROM d)
+SELECT doc_id AS paper_id, CASE WHEN family IS NULL THEN 'n/a' ELSE 'A.-L. ' || family END AS authors, coalesce(nullif(j->>'$.title[0]', ''), nullif(title, ''), 'n/a') AS title, coalesce(nullif(j->>'$."container-title"[0]', ''), nullif(venue, ''), 'n/a') AS venue,
+  coalesce(j->>'$.volume', 'n/a') AS volume, 'n/a' AS issue, CASE WHEN (j->>'$.page') IS NULL THEN 'pp. n/a' ELSE 'pp. ' || replace(j->>'$.page', ' - ', '–') END AS pages,
+  coalesce(j->>'$.published."date-parts"[0][0]', j->>'$."published-print"."date-parts"[0][0]', j->>'$.created."date-parts"[0][0]', year::VARCHAR, 'n/a') AS year,
+  coalesce(nullif(j->>'$.DOI', ''), '10.9/' || doc_id) AS doi, CASE WHEN licence IS NULL THEN 'n/a' ELSE 'CC BY 4.0' END AS licence, coalesce(lower(strip_accents(family)), chr(65535)) AS sort_key FROM e""")
+def bibliography_entries(spark, sf):
+    d = docs(spark, sf)
+    manifest = d.select(
+        F.col("doc_id").alias("paper_id"), F.expr("concat('10.9/', doc_id)").alias("doi"), F.expr("split_part(text, chr(10), 1)").alias("title"), F.expr("CASE WHEN doc_id % 3 > 0 THEN 1990 + doc_id % 35 END").alias("year"),
+        F.col("source").alias("venue"), F.expr("CASE WHEN doc_id % 4 > 0 THEN 'cc-by-4.0' END").alias("licence"),
+    )
+    replies = d.where("doc_id % 5 > 0").select(F.col("doc_id").alias("paper_id"), F.from_json(F.expr(REPLY), S.ENTRY).alias("work"))
+    return S.entries(manifest, replies)
+
+
 # A text without markup as units: a line each, every seventh from the fourth on a caption, every fifth from the second with an equation; headings as in heading_levels.
 UNIT_TYPE = "CASE WHEN pos = 0 THEN 'abstract' WHEN pos % 7 = 3 THEN 'caption' ELSE 'section' END"
 WARNED = "CASE WHEN pos % 11 = 5 THEN concat('split merged heading: H', pos) WHEN pos % 11 = 6 THEN concat('heading classified as junk: H', pos) END"

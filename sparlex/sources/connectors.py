@@ -6,6 +6,7 @@ import json
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -49,16 +50,38 @@ def request(url: str, body: bytes | None = None, headers: dict | None = None, re
     raise ServiceError(why)
 
 
-def fetch_missing(keys: DataFrame, cached: DataFrame, fetch: Callable[[str], bytes | None]) -> DataFrame:
-    """key, body, error of every key: cached bodies first; the others are fetched in the tasks, a failure kept with its row. keys: key; cached: key, body."""
-    known = keys.join(cached, "key", "left")
+def post_file(url: str, name: str, content: bytes, fields: dict[str, str] | None = None, kind: str = "application/pdf", **how) -> bytes:
+    """The reply to a form with fields and a file named ``input``, as parsers take documents; ``how`` goes to request()."""
+    mark = uuid.uuid4().hex.encode()
+    head = lambda rest: b"--" + mark + b'\r\nContent-Disposition: form-data; name="' + rest + b"\r\n"
+    parts = [head(f'{k}"\r\n'.encode()) + str(v).encode() + b"\r\n" for k, v in (fields or {}).items()]
+    safe = name.replace('"', "%22").replace("\r", "").replace("\n", "")
+    parts.append(head(f'input"; filename="{safe}"\r\nContent-Type: {kind}\r\n'.encode()) + content + b"\r\n")
+    data = request(url, b"".join(parts) + b"--" + mark + b"--\r\n", {"Content-Type": f"multipart/form-data; boundary={mark.decode()}"}, **how)
+    if data is None:
+        raise ServiceError(f"{url}: 404")
+    return data
+
+
+def worth_keeping(fetched: DataFrame) -> DataFrame:
+    """key, body to be cached: what came, and what the service says it hasn't (a null body); other failures are asked for again."""
+    return fetched.where("error IS NULL OR error = 'not found'").select("key", "body")
+
+
+def fetch_missing(keys: DataFrame, cached: DataFrame, fetch: Callable[..., bytes | None], payload: str | None = None) -> DataFrame:
+    """key, body, error of every key: cached ones first (a null body is one not found); the others are fetched in the tasks, a failure kept with its row.
+
+    keys: key and, if named, a payload that is fetch's second argument (a file's content); cached: key, body.
+    """
+    known = keys.join(cached.select("key", "body", F.lit(True).alias("hit")), "key", "left")
+    extra = [payload] if payload else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             bodies, errors = [], []
-            for key in frame["key"]:
+            for args in zip(*(frame[c] for c in ["key", *extra])):
                 try:
-                    data = fetch(key)
+                    data = fetch(*args)
                     bodies.append(None if data is None else data.decode("utf-8", "replace"))
                     errors.append("not found" if data is None else None)
                 except Exception as e:  # one failure must not end the job
@@ -66,8 +89,8 @@ def fetch_missing(keys: DataFrame, cached: DataFrame, fetch: Callable[[str], byt
                     errors.append(str(e))
             yield pd.DataFrame({"key": frame["key"], "body": bodies, "error": errors})
 
-    new = known.where("body IS NULL").select("key").mapInPandas(run, "key string, body string, error string")
-    return known.where("body IS NOT NULL").select("key", "body", F.lit(None).cast("string").alias("error")).unionByName(new)
+    new = known.where("hit IS NULL").select("key", *extra).mapInPandas(run, "key string, body string, error string")
+    return known.where("hit").select("key", "body", F.when(F.col("body").isNull(), "not found").alias("error")).unionByName(new)
 
 
 @dataclass(frozen=True)

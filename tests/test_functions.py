@@ -72,6 +72,9 @@ def test_ids(spark):
     assert each(spark, names, M.point_id) == [str(uuid.uuid5(uuid.UUID(ns), n)) for n in names]
     assert each(spark, [" HTTPS://doi.org/10.1/A ", "doi: 10.1/b", "10.1/C", "http://dx.doi.org/10.1/d"], M.normalize_doi) == ["10.1/a", "10.1/b", "10.1/c", "10.1/d"]
     assert each(spark, ["My Paper (v2).PDF", "--a--", "é"], X.slugify) == ["my-paper-v2-pdf", "a", ""]
+    assert each(spark, ["My Paper (v2).PDF", "a.tar.gz", ".x"], X.paper_slug) == ["my-paper-v2", "a-tar", "x"]
+    with pytest.raises(Exception, match="no paper id"):
+        each(spark, ["é.pdf"], X.paper_slug)
 
 
 @pytest.mark.parametrize("one, two, licence, warned", [

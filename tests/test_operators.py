@@ -257,6 +257,64 @@ def test_connectors(spark):
         return key.encode()
 
     assert {r.key: (r.body, r.error) for r in connectors.fetch_missing(keys, cached, fetch).collect()} == {"a": ("old", None), "b": ("b", None), "c": (None, "down")}
+    out = connectors.fetch_missing(keys, cached.unionByName(spark.createDataFrame([("b", None)], cached.schema)), fetch)
+    assert {r.key: (r.body, r.error) for r in out.collect()} == {"a": ("old", None), "b": (None, "not found"), "c": (None, "down")}
+    assert {tuple(r) for r in connectors.worth_keeping(out).collect()} == {("a", "old"), ("b", None)}
+
+
+def test_parser_requests(spark):
+    """A form with fields and the file; replies are cached by paper, a rejected file is its own row's error."""
+    seen = []
+
+    def parser(url, body, headers):
+        seen.append((url, body, headers["Content-Type"]))
+        return 200, b"<TEI/>"
+
+    assert connectors.post_file("http://p/api", 'a".pdf', b"%PDF\r\n\x00", {"segmentSentences": "1"}, send=parser) == b"<TEI/>"
+    url, body, kind = seen[0]
+    mark = kind.split("boundary=")[1].encode()
+    fields, file, end = body.split(b"--" + mark)[1:]
+    assert fields == b'\r\nContent-Disposition: form-data; name="segmentSentences"\r\n\r\n1\r\n' and end == b"--\r\n"
+    assert file.startswith(b'\r\nContent-Disposition: form-data; name="input"; filename="a%22.pdf"\r\nContent-Type: application/pdf\r\n\r\n') and file.endswith(b"\r\n\r\n%PDF\r\n\x00\r\n")
+
+    def fetch(key, content):
+        return connectors.post_file("http://p/api", f"{key}.pdf", bytes(content), send=lambda u, b, h: (400, b"") if b"bad" in b else (200, b"<TEI/>"))
+
+    files = spark.createDataFrame([("a", b"x"), ("b", b"bad"), ("c", b"x")], "key string, content binary")
+    cached = spark.createDataFrame([("c", "<old/>")], "key string, body string")
+    got = {r.key: (r.body, r.error) for r in connectors.fetch_missing(files, cached, fetch, "content").collect()}
+    assert got == {"a": ("<TEI/>", None), "b": (None, "http://p/api: 400"), "c": ("<old/>", None)}
+
+
+def test_paper_records_manifest_and_fallback(spark, tmp_path):
+    import json
+
+    for name, doc in {"p1": {"paper_id": "p1", "title": "One", "year": 1999, "units": [{"unit_id": "u000", "type": "abstract", "char_start": 0, "char_end": 3}]}, "p2": {"paper_id": "p2", "doi": "10.1/b"}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=1))
+        (tmp_path / f"{name}.txt").write_text(f"{name}\n\nend")
+    papers = tables.read_papers(spark, str(tmp_path)).persist()
+    rows = {r.paper_id: r for r in papers.collect()}
+    assert rows["p1"].text == "p1\n\nend" and rows["p1"].units[0].contains_equation is False and rows["p2"].units == []
+    tables.write_manifest(papers, f"{tmp_path}/manifest")
+    manifest = tables.read_csv(spark, f"{tmp_path}/manifest", "paper_id string, doi string, title string, year int, venue string, licence string, n_chars int")
+    assert [tuple(r) for r in manifest.orderBy("paper_id").collect()] == [("p1", None, "One", 1999, None, None, 7), ("p2", "10.1/b", None, None, None, None, 7)]
+    papers.unpersist()  # else the folder's old rows answer
+    (tmp_path / "p3.json").write_text('{"paper_id": "p3"}')
+    with pytest.raises(Exception, match="no text beside"):
+        tables.read_papers(spark, str(tmp_path)).collect()
+
+    (tmp_path / "o.csv").write_text("paper_id,doi\np1, 10.2/x \np2,  \n,10.2/y\n")
+    assert [tuple(r) for r in tables.load_overrides(spark, f"{tmp_path}/o.csv").collect()] == [("p1", "10.2/x")]
+    assert tables.load_overrides(spark, f"{tmp_path}/none.csv").count() == 0 == tables.load_crossref(spark, f"{tmp_path}/none").count()
+
+    cache = tmp_path / "cache"
+    cache.mkdir()
+    dates = {"created": {"date-parts": [[2003]]}, "published-online": {"date-parts": [[2002, 1]]}, "published": {"date-parts": [[None]]}}
+    (cache / "p1.json").write_text(json.dumps({"crossref": {"title": [""], "author": [{"given": "Ann-Lee", "family": "Íñiguez"}], "volume": "7", "page": "3-9"} | dates}))
+    (cache / "p2.json").write_text('{"crossref": {')
+    e = {r.paper_id: r for r in tables.entries(manifest, tables.load_crossref(spark, str(cache))).collect()}
+    assert (e["p1"].title, e["p1"].year, e["p1"].authors, e["p1"].sort_key, e["p1"].volume, e["p1"].pages) == ("One", "2002", "A.-L. Íñiguez", "iniguez", "7", "pp. 3–9")
+    assert tuple(e["p2"])[1:] == ("n/a", "n/a", "n/a", "n/a", "n/a", "pp. n/a", "n/a", "10.1/b", "n/a", "\uffff")
 
 
 def test_index(spark):
