@@ -1,21 +1,54 @@
-"""Connected components by alternating large-star and small-star steps on DataFrames.
+"""Connected components: runs of edges become stars in their tasks, alternating large-star and small-star steps join these.
 
-Edges are pairs (a, b) with a > b. A step reads each node's least neighbour from a small
-written table, so that both sides of the join are plain exchanges and a node with very many
-edges is split by adaptive execution; all else is partial aggregation. Nothing is collected.
+A task turns every PART edges that it reads into stars about their least nodes, which connect the same nodes with
+no more edges; the tasks of the second pass follow the number of edges, so that up to PART edges are done by it. What
+more there is goes through the steps. Edges are pairs (a, b) with a > b. A step reads each node's least neighbour
+from a small written table, so that both sides of the join are plain exchanges and a node with very many edges is
+split by adaptive execution; all else is partial aggregation. Nothing is collected.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import map_arrow, saved
 
+PART = 1 << 20  # edges of one union in memory: 16 MB
 
-def components(edges: DataFrame) -> DataFrame:
+
+def stars(edges: DataFrame, part: int = PART) -> DataFrame:
+    """Edges (a, b) with a > b that connect what edges (a, b) connect, of every part edges that a task reads."""
+
+    def union(held):
+        a, b = (np.concatenate(x) for x in zip(*held))
+        nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+        root = local_stars(len(nodes), at[: len(a)], at[len(a) :])
+        far = np.flatnonzero(root != np.arange(len(nodes)))
+        return nodes[far], nodes[root[far]]
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, part):
+                one = batch.slice(at, part)
+                if n + one.num_rows > part:
+                    yield union(held)
+                    held, n = [], 0
+                held.append((one.column(0).to_numpy(), one.column(1).to_numpy()))
+                n += one.num_rows
+        if held:
+            yield union(held)
+
+    return map_arrow(edges.select("a", "b"), run, "a long, b long")
+
+
+def components(edges: DataFrame, part: int = PART) -> DataFrame:
     """node, component (its least node) of every node of edges (a, b: long); others are their own."""
-    e = saved(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = saved(stars(edges.where("a is not null and b is not null and a <> b"), part), "edges")
+    n = e.count()
+    e = saved(stars(e.coalesce(max(1, -(-n // part))), part), "stars")
 
     def state(x):
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
@@ -23,7 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
     def least(x):
         return saved(x.groupBy("a").agg(F.min("b").alias("m")), "least").withColumnRenamed("a", "node")
 
-    now = state(e)
+    now = state(e) if n > part else (0, None)
     while now[0]:
         m = least(e)
         e = e.join(m, e.b == m.node, "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
@@ -39,8 +72,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def local_stars(n: int, a, b):
     """Labels 0..n-1 of the least index reachable over pairs (a, b) of one task."""
-    import numpy as np
-
     label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])

@@ -270,6 +270,20 @@ def test_components(spark):
     assert got == {i: 100 for i in range(100, 141)} | {7: 7, 500: 7, 9: 7} | {i: 1000 for i in range(1000, 1051)}
 
 
+@pytest.mark.parametrize("part", [16, 1 << 20])
+def test_components_at_either_size(spark, part):
+    """Below a part's edges one task ends the work, beyond it the steps do: the same components as by repeated merging."""
+    rng = random.Random(part)
+    edges = [(rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(180)] + [(5, 1000 + i) for i in range(60)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    rows = components(spark.createDataFrame(edges, "a long, b long").repartition(5), part).collect()
+    got = {r.node: r.component for r in rows}
+    assert len(rows) == len(got) and got == {x: r for x, r in root.items() if x in got} and all(x in got or (x == r and all(a == b for a, b in edges if x in (a, b))) for x, r in root.items())
+
+
 def test_quality_classifier(spark, docs, empty):
     good = [(i, words(RNG.randint(30, 60), 1000 + i), "en", "h", 0) for i in range(60)]
     bad = [(100 + i, "".join(RNG.choice("#%&|$01379") for _ in range(200)), "en", "h", 0) for i in range(5)]
