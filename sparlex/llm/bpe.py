@@ -14,14 +14,13 @@ from itertools import chain
 
 import numpy as np
 
-from .arrays import Known, Texts
+from .arrays import TRIMMED, Known, Texts
 
 WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 MOST_CHUNKS = 2_000_000
 LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 STOP[list(b",.;:!?)")] = True
-_ENCODERS: dict[str, "Encoder"] = {}
 
 
 def default_path() -> str:
@@ -64,10 +63,28 @@ class Encoder:
         return ids, total[np.searchsorted(ends, t.offs, "right")]
 
 
+class Encoders(dict):
+    """A worker's encoders by path; they go at the end of a task that used none, as the worker then does another step's work."""
+
+    used = False
+
+    def __missing__(self, path: str) -> Encoder:
+        self[path] = Encoder(path)
+        return self[path]
+
+    def clear(self):
+        if not self.used:
+            super().clear()
+        self.used = False
+
+
+_ENCODERS = Encoders()
+TRIMMED.append(_ENCODERS)
+
+
 def encoder(path: str) -> Encoder:
-    """One for each worker, so that chunks stay known from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+    """One for each worker, so that chunks stay known from task to task of a step."""
+    _ENCODERS.used = True
     return _ENCODERS[path]
 
 

@@ -27,6 +27,8 @@ another's value. A text's sum is added in the order of its keys: copies score al
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -162,17 +164,16 @@ def added(one: np.ndarray, h: np.ndarray, n: np.ndarray):
 
 
 def by_shard(batches, column: int = 0):
-    """(shard, rows) of Arrow batches sorted by shard; rows: tuples of the other columns."""
-    shard, held = None, []
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if row[column] != shard and held:
-                yield shard, held
-                held = []
-            shard = row[column]
-            held.append(row)
-    if held:
-        yield shard, held
+    """(shard, its rows) of Arrow batches sorted by shard; rows: tuples of the columns, read as they are asked for."""
+    return groupby((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), itemgetter(column))
+
+
+def taken(held: list[list], column: int) -> np.ndarray:
+    """A column of what is held, in one piece; the pieces go."""
+    out = np.concatenate([x[column] for x in held])
+    for x in held:
+        x[column] = None
+    return out
 
 
 def counts_of(n: np.ndarray) -> list[int]:
@@ -220,7 +221,7 @@ def train(docs: DataFrame, total_bytes: int) -> Model:
         held, have, seen = [], 0, np.zeros(0x110000, bool)
 
         def emit():
-            one, h, n = added(*(np.concatenate(x) for x in zip(*held)))
+            one, h, n = added(*(taken(held, k) for k in range(3)))
             cut = np.searchsorted(one >> top, np.arange(keys.shards + 1).astype(U64))
             for k in np.flatnonzero(np.diff(cut)):
                 yield [int(k)], [blob_of(*(x[cut[k] : cut[k + 1]] for x in (one, h, n)))]
@@ -232,7 +233,7 @@ def train(docs: DataFrame, total_bytes: int) -> Model:
                     seen[low] = True
                     one = contexts(h, offs)
                     _, at, n = np.unique(pair(one, h), return_index=True, return_counts=True)
-                    held.append((one[at], h[at], n))
+                    held.append([one[at], h[at], n])
                     have += len(at)
                 if have >= FLUSH:
                     yield from emit()
@@ -259,11 +260,11 @@ def train(docs: DataFrame, total_bytes: int) -> Model:
                 continue
             held, have = [], 0
             for r in rows:
-                held.append(bigrams(r[1]))
+                held.append([*bigrams(r[1])])
                 have += len(held[-1][0])
                 if have > 2 * FLUSH:
-                    held, have = [added(*(np.concatenate(x) for x in zip(*held)))], 0
-            one, h, n = added(*(np.concatenate(x) for x in zip(*held)))
+                    held, have = [[*added(*(taken(held, k) for k in range(3)))]], 0
+            one, h, n = added(*(taken(held, k) for k in range(3)))
             with written(f"{folder}/counts/{shard:05d}") as out:
                 out.write(blob_of(one, h, n))
             yield [-2], [-1], [None], [counts_of(n)]
@@ -279,6 +280,7 @@ def train(docs: DataFrame, total_bytes: int) -> Model:
                 for r in rows:
                     yield [shard], [None], [r[3]]
                 continue
+            rows = list(rows)
             parts = [load(r[2]) for r in rows]
             asked = [np.cumsum(p[0]) for p in parts]
             u, back = np.unique(np.concatenate(asked), return_inverse=True)
@@ -307,6 +309,7 @@ def train(docs: DataFrame, total_bytes: int) -> Model:
 
     def finish(batches):
         for shard, rows in by_shard(batches):
+            rows = list(rows)
             own = [load(r[1][1:]) for r in rows if r[1][0]]
             words, n_words = (np.cumsum(own[0][0]), own[0][1].astype(np.int64)) if own else (np.zeros(0, U64), np.zeros(0, np.int64))
             replies = [load(r[1][1:]) for r in rows if not r[1][0]]
@@ -386,9 +389,12 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         m, part, held, have = sent.value, TaskContext.get().partitionId(), [], 0
 
         def emit():
-            base, n_symbols = (np.concatenate([x[k] for x in held]) for k in (0, 2))
             at = np.cumsum([0] + [len(x[0]) for x in held])
-            w, g = (asked(np.concatenate([x[k] for x in held]), np.concatenate([x[k + 1] + np.int32(a) for x, a in zip(held, at)]), np.concatenate([x[k + 2] for x in held]), keys) for k in (3, 6))
+            base, n_symbols = taken(held, 0), taken(held, 2)
+            for x, a in zip(held, at):
+                x[4] += np.int32(a)
+                x[7] += np.int32(a)
+            w, g = (asked(taken(held, k), taken(held, k + 1), taken(held, k + 2), keys) for k in (3, 6))
             shards = sorted(w.keys() | g.keys())
             sink = pa.BufferOutputStream()
             table = pa.record_batch([pa.concat_arrays([x[1] for x in held]), pa.array(n_symbols), pa.array(base)], names=["row", "n_symbols", "nats"])
@@ -417,7 +423,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                 hot = ~np.isnan(known)
                 base = np.bincount(doc, value, t.n) + np.bincount(doc[maybe[hot]], known[hot], t.n) + np.where(np.diff(offs) > 0, m.edge, 0.0)
                 maybe = maybe[~hot]
-                held.append((base, b.column(0).slice(at, t.n), np.bincount(doc, size + 1, t.n).astype(np.int64), k[rare], doc[rare].astype(np.int32), size[rare].astype(np.int32), g[maybe], doc[maybe].astype(np.int32), np.zeros(len(maybe), np.uint8)))
+                held.append([base, b.column(0).slice(at, t.n), np.bincount(doc, size + 1, t.n).astype(np.int64), k[rare], doc[rare].astype(np.int32), size[rare].astype(np.int32), g[maybe], doc[maybe].astype(np.int32), np.zeros(len(maybe), np.uint8)])
                 have += len(rare) + len(maybe) + t.n
                 if have >= FLUSH:
                     yield from emit()

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -349,6 +350,53 @@ def test_word_model_against_brute_force(spark, share):
     assert got[90].n_symbols == got[91].n_symbols == 0
 
 
+@pytest.mark.parametrize("before, after", [(None, 8 << 20), ("64m", 8 << 20), ("1m", 1 << 20)])
+def test_batches_of_large_rows(spark, before, after):
+    """Rows of 200 KB reach the workers some at a time: a batch is bounded by its bytes, and a smaller bound of the session stays."""
+    from sparlex.llm.common import BYTES_CONF, map_arrow
+
+    spark.conf.unset(BYTES_CONF) if before is None else spark.conf.set(BYTES_CONF, before)
+    try:
+        rows = spark.range(0, 120, 1, 1).select(F.repeat(F.lit("x"), 200_000).cast("binary").alias("blob"))
+        got = map_arrow(rows, lambda batches: (([b.num_rows], [b.nbytes]) for b in batches), "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 120 and max(r.bytes for r in got) <= after + 250_000
+    finally:
+        spark.conf.unset(BYTES_CONF)
+
+
+def test_encoders_go_after_tasks_of_other_steps():
+    """Chunks stay known from one encoding task to the next, and not beside what other steps hold."""
+    from sparlex.llm.common import trim
+
+    def ids():
+        return [encoder(bpe_path()).encode(t)[0].tolist() for _, t in slices(pa.array(["some words, and some more words"]))]
+
+    first, kept = ids(), weakref.ref(encoder(bpe_path()))
+    trim()
+    assert kept() is encoder(bpe_path()) and len(kept().known.keys)
+    trim()
+    trim()
+    assert kept() is None and ids() == first
+
+
+def test_shards_are_read_as_they_are_asked_for():
+    from sparlex.llm.word_model import by_shard
+
+    read = []
+
+    def batches():
+        for i, shard in enumerate([[-1, 0, 0], [0, 0], [0, 2], [2, 2]]):
+            read.append(i)
+            yield pa.record_batch([pa.array(shard, pa.int32()), pa.array([b"%d%d" % (i, k) for k in range(len(shard))])], names=["shard", "blob"])
+
+    seen = []
+    for shard, rows in by_shard(batches()):
+        for r in rows:
+            seen.append((shard, r[1], len(read)))
+    assert [x[:2] for x in seen] == [(-1, b"00"), (0, b"01"), (0, b"02"), (0, b"10"), (0, b"11"), (0, b"20"), (2, b"21"), (2, b"30"), (2, b"31")]
+    assert [x[2] for x in seen] == [1, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
 def test_quality_classifier_knows_words_and_scripts(spark):
     """Words that no trusted text has are rejected though their letters are ordinary, and so is noise in a script that few texts use."""
     r = random.Random(6)
